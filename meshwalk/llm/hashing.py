@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 
 ODD = 0x9E3779B97F4A7C15
 BYTES = 2 << 20
@@ -25,19 +28,23 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(p, dtype=np.uint64)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of the batches with about ``limit`` bytes of text each (one long text makes a slice of its own), with the
-    texts as bytes (null: None)."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 * BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``limit`` bytes of text each; one long text makes a slice of its own."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))
         if len(col) == 0:
             continue
-        sizes = np.nan_to_num(np.array(pa.compute.binary_length(col).to_pylist(), dtype=float))
-        cuts = np.flatnonzero(np.diff((np.cumsum(sizes) // limit))) + 1
+        sizes = pc.fill_null(pc.cast(pc.binary_length(col), pa.int64()), 0).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // limit)) + 1
         for a, b in zip([0, *cuts], [*cuts, len(col)], strict=True):
-            part = batch.slice(int(a), int(b - a))
-            kind = pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()
-            yield part, part.column(part.schema.get_field_index(column)).cast(kind).to_pylist()
+            yield batch.slice(int(a), int(b - a))
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Such slices, each with its texts as bytes (null: None)."""
+    for part in slices(batches, column, limit):
+        col = part.column(part.schema.get_field_index(column))
+        yield part, col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()
 
 
 def word_hashes(texts: list, lower: bool = False) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
@@ -58,3 +65,11 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     for j in range(k):
         g = g * np.uint64(ODD) + h[j : j + n]
     return mix64(g + np.uint64(k))
+
+
+def per_process(key, make: Callable):
+    """``make()``, once for each worker process: tables and caches that later tasks of the process use again."""
+    kept = sys.modules.setdefault("_meshwalk_process", types.ModuleType("_meshwalk_process")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

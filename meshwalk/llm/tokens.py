@@ -9,18 +9,20 @@ from __future__ import annotations
 
 import json
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshwalk.llm.common import table
-from meshwalk.llm.hashing import text_slices
+from meshwalk.llm.hashing import per_process, slices, text_slices
 
 #: The byte-level pre-tokeniser's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE = 300_000  # entries a task keeps of each kind
+CACHE = 600_000  # entries a task keeps of each kind
 LIMIT = 1024
 
 
@@ -30,6 +32,22 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def split_segments(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """Offsets of the texts (null: empty) in their segments, the number of each segment, the distinct segments, and the
+    texts that must not be split: those with other white space, or none, between two spaces or beside one."""
+    lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
+    offsets = np.asarray(lists.offsets).astype(np.int64)
+    offsets -= offsets[0]
+    coded = lists.flatten().dictionary_encode()
+    index, unique = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    left = np.array([not u or u[0].isspace() for u in unique], bool)[index]
+    right = np.array([not u or u[-1].isspace() for u in unique], bool)[index]
+    bad = np.concatenate([[0], np.cumsum((left | right).astype(np.int64))])
+    inner = bad[offsets[1:]] - bad[np.minimum(offsets[:-1] + 1, offsets[1:])]
+    odd = np.flatnonzero((inner > 0) | (right[offsets[:-1]] & (np.diff(offsets) > 1)))
+    return offsets, index, unique, odd
+
+
 class PrefixCounter:
     """Token counts of every prefix of a piece by dynamic programming over the last token.
 
@@ -39,56 +57,68 @@ class PrefixCounter:
 
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
-        self.vocab = frozenset(spec["model"]["vocab"])
-        self.longest = max(map(len, self.vocab))
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.ranks = {(a, b): r for r, (a, b) in enumerate(pairs)}
         self.special = [t["content"] for t in spec.get("added_tokens", []) if t["special"]]
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pattern = regex.compile(PATTERN)
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         hidden = [b for b in range(256) if b not in set(shown)]
-        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        raw = {ord(chr(b)): chr(b) for b in shown} | {256 + k: chr(b) for k, b in enumerate(hidden)}
+        # tokens as strings of bytes (one character each), numbered, in one automaton that finds all that end at a place
+        vocab = {t.translate(raw): i for t, i in spec["model"]["vocab"].items()}
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        self.ranks = {(a.translate(raw), b.translate(raw)): r for r, (a, b) in enumerate(pairs)}
+        self.tokens = {i: t for t, i in vocab.items()}
+        self.ending = ahocorasick.Automaton()
+        for t, i in vocab.items():
+            self.ending.add_word(t, (i, len(t)))
+        self.ending.make_automaton()
         self.pairs: dict = {}
         self.pieces: dict = {}
         self.segments: dict = {}
-        self.first_segments: dict = {}
 
     def merge(self, word: str) -> list[str]:
-        parts = list(word)
+        parts, ranks = list(word), self.ranks
         while len(parts) > 1:
-            rank, at = min((self.ranks.get((parts[i], parts[i + 1]), 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
+            best, at = None, 0
+            for i, pair in enumerate(zip(parts, parts[1:], strict=False)):
+                r = ranks.get(pair)
+                if r is not None and (best is None or r < best):
+                    best, at = r, i
+            if best is None:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _apart(self, a: str, b: str) -> bool:
-        ok = self.pairs.get((a, b))
-        if ok is None:
-            if len(self.pairs) > CACHE:
-                self.pairs.clear()
-            ok = self.pairs[a, b] = self.merge(a + b) == ([a, b] if a else [b])
+    def _apart(self, key: int) -> bool:
+        """Whether the merges leave the two tokens of ``key`` as they are (a first token of -1 is none)."""
+        a, b = self.tokens.get((key >> 20) - 1, ""), self.tokens[key & 0xFFFFF]
+        ok = self.pairs[key] = self.merge(a + b) == ([a, b] if a else [b])
         return ok
 
-    def piece(self, text: str) -> list[int]:
+    def piece(self, text: str):
         """Counts after 0, 1, ... bytes of one pre-token."""
         known = self.pieces.get(text)
         if known is not None:
             return known
-        letters, vocab, apart, longest = self.letters, self.vocab, self._apart, self.longest
-        s = "".join([letters[b] for b in text.encode()])
-        count, last = [0] * (len(s) + 1), [""] * (len(s) + 1)
-        for i in range(1, len(s) + 1):
-            for j in range(max(0, i - longest), i):
-                t = s[j:i]
-                if t in vocab and apart(last[j], t):
-                    count[i], last[i] = count[j] + 1, t
-                    break
+        pairs, apart = self.pairs, self._apart
+        s = text.encode().decode("latin-1")
+        count, last, done = [0] * (len(s) + 1), [-1] * (len(s) + 1), 0
+        for end, (t, n) in self.ending.iter(s):
+            if end < done:
+                continue
+            j = end + 1 - n
+            key = last[j] + 1 << 20 | t
+            ok = pairs.get(key)
+            if ok or ok is None and apart(key):
+                done = end + 1
+                count[done], last[done] = count[j] + 1, t
+        counts = bytes(count) if max(count) < 256 else count
         if len(self.pieces) > CACHE:
             self.pieces.clear()
-        self.pieces[text] = count
-        return count
+        if len(pairs) > 4 * CACHE:
+            pairs.clear()
+        self.pieces[text] = counts
+        return counts
 
     def total(self, text: str) -> int:
         """Tokens of a text, over its pieces; special strings count one."""
@@ -96,20 +126,29 @@ class PrefixCounter:
             return sum(1 if k % 2 else self.total(x) if x else 0 for k, x in enumerate(self.split_special.split(text)))
         return sum(self.piece(p)[-1] for p in self.pattern.findall(text))
 
-    def by_segment(self, text: str) -> list[int]:
-        """Tokens of each segment; one entry for a text that can't be split at its spaces."""
-        first, *rest = text.split(" ")
-        counts = [self.first_segments.get(first), *map(self.segments.get, rest)]
-        if None in counts:
-            for k, seg in enumerate([first, *rest]):
-                if counts[k] is None:
-                    if (not seg and len(counts) > 1) or seg[:1].isspace() or seg[-1:].isspace():
-                        return [self.total(text)]
-                    cache = self.segments if k else self.first_segments
-                    if len(cache) > CACHE:
-                        cache.clear()
-                    counts[k] = cache[seg] = self.total((" " if k else "") + seg)
-        return counts
+    def by_segment(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of every text, and of its segments (one entry, the first, for a text that can't be split at its
+        spaces; the rest of its entries are 0) with the offsets of the texts in them."""
+        offsets, index, unique, odd = split_segments(texts)
+        got = np.array(self._resolve(unique), np.int64)
+        counts, heads = got[index], offsets[:-1]
+        counts[heads] = [self.total(unique[i]) if unique[i] else 0 for i in index[heads].tolist()]
+        for k in odd.tolist():
+            counts[offsets[k] : offsets[k + 1]] = 0
+            counts[offsets[k]] = self.total(texts[k].as_py())
+        return np.add.reduceat(counts, heads) if len(heads) else heads, counts, offsets
+
+    def _resolve(self, unique: list[str]) -> list[int]:
+        """Tokens of " " + each segment."""
+        known = self.segments
+        got = list(map(known.get, unique))
+        if None in got:
+            for k, seg in enumerate(unique):
+                if got[k] is None:
+                    got[k] = known[seg] = self.total(" " + seg)
+        if len(known) > CACHE:
+            self.segments = dict(zip(unique, got, strict=True))
+        return got
 
     def prefixes(self, text: str) -> np.ndarray:
         """Tokens of text[:i] for every i from 0 to len(text), each as if that prefix were encoded by itself."""
@@ -155,12 +194,14 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_path()
 
     def run(batches):
-        counter = PrefixCounter(path)
-        for part, texts in text_slices(batches):
-            counts = [counter.by_segment(t.decode()) if t else [] for t in texts]
+        counter = per_process(("prefix counter", path), lambda: PrefixCounter(path))
+        for part in slices(batches):
+            text = part.column(1)
+            totals, counts, offsets = counter.by_segment(text)
+            raw = pa.py_buffer(counts.astype("<i4").tobytes())
+            words = pa.Array.from_buffers(pa.large_binary(), len(text), [None, pa.py_buffer((offsets * 4).astype(np.int64).tobytes()), raw])
             yield pa.RecordBatch.from_arrays([
-                part.column(0), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array([sum(c) for c in counts], pa.int64()),
-                pa.array([np.array(c, np.int32).tobytes() for c in counts], pa.binary()),
+                part.column(0), pc.fill_null(pc.cast(pc.binary_length(text), pa.int64()), 0), pa.array(totals, pa.int64()), words.cast(pa.binary()),
             ], ["doc_id", "n_bytes", "n_tokens", "word_counts"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, word_counts binary")
@@ -171,7 +212,7 @@ def prefix_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_path()
 
     def run(batches):
-        counter = PrefixCounter(path)
+        counter = per_process(("prefix counter", path), lambda: PrefixCounter(path))
         for part, texts in text_slices(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([counter.prefixes((t or b"").decode()).tolist() for t in texts], pa.list_(pa.int64()))], ["doc_id", "counts"])
 

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwalk.functions.shared import cut, shared_dir
-from meshwalk.llm.common import table
-from meshwalk.llm.hashing import ODD, mix64, text_slices
-from meshwalk.llm.tokens import CACHE, default_path
+from meshwalk.functions.shared import cut, discard, shared_dir
+from meshwalk.llm.common import maybe_broadcast, table
+from meshwalk.llm.hashing import ODD, mix64, per_process, slices
+from meshwalk.llm.tokens import CACHE, PATTERN, default_path, split_segments
 
 END = 2
 ROLL = 16  # ids in the rolling hash
@@ -26,33 +29,48 @@ class Encoder:
     """Ids of whole texts as little-endian bytes, each distinct segment encoded by the library once."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2") if max(self.tok.get_vocab_size(), END + 1) <= 1 << 16 else np.dtype("<u4")
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.pattern = regex.compile(PATTERN)
         self.segments: dict = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        known, out, fresh, odd = self.segments, [], {}, {}
+        self.pieces: dict = {}
+
+    def _encode(self, text: str) -> bytes:
+        """Ids of a text that stands alone: the library's, with its own splitting where special strings occur."""
+        if any(s in text for s in self.special):
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return b"".join([self.pieces.get(p) or self._piece(p) for p in self.pattern.findall(text)])
+
+    def _piece(self, piece: str) -> bytes:
+        if len(self.pieces) > CACHE:
+            self.pieces.clear()
+        raw = piece.encode().decode("latin-1").translate(self.letters)
+        ids = self.pieces[piece] = np.array([t.id for t in self.tok.model.tokenize(raw)], self.kind).tobytes()
+        return ids
+
+    def batch(self, texts: pa.Array) -> list[bytes]:
+        offsets, index, unique, odd = split_segments(texts)
+        known = self.segments
+        got = list(map(known.get, unique))
+        if None in got:
+            for k, seg in enumerate(unique):
+                if got[k] is None:
+                    got[k] = known[seg] = self._encode(" " + seg)
         if len(known) > CACHE:
-            known.clear()
-        split = [t.split(" ") for t in texts]
-        for k, segs in enumerate(split):
-            for s in {s for s in segs[1:] if s not in known and s not in fresh}:
-                if not s or s[0].isspace() or s[-1].isspace():
-                    odd[k] = None
-                else:
-                    fresh[s] = None
-            if len(segs) > 1 and segs[0][-1:].isspace() or len(segs) > 1 and not segs[0]:
-                odd[k] = None
-        known.update(zip(fresh, self._encode([" " + s for s in fresh]), strict=True))
-        odd.update(zip(odd, self._encode([texts[k] for k in odd]), strict=True))
-        firsts = self._encode([s[0] for s in split])
-        for k, segs in enumerate(split):
-            out.append(odd[k] if k in odd else firsts[k] + b"".join(map(known.__getitem__, segs[1:])))
+            self.segments = dict(zip(unique, got, strict=True))
+        out, odd, index = [], set(odd.tolist()), index.tolist()
+        for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            if k in odd:
+                out.append(self._encode(texts[k].as_py()))
+            else:  # a first segment has no space before it
+                out.append(self._encode(unique[index[a]]) + b"".join([got[i] for i in index[a + 1 : b]]))
         return out
 
 
@@ -114,38 +132,51 @@ def crc_after(n_bytes: int) -> int:
     return out
 
 
-def _chunks(path: str, payload: bool):
+STAGED = "doc_id long, n_tokens long, chunks array<binary>, root binary, digest binary, n int, payload binary, row long"
+
+
+def _stage(path: str):
+    """One pass over the texts: a recipe of each, and each chunk that this task meets first, with a number of its own."""
+
     def run(batches):
-        coder = Encoder(path)
-        end = np.array([END], coder.kind).tobytes()
-        seen: set = set()
-        for part, texts in text_slices(batches):
-            coded = coder.batch([(t or b"").decode() for t in texts])
-            rows, recipes = [], []
-            for b in coded:
+        coder = per_process(("encoder", path), lambda: Encoder(path))
+        end, width = np.array([END], coder.kind).tobytes(), coder.kind.itemsize
+        seen, row = set(), TaskContext.get().partitionId() << 40
+        for part in slices(batches):
+            recipes, chunks = [], []
+            for b in coder.batch(part.column(1)):
                 b += end
                 ids, at, digests = np.frombuffer(b, coder.kind), 0, []
                 for e in chunk_ends(ids):
-                    piece = b[at * coder.kind.itemsize : e * coder.kind.itemsize]
-                    d = address(piece)
+                    d = address(b[at * width : e * width])
                     digests.append(d)
-                    if payload and d not in seen:
+                    if d not in seen:
                         if len(seen) > CACHE:
                             seen.clear()
                         seen.add(d)
-                        rows.append((d, e - at, zlib.compress(piece, 1)))
+                        chunks.append((d, e - at, zlib.compress(planes(b[at * width : e * width], width), 1), row))
+                        row += 1
                     at = e
                 recipes.append((len(ids), digests, merkle_root(digests)))
-            if payload:
-                cols = list(zip(*rows, strict=True)) or [[]] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], ["digest", "n", "payload"])
-            else:
-                n, digests, root = zip(*recipes, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.list_(pa.binary())), pa.array(root, pa.binary())], ["doc_id", "n_tokens", "chunks", "root"])
+            a, z = len(recipes), len(chunks)
+            n, digests, roots = zip(*recipes, strict=True)
+            d, size, payload, rows = list(zip(*chunks, strict=True)) or [()] * 4
+            cols = [part.column(0).to_pylist() + [None] * z, [*n, *[None] * z], [*digests, *[None] * z], [*roots, *[None] * z], [*[None] * a, *d], [*[None] * a, *size], [*[None] * a, *payload], [*[None] * a, *rows]]
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split(" ")[0] for x in STAGED.split(", ")])
 
     return run
 
 
+def planes(raw: bytes, width: int) -> bytes:
+    """Low bytes of all ids, then the next: they deflate better apart."""
+    return np.frombuffer(raw, np.uint8).reshape(-1, width).T.tobytes()
+
+
+def unplanes(raw: bytes, width: int) -> bytes:
+    return np.frombuffer(raw, np.uint8).reshape(width, -1).T.tobytes()
+
+
 def _number(batches):
     """Running start inside one sorted part."""
     at = 0
@@ -159,15 +190,22 @@ def _number(batches):
 def write_store(docs: DataFrame, folder: str, path: str | None = None, parts: int | None = None) -> None:
     """Encode ``docs`` (doc_id, text) and write ``folder``/chunks, /recipes and /manifest.
 
-    chunks: digest (BLAKE2b of the ids' bytes), n, payload (deflated ids), each digest once. recipes: the documents in
+    chunks: digest (BLAKE2b of the ids' bytes), n, payload (deflated ids, low bytes first), each digest once. recipes: the documents in
     ascending doc_id order (null first, repeated ids by their content), part by part: doc_id, n_tokens, chunks (digests
     in order), root (Merkle root of these), local_start, part. manifest: one row a part: part, start of its first
     document, documents, tokens, root over its documents' roots.
     """
     path, docs = path or default_path(), docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chunks = docs.mapInArrow(_chunks(path, True), "digest binary, n int, payload binary")
-    chunks.dropDuplicates(["digest"]).write.mode("overwrite").parquet(f"{folder}/chunks")
-    r = cut(docs.mapInArrow(_chunks(path, False), "doc_id long, n_tokens long, chunks array<binary>, root binary"), "recipes")
+    spark, staging = docs.sparkSession, f"{shared_dir(docs.sparkSession)}/staged"
+    docs.mapInArrow(_stage(path), STAGED).write.mode("overwrite").parquet(staging)
+    staged = spark.read.schema(STAGED).parquet(staging)
+    # of equal chunks that several tasks have met, all rows but the first go; payloads are shuffled only if those are many
+    chunks = staged.where("digest is not null")
+    first = chunks.groupBy("digest").agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first < last")
+    extra = cut(chunks.select("digest", "row").join(first, "digest").where("row > first").select("row"), "extra")
+    chunks.join(maybe_broadcast(extra), "row", "left_anti").select("digest", "n", "payload").write.mode("overwrite").parquet(f"{folder}/chunks")
+    r = cut(staged.where("digest is null").select("doc_id", "n_tokens", "chunks", "root"), "recipes")
+    discard(spark, staging)
     parts = parts or max(1, r.rdd.getNumPartitions())
     r = r.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "root").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root")
     r = r.withColumn("part", F.spark_partition_id())
@@ -194,7 +232,8 @@ def _verified(crc_only: bool):
             digests, ns, out = b.column(0).to_pylist(), b.column(1).to_pylist(), []
             for d, n, z in zip(digests, ns, b.column(2).to_pylist(), strict=True):
                 raw = zlib.decompress(z)
-                if address(raw) != d or len(raw) % n:
+                raw = unplanes(raw, len(raw) // n) if len(raw) % n == 0 else raw
+                if address(raw) != d:
                     raise ValueError(f"chunk {d.hex()} is damaged")
                 wide = np.frombuffer(raw, f"<u{len(raw) // n}").astype("<u4")
                 out.append(zlib.crc32(wide.tobytes()) if crc_only else wide.tolist())
