@@ -1,4 +1,421 @@
-"""Registered queries and their SQL."""
+"""Registered queries, each over whole tables, and the SQL that gives the same rows.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Doubles are rounded to six digits, and 0.0 is added to lose negative zeros, in both.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meshwalk.functions import objectives as obj
+from meshwalk.functions.rng import uniform
+from meshwalk.jobs import views as v
+from meshwalk.operators import candidates as cand
+from meshwalk.operators import chain as ch
+from meshwalk.operators import graph as gr
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
+
+
+def s6(e: str) -> str:
+    return f"round({e}, 6) + 0.0"
+
+
+def rounded(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: r6(c) for c in cols})
+
+
+C, P, H, S = v.CHAIN, v.POPULATION, v.HISTORY, v.SCHEDULE
+START = 100  # burn-in: rows of earlier steps are left out
+ORD = ", ".join(v.TIES)
+
+
+# --- sources and sinks
+@query("SELECT '<' || event_type || '> ' || event_id || ' ' || user_id AS line FROM events")
+def a05_tag_lines(spark, d):
+    e = v.table(spark, d, "events")
+    return e.select(F.concat(F.lit("<"), "event_type", F.lit("> "), F.concat_ws(" ", F.col("event_id").cast("string"), F.col("user_id").cast("string"))).alias("line"))
+
+
+@query("SELECT event_id || ' ' || user_id AS line FROM events WHERE event_type = 'click'")
+def a06_extract_tag(spark, d):
+    tag = "<click> "
+    return a05_tag_lines(spark, d).where(F.col("line").startswith(tag)).select(F.substring("line", len(tag) + 1, 1 << 30).alias("line"))
+
+
+# --- candidates: as many as the tables have rows, so that the work grows with them
+def _n(spark, d, name="orders"):
+    return v.table(spark, d, name).count()
+
+
+@query(f"""WITH n AS (SELECT count(*) // 30 AS k FROM orders), i AS (SELECT unnest(range(0, k * 30)) AS id, k FROM n)
+SELECT id, {s6("CASE WHEN (id // (30 * 1)) % k = k - 1 THEN 5.0 ELSE -5.0 + ((id // 30) % k) * (10.0::DOUBLE / (k - 1)) END")} AS x2, {s6("CASE WHEN id % 30 = 29 THEN 5.0 ELSE -5.0 + (id % 30) * (10.0::DOUBLE / 29) END")} AS x1 FROM i""")
+def b01_grid_points(spark, d):
+    k = _n(spark, d) // 30
+    return cand.grid_points(spark, [-5, -5], [5, 5], [30, k]).select("id", r6(F.col("x")[0]).alias("x1"), r6(F.col("x")[1]).alias("x2"))
+
+
+@query(f"""SELECT CAST(i AS BIGINT) AS id, {s6(f"-5.0 + 10.0 * {v.uniform_sql(1, 'i', '0')}")} AS x1, {s6(f"0.0 + 2.0 * {v.uniform_sql(1, 'i', '1')}")} AS x2
+FROM (SELECT unnest(range(0, (SELECT count(*) FROM orders))) AS i)""")
+def b02_random_points(spark, d):
+    return cand.random_points(spark, [-5, 0], [5, 2], _n(spark, d), 1).select("id", r6(F.col("x")[0]).alias("x1"), r6(F.col("x")[1]).alias("x2"))
+
+
+@query(f"""WITH n AS (SELECT count(*) AS n FROM orders), f AS (SELECT i, i::DOUBLE / (n - 1) AS f FROM n, LATERAL (SELECT unnest(range(0, n)) AS i))
+SELECT CAST(i AS INTEGER) AS t_index, {s6("1 / pow(10.0, -1 + f * 3)")} AS beta, {s6("pow(10.0, -1 + f * 3)")} AS temp FROM f""")
+def b04_temperature_schedule(spark, d):
+    return rounded(cand.temperature_schedule(spark, _n(spark, d), tmin=0.1, tmax=100.0), "beta", "temp")
+
+
+@query(f"""SELECT id, CAST(k AS INTEGER) AS vertex, {s6("x1 + CASE WHEN k = 1 THEN 0.25 ELSE 0 END")} AS x1, {s6("x2 + CASE WHEN k = 2 THEN 0.5 ELSE 0 END")} AS x2,
+{s6("x3 + CASE WHEN k = 3 THEN 1.0 ELSE 0 END")} AS x3 FROM ({v.POINTS}) CROSS JOIN range(4) r(k)""")
+def b06_initial_simplex(spark, d):
+    s = cand.initial_simplex(v.points(spark, d), [0.25, 0.5, 1.0])
+    return s.select("id", "vertex", *[r6(F.col("x")[k]).alias(f"x{k + 1}") for k in range(3)])
+
+
+# --- projections and predicates
+KEY = ("rank", "step", "walker", "t_index", "partkey", "qty", "price")
+K = ", ".join(KEY)
+
+
+@query(f"SELECT {K}, {s6('0.5 * x1 - 2.0 * x2 + 1.0')} AS y1, {s6('x1 + x2 - 0.5')} AS y2, {s6('3.0 * x2')} AS y3 FROM ({C})")
+def c01_affine(spark, d):
+    y = cand.affine(F.col("x"), [[0.5, -2.0], [1.0, 1.0], [0.0, 3.0]], [1.0, -0.5, 0.0])
+    return v.chain(spark, d).withColumn("y", y).select(*KEY, *[r6(F.col("y")[k]).alias(f"y{k + 1}") for k in range(3)])
+
+
+@query(f"SELECT {K} FROM ({C}) WHERE x1 - x2 > 0 AND x1 + x2 - 1 > 0")
+def c02_satisfies(spark, d):
+    return v.chain(spark, d).where(cand.satisfies(F.col("x"), [[1, -1], [1, 1]], [0, -1])).select(*KEY)
+
+
+@query(f"SELECT {K}, x1 BETWEEN -2 AND 3 AND x2 BETWEEN -1 AND 4 AS inside, x1 > -2 AND x1 < 3 AND x2 > -1 AND x2 < 4 AS strictly FROM ({C})")
+def c03_in_box(spark, d):
+    x = F.col("x")
+    return v.chain(spark, d).select(*KEY, cand.in_box(x, [-2, -1], [3, 4]).alias("inside"), cand.in_box(x, [-2, -1], [3, 4], True).alias("strictly"))
+
+
+@query(f"""SELECT {K}, CASE WHEN x1 - x2 > 0 AND x1 + x2 - 1 > 0 THEN {s6('pow(pow(2 * x1, 2) + x2 + 1 - 11, 2) + pow(2 * x1 + pow(x2 + 1, 2) - 7, 2)')} ELSE 'Infinity'::DOUBLE END AS fx FROM ({C})""")
+def c04_evaluate(spark, d):
+    c = v.chain(spark, d).drop("fx")
+    c = cand.evaluate(c, obj.himmelblau, lambda x: cand.affine(x, [[2, 0], [0, 1]], [0, 1]), lambda x: cand.satisfies(x, [[1, -1], [1, 1]], [0, -1]))
+    return c.select(*KEY, r6("fx").alias("fx"))
+
+
+def _objective(name, f, sql):
+    def run(spark, d):
+        return v.points(spark, d).select("id", r6(f(F.col("x"))).alias("fx"))
+
+    run.__name__ = name
+    query(f"SELECT id, {s6(sql)} AS fx FROM ({v.POINTS})")(run)
+
+
+_objective("c05_quadratics", obj.quadratics, "x1*x1 + x2*x2 + x3*x3")
+_objective("c06_quartics", obj.quartics, "((x1-1)*(x1-1) + (x2-1)*(x2-1) + (x3-1)*(x3-1)) / 3 * (((x1+1)*(x1+1) + (x2+1)*(x2+1) + (x3+1)*(x3+1)) / 3)")
+_objective("c07_ackley", obj.ackley, "20 + exp(1.0) - 20 * exp(-0.2 * sqrt((x1*x1 + x2*x2 + x3*x3) / 3)) - exp(0.5 * (cos(2*pi()*x1) + cos(2*pi()*x2) + cos(2*pi()*x3)))")
+_objective("c08_rosenbrock", obj.rosenbrock, "100*(x2-x1*x1)*(x2-x1*x1) + (1-x1)*(1-x1) + 100*(x3-x2*x2)*(x3-x2*x2) + (1-x2)*(1-x2)")
+_objective("c10_linreg_nll", obj.linreg_nll, "0.5 * (6 * x3 + (" + " + ".join(f"pow(x1*{i + 1} + x2 - {y}, 2)" for i, y in enumerate(obj.LINREG_Y)) + ") / exp(x3))")
+
+
+@query(f"SELECT {K}, {s6('pow(x1*x1 + x2 - 11, 2) + pow(x1 + x2*x2 - 7, 2)')} AS fx FROM ({C})")
+def c09_himmelblau(spark, d):
+    return v.chain(spark, d).select(*KEY, r6(obj.himmelblau(F.col("x"))).alias("fx"))
+
+
+@query(f"SELECT id, {s6('(x1*x1 + x2*x2 + x3*x3) / 3')} AS fx FROM ({v.POINTS})")
+def c11_user_objective(spark, d):
+    f = cand.user_objective(lambda x: (x * x).mean(axis=1))
+    return v.points(spark, d).select("id", r6(f("x")).alias("fx"))
+
+
+@query(f"""WITH c AS ({C}), m AS (SELECT avg(x1) AS a1, stddev_pop(x1) AS s1, avg(x2) AS a2, stddev_pop(x2) AS s2 FROM c)
+SELECT {K}, {s6('(x1 - a1) / s1')} AS z1, {s6('(x2 - a2) / s2')} AS z2 FROM c, m""")
+def c12_standardize(spark, d):
+    c = v.chain(spark, d)
+    m = c.agg(*[F.avg(x).alias(f"a_{x}") for x in ("x1", "x2")], *[F.stddev_pop(x).alias(f"s_{x}") for x in ("x1", "x2")])
+    z = lambda x: F.when(F.col(f"s_{x}") > 0, (F.col(x) - F.col(f"a_{x}")) / F.col(f"s_{x}")).otherwise(0.0)
+    return c.join(F.broadcast(m)).select(*KEY, r6(z("x1")).alias("z1"), r6(z("x2")).alias("z2"))
+
+
+@query(f"SELECT {K} FROM ({C}) WHERE step % 10 = 0")
+def c13_thin(spark, d):
+    return ch.thin(v.chain(spark, d), 10).select(*KEY)
+
+
+@query(f"SELECT {K} FROM ({C}) WHERE step >= 0.1 * 10000")
+def c14_burn_in(spark, d):
+    return ch.burn_in(v.chain(spark, d), 0.1, 10000).select(*KEY)
+
+
+@query(f"""SELECT run, step, id, {s6('fx')} AS fx FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step) AS k, count(*) OVER (PARTITION BY run) AS n FROM ({H})) WHERE k > 5 AND k < n""")
+def c15_trim_path(spark, d):
+    return rounded(ch.trim_path(v.history(spark, d), 5, ["step"]), "fx")
+
+
+@query(f"SELECT {K}, walker + rank * 1000 AS gwalker FROM ({C})")
+def c16_global_walker(spark, d):
+    return ch.global_walker(v.chain(spark, d), 1000).select(*KEY, "gwalker")
+
+
+@query(f"""WITH u AS (SELECT id, {v.uniform_sql(3, 'id')} AS u FROM ({v.POINTS})), k AS (SELECT id, row_number() OVER (ORDER BY u, id) AS k, (SELECT count(*) FROM u) AS n FROM u)
+SELECT id, CASE WHEN k <= n // 2 THEN 'train' ELSE 'test' END AS part FROM k WHERE k <= n // 2 + n // 4""")
+def c17_train_test_split(spark, d):
+    p = v.points(spark, d).select("id", uniform(3, F.col("id")).alias("u"))
+    n = p.count()
+    # both cuts are order statistics, found without numbering the rows
+    low = p.orderBy("u", "id").limit(n // 2 + n // 4)
+    first = low.orderBy("u", "id").limit(n // 2).select("id", F.lit("train").alias("part"))
+    return first.unionByName(low.join(first.select("id"), "id", "left_anti").select("id", F.lit("test").alias("part")))
+
+
+@query(f"SELECT dataset, {s6('x')} AS x, {s6('y')} AS y, 1.0::DOUBLE AS p0, {s6('x')} AS p1, {s6('x*x')} AS p2, {s6('x*x*x')} AS p3 FROM ({v.REGRESSION})")
+def c18_design_matrix(spark, d):
+    r = v.regression(spark, d)
+    return r.select("dataset", r6("x").alias("x"), r6("y").alias("y"), *[(r6(F.pow("x", F.lit(float(k)))) if k else F.lit(1.0)).alias(f"p{k}") for k in range(4)])
+
+
+# --- joins and graphs
+EDGES = f"SELECT a.id AS src, b.id AS dst FROM ({v.POINTS}) a JOIN ({v.POINTS}) b ON a.id <> b.id AND sqrt(pow(a.x1-b.x1,2) + pow(a.x2-b.x2,2) + pow(a.x3-b.x3,2)) <= 0.1"
+
+
+def _edges(spark, d):
+    return gr.radius_neighbors(v.points(spark, d), 0.1, 3)
+
+
+@query(EDGES)
+def d01_radius_neighbors(spark, d):
+    return _edges(spark, d)
+
+
+def _one_way(spark, d):
+    return _edges(spark, d).where((F.col("src") < F.col("dst")) | (F.col("src") % 2 == 0))
+
+
+@query(f"WITH e AS (SELECT * FROM ({EDGES}) WHERE src < dst OR src % 2 = 0) SELECT src, dst FROM e ANTI JOIN (SELECT dst AS src, src AS dst FROM e) USING (src, dst)")
+def d03_missing_reverse(spark, d):
+    return gr.missing_reverse(_one_way(spark, d))
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT src, dst FROM ({EDGES.replace('<= 0.1', '<= 0.05')})), r AS (SELECT id, id AS component FROM ({v.POINTS}) UNION SELECT e.dst, r.component FROM r JOIN e ON e.src = r.id)
+SELECT id, min(component) AS component FROM r GROUP BY id""")
+def d04_connected_components(spark, d):
+    p = v.points(spark, d)
+    return gr.connected_components(p, gr.radius_neighbors(p, 0.05, 3))
+
+
+@query(f"SELECT p.id, count(e.src) AS degree FROM ({v.POINTS}) p LEFT JOIN ({EDGES}) e ON e.src = p.id GROUP BY p.id")
+def d06_node_degree(spark, d):
+    return gr.node_degree(v.points(spark, d), _edges(spark, d))
+
+
+@query("SELECT CAST(p_partkey AS BIGINT) AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 1)")
+def d08_pending(spark, d):
+    done = v.table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").cast("long").alias("id"))
+    return gr.pending(v.table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("id")), done)
+
+
+# --- chains
+@query(f"SELECT rank, step, walker, {s6('fx')} AS fx, {s6('x1')} AS x1, {s6('x2')} AS x2 FROM ({C}) ORDER BY fx, rank, step, walker, {ORD} LIMIT 1")
+def e01_best_row(spark, d):
+    return rounded(ch.best_row(v.chain(spark, d), ["rank", *[c for c in v.TIES]], ["rank", "step", "walker", "fx", "x1", "x2"]), "fx", "x1", "x2")
+
+
+@query(f"SELECT t_index, count(*) AS n, {s6('avg(fx)')} AS mean, {s6('sqrt(var_pop(fx) / (count(*) - 1))')} AS stderr FROM ({C}) WHERE step >= {START} GROUP BY t_index")
+def e03_fx_moments(spark, d):
+    return rounded(ch.fx_moments(v.chain(spark, d).where(F.col("step") >= START)), "mean", "stderr")
+
+
+MOVES = f"""SELECT t_index, avg(CASE WHEN o1 IS NULL OR (abs(x1-o1) <= 1e-8 + 1e-5*abs(o1) AND abs(x2-o2) <= 1e-8 + 1e-5*abs(o2)) THEN 0.0 ELSE 1.0 END) AS acceptance
+FROM (SELECT *, lag(x1) OVER w AS o1, lag(x2) OVER w AS o2 FROM ({C}) WINDOW w AS (PARTITION BY t_index ORDER BY {ORD})) WHERE step >= {START} GROUP BY t_index"""
+STEPS = f"""SELECT t_index, ln(sum(exp(u - top)) / count(*)) + max(top) AS dlogz FROM (SELECT t_index, u, max(u) OVER (PARTITION BY t_index) AS top FROM
+(SELECT c.t_index, -(s2.beta - c.beta) * fx AS u FROM ({C}) c JOIN ({S}) s2 ON s2.t_index = c.t_index - 1 WHERE step >= {START})) GROUP BY t_index"""
+LOGZ = f"SELECT t_index, beta, coalesce(sum(dlogz) OVER (ORDER BY beta ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS logz FROM ({S}) LEFT JOIN ({STEPS}) USING (t_index)"
+
+
+@query(f"SELECT t_index, {s6('acceptance')} AS acceptance FROM ({MOVES})")
+def e04_move_ratio(spark, d):
+    return rounded(ch.move_ratio(v.chain(spark, d), v.TIES, START), "acceptance")
+
+
+@query(f"SELECT t_index, {s6('dlogz')} AS dlogz FROM ({STEPS})")
+def e05_log_z_steps(spark, d):
+    return rounded(ch.log_z_steps(v.chain(spark, d).where(F.col("step") >= START), v.schedule(spark)), "dlogz")
+
+
+@query(f"SELECT t_index, {s6('beta')} AS beta, {s6('logz')} AS logz FROM ({LOGZ})")
+def e06_log_z(spark, d):
+    return rounded(ch.log_z(v.chain(spark, d).where(F.col("step") >= START), v.schedule(spark)), "beta", "logz")
+
+
+STATS = f"""SELECT t_index, beta, mean, stderr, n, logz, acceptance FROM (SELECT t_index, count(*) AS n, avg(fx) AS mean, sqrt(var_pop(fx) / (count(*) - 1)) AS stderr FROM ({C}) WHERE step >= {START} GROUP BY t_index)
+JOIN ({LOGZ}) USING (t_index) JOIN ({MOVES}) USING (t_index)"""
+
+
+@query(f"SELECT t_index, {s6('beta')} AS beta, {s6('mean')} AS mean, {s6('stderr')} AS stderr, n, {s6('logz')} AS logz, {s6('acceptance')} AS acceptance FROM ({STATS})")
+def e07_exchange_stats(spark, d):
+    return rounded(ch.exchange_stats(v.chain(spark, d), v.schedule(spark), START, v.TIES), "beta", "mean", "stderr", "logz", "acceptance")
+
+
+NEAL = f"""SELECT *, -coalesce(sum(db * fx) OVER (PARTITION BY walker, block ORDER BY t_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS lw
+FROM (SELECT *, lead(beta) OVER (PARTITION BY walker, block ORDER BY t_index) - beta AS db FROM (SELECT *, t_index // 3 AS block FROM ({P})))"""
+SHIFTED = f"SELECT *, exp(lw - max(lw) OVER (PARTITION BY t_index)) AS w FROM ({NEAL})"
+
+
+@query(f"SELECT walker, t_index, CAST(block AS BIGINT) AS block, round(lw, 11) + 0.0 AS lw FROM ({NEAL})")
+def e08_neal_weights(spark, d):
+    return ch.neal_weights(v.population(spark, d), 3).select("walker", "t_index", F.col("block").cast("long").alias("block"), (F.round("lw", 11) + 0.0).alias("lw"))
+
+
+@query(f"""WITH p AS ({SHIFTED}), t AS (SELECT t_index, sum(w) AS tw, sum(w * fx) AS tf, count(*) AS n FROM p GROUP BY t_index),
+l AS (SELECT t_index, n, tf / tw AS m, (tf - w * fx) / (tw - w) AS f FROM p JOIN t USING (t_index))
+SELECT t_index, {s6('max(n) * max(m) - (max(n) - 1) * avg(f)')} AS mean, {s6('sqrt((max(n) - 1) * var_pop(f))')} AS err FROM l GROUP BY t_index""")
+def e09_weighted_jackknife(spark, d):
+    return rounded(ch.weighted_jackknife(ch.neal_weights(v.population(spark, d), 3)), "mean", "err")
+
+
+@query(f"SELECT t_index, {s6('pow(sum(w), 2) / sum(w * w)')} AS pr FROM ({SHIFTED}) GROUP BY t_index")
+def e11_participation_ratio(spark, d):
+    return rounded(ch.participation_ratio(ch.neal_weights(v.population(spark, d), 3)), "pr")
+
+
+@query(f"SELECT t_index, {s6('sum(CASE WHEN partkey % 3 = 0 THEN qty ELSE 0 END) / sum(qty)')} AS acceptance FROM ({C}) GROUP BY t_index")
+def e12_acceptance_counts(spark, d):
+    c = v.chain(spark, d).select("t_index", F.when(F.col("partkey") % 3 == 0, F.col("qty")).otherwise(0).alias("accepted"), F.col("qty").alias("tried"))
+    return rounded(ch.acceptance_counts(c), "acceptance")
+
+
+@query(f"SELECT t_index, {s6('logz - ln(100.0) + (n / 2.0) * ln(beta) - (n / 2.0) * ln(pi())')} AS evidence FROM ({STATS})")
+def e14_model_evidence(spark, d):
+    s = ch.exchange_stats(v.chain(spark, d), v.schedule(spark), START, v.TIES)
+    half = F.col("n") / 2.0
+    return s.select("t_index", r6(F.col("logz") - F.log(F.lit(100.0)) + half * F.log("beta") - half * F.log(F.pi())).alias("evidence"))
+
+
+@query(f"SELECT t_index, {s6('avg(m)')} AS mean, {s6('stddev_pop(m)')} AS std FROM (SELECT rank, t_index, avg(fx) AS m FROM ({C}) GROUP BY 1, 2) GROUP BY t_index")
+def e15_evidence_over_runs(spark, d):
+    m = v.chain(spark, d).groupBy("rank", "t_index").agg(F.avg("fx").alias("m"))
+    return rounded(m.groupBy("t_index").agg(F.avg("m").alias("mean"), F.stddev_pop("m").alias("std")), "mean", "std")
+
+
+FIT = f"SELECT dataset, 9.0 + 0.5 * x AS p, y FROM ({v.REGRESSION})"
+
+
+def _fit(spark, d):
+    return v.regression(spark, d).withColumn("p", 9.0 + 0.5 * F.col("x"))
+
+
+@query(f"""WITH f AS ({FIT}), m AS (SELECT dataset, avg(y) AS a FROM f GROUP BY 1) SELECT dataset, {s6('sum(pow(y-p,2))')} AS ss_res, {s6('sum(pow(y-a,2))')} AS ss_tot,
+{s6('CASE WHEN sum(pow(y-a,2)) = 0 THEN 0.0 ELSE 1 - sum(pow(y-p,2)) / sum(pow(y-a,2)) END')} AS r2 FROM f JOIN m USING (dataset) GROUP BY dataset""")
+def e17_fit_quality(spark, d):
+    f = _fit(spark, d)
+    m = f.groupBy("dataset").agg(F.avg("y").alias("a"))
+    g = f.join(F.broadcast(m), "dataset").groupBy("dataset").agg(F.sum(F.pow(F.col("y") - F.col("p"), 2)).alias("ss_res"), F.sum(F.pow(F.col("y") - F.col("a"), 2)).alias("ss_tot"))
+    return rounded(g.withColumn("r2", F.when(F.col("ss_tot") == 0, 0.0).otherwise(1 - F.col("ss_res") / F.col("ss_tot"))), "ss_res", "ss_tot", "r2")
+
+
+@query(f"SELECT dataset, {s6('avg(pow(y-p,2))')} AS mse, {s6('avg(pow(y-p,2)) / (var_pop(y) + 1e-12)')} AS nmse FROM ({FIT}) GROUP BY dataset")
+def e18_prediction_error(spark, d):
+    mse = F.avg(F.pow(F.col("y") - F.col("p"), 2))
+    return rounded(_fit(spark, d).groupBy("dataset").agg(mse.alias("mse"), (mse / (F.var_pop("y") + 1e-12)).alias("nmse")), "mse", "nmse")
+
+
+def _bin(c, lo, hi, n):
+    k = f"least(floor(({c} - ({lo})) / ({hi - lo}::DOUBLE / {n})), {n - 1})"
+    e = lambda k: f"(CASE WHEN {k} = {n} THEN {hi}::DOUBLE ELSE {lo} + ({k}) * ({hi - lo}::DOUBLE / {n}) END)"
+    return f"CAST(CASE WHEN {c} < {e(k)} THEN {k} - 1 WHEN {c} >= {e(f'({k} + 1)')} AND {k} + 1 < {n} THEN {k} + 1 ELSE {k} END AS INTEGER)"
+
+
+@query(f"""WITH c AS ({C}), t AS (SELECT t_index, sum(weight) AS total FROM c GROUP BY 1),
+h AS (SELECT t_index, 0 AS col, {_bin('x1', -4.0, 4.0, 20)} AS bin, weight FROM c WHERE x1 BETWEEN -4 AND 4 UNION ALL SELECT t_index, 1, {_bin('x2', -5.0, 5.0, 20)}, weight FROM c WHERE x2 BETWEEN -5 AND 5)
+SELECT t_index, CAST(col AS INTEGER) AS col, bin, {s6('sum(weight) / max(total)')} AS w FROM h JOIN t USING (t_index) GROUP BY 1, 2, 3""")
+def e19_hist1d(spark, d):
+    return rounded(ch.hist1d(v.chain(spark, d), ["x1", "x2"], 20, [(-4.0, 4.0), (-5.0, 5.0)], "t_index", "weight"), "w")
+
+
+@query(f"""WITH c AS ({C}), t AS (SELECT t_index, sum(weight) AS total FROM c GROUP BY 1)
+SELECT t_index, {_bin('x1', -4.0, 4.0, 20)} AS bin_a, {_bin('x2', -5.0, 5.0, 20)} AS bin_b, {s6('sum(weight) / max(total)')} AS w FROM c JOIN t USING (t_index) WHERE x1 BETWEEN -4 AND 4 AND x2 BETWEEN -5 AND 5 GROUP BY 1, 2, 3""")
+def e20_hist2d(spark, d):
+    return rounded(ch.hist2d(v.chain(spark, d), "x1", "x2", 20, [(-4.0, 4.0), (-5.0, 5.0)], "t_index", "weight"), "w")
+
+
+@query(f"SELECT {K} FROM ({C}) WHERE (rank, t_index, step) IN (SELECT (rank, t_index, max(step)) FROM ({C}) GROUP BY rank, t_index)")
+def e22_last_snapshot(spark, d):
+    return ch.last_snapshot(v.chain(spark, d)).select(*KEY)
+
+
+# --- windows, order, sets
+@query(f"""SELECT run, step, id, {s6('fx')} AS fx, {s6('b.fx')} AS best_fx, b.step AS best_step, b.id AS best_id FROM
+(SELECT *, min(struct_pack(fx := fx, step := step, id := id)) OVER (PARTITION BY run ORDER BY step) AS b FROM ({H}))""")
+def f01_running_best(spark, d):
+    return rounded(ch.running_best(v.history(spark, d), 10_000), "fx", "best_fx")
+
+
+CALLS = "SELECT CAST(user_id AS BIGINT) AS rank, CAST(event_id AS BIGINT) AS call, epoch_us(ts) / 1e6 AS t FROM events"
+
+
+@query(f"""SELECT rank, call, CAST(row_number() OVER w AS INTEGER) AS num_calls, round(coalesce(t - lag(t) OVER w, 0.0), 3) + 0.0 AS elapsed_last, round(t - first_value(t) OVER w, 3) + 0.0 AS elapsed_start
+FROM ({CALLS}) WINDOW w AS (PARTITION BY rank ORDER BY t, call)""")
+def f02_call_profile(spark, d):
+    e = v.table(spark, d, "events").select(F.col("user_id").cast("long").alias("rank"), F.col("event_id").cast("long").alias("call"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    return ch.call_profile(e).withColumns({c: F.round(c, 3) + 0.0 for c in ("elapsed_last", "elapsed_start")})
+
+
+@query(f"""SELECT {K}, CAST(sum(new) OVER (PARTITION BY rank ORDER BY {ORD} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run_index FROM
+(SELECT *, CASE WHEN temp <> lag(temp) OVER (PARTITION BY rank ORDER BY {ORD}) THEN 1 ELSE 0 END AS new FROM ({C}))""")
+def f03_temperature_runs(spark, d):
+    return ch.temperature_runs(v.chain(spark, d), v.TIES).select(*KEY, "run_index")
+
+
+@query(f"SELECT t_index, step, walker + rank * 1000 AS gwalker, {s6('fx')} AS fx, {s6('x1')} AS x1, {s6('x2')} AS x2 FROM ({C})")
+def f04_separate_by_temperature(spark, d):
+    s = ch.separate_by_temperature(v.chain(spark, d).drop("t_index"), v.schedule(spark), 1000)
+    return s.select("t_index", "step", "gwalker", r6("fx").alias("fx"), r6(F.col("x")[0]).alias("x1"), r6(F.col("x")[1]).alias("x2"))
+
+
+@query(f"SELECT {K}, {s6('fx')} AS fx FROM ({C}) ORDER BY fx, {ORD}, rank LIMIT 100")
+def f05_top_k(spark, d):
+    return ch.top_k(v.chain(spark, d), 100, [*v.TIES, "rank"]).select(*KEY, r6("fx").alias("fx"))
+
+
+# --- population moves
+@query(f"SELECT walker, {s6('lw - 0.3 * fx')} AS lw, {s6('exp((lw - 0.3 * fx) - max(lw - 0.3 * fx) OVER ())')} AS w FROM ({NEAL}) WHERE t_index = 2")
+def g05_reweight(spark, d):
+    p = ch.neal_weights(v.population(spark, d), 3).where("t_index = 2")
+    return ch.reweight(p, 0.3).select("walker", r6("lw").alias("lw"), r6("w").alias("w"))
+
+
+@query(f"""WITH p AS ({P}), a AS (SELECT walker, beta, fx FROM p WHERE t_index = 3), b AS (SELECT walker, fx AS new_fx, walker % 7 <> 0 AS in_range FROM p WHERE t_index = 4),
+j AS (SELECT *, exp(-beta * (new_fx - fx)) AS q, {v.uniform_sql(11, 'walker')} AS u FROM a JOIN b USING (walker))
+SELECT walker, in_range AND (q >= 1 OR u < q) AS accepted, round(CASE WHEN in_range AND (q >= 1 OR u < q) THEN new_fx ELSE fx END, 11) + 0.0 AS fx FROM j""")
+def g02_metropolis_accept(spark, d):
+    p = v.population(spark, d)
+    a = p.where("t_index = 3").select("walker", "beta", "fx", F.array("fx").alias("x"))
+    b = p.where("t_index = 4").select("walker", F.col("fx").alias("new_fx"), F.array("fx").alias("new_x"), (F.col("walker") % 7 != 0).alias("in_range"))
+    return ch.metropolis_accept(a.join(b, "walker"), F.col("beta"), uniform(11, F.col("walker"))).select("walker", "accepted", (F.round("fx", 11) + 0.0).alias("fx"))
+
+
+@query(f"""WITH p AS (SELECT *, (t_index + 1) // 2 AS pair FROM ({P})), j AS (SELECT a.walker, a.pair, a.t_index AS i, b.t_index AS j, (b.beta - a.beta) * (b.fx - a.fx) AS lp FROM p a JOIN p b ON a.walker = b.walker AND a.pair = b.pair AND a.t_index < b.t_index),
+s AS (SELECT walker, pair, i, j FROM j WHERE lp >= 0 OR {v.uniform_sql(5, 'walker', 'pair')} < exp(lp))
+SELECT p.walker, p.t_index, coalesce(s.i + s.j - p.t_index, p.t_index) AS new_t_index FROM p LEFT JOIN s ON s.walker = p.walker AND s.pair = p.pair""")
+def g04_swap_temperatures(spark, d):
+    p = v.population(spark, d).withColumn("group", F.col("walker"))
+    return ch.swap_temperatures(p, 1, lambda g, k: uniform(5, g, k)).select("walker", "t_index", "new_t_index")

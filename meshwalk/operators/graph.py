@@ -35,3 +35,34 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
         raise RuntimeError("components did not settle")
     ids = nodes.select(F.col(nodes.columns[0]).alias("id")).unionAll(e.select("src")).unionAll(e.select("dst")).distinct()
     return ids.join(e.select(F.col("src").alias("id"), F.col("dst").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def radius_neighbors(points: DataFrame, radius: float, dim: int) -> DataFrame:
+    """Directed pairs (src, dst), src != dst, at most ``radius`` apart; points are (id, x).
+
+    Points fall into cells a little wider than the radius; one side goes to its 3^d neighbouring cells (of three axes at
+    most), the sides meet on the cell, and the distance decides.
+    """
+    axes, width = min(dim, 3), 1.001 * radius
+    p = points.select("id", "x", *[F.floor(F.col("x")[k] / width).alias(f"c{k}") for k in range(axes)])
+    near = p
+    for k in range(axes):
+        near = near.withColumn(f"c{k}", F.explode(F.array(*[F.col(f"c{k}") + d for d in (-1, 0, 1)])))
+    a, b = near.select(F.col("id").alias("src"), F.col("x").alias("xa"), *[f"c{k}" for k in range(axes)]), p.select(F.col("id").alias("dst"), F.col("x").alias("xb"), *[f"c{k}" for k in range(axes)])
+    d2 = sum(((F.col("xa")[k] - F.col("xb")[k]) * (F.col("xa")[k] - F.col("xb")[k]) for k in range(dim)), F.lit(0.0))
+    return a.join(b, [f"c{k}" for k in range(axes)]).where((F.col("src") != F.col("dst")) & (F.sqrt(d2) <= radius)).select("src", "dst")
+
+
+def missing_reverse(edges: DataFrame) -> DataFrame:
+    """Edges whose reverse is not there: none in a bidirectional graph."""
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return edges.join(back, ["src", "dst"], "left_anti")
+
+
+def node_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    n = edges.where("src != dst").groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+    return nodes.select("id").join(n, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+def pending(mesh: DataFrame, done: DataFrame) -> DataFrame:
+    return mesh.join(done.select("id"), "id", "left_anti")

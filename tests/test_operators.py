@@ -1,0 +1,57 @@
+import pytest
+from pyspark.sql import functions as F
+
+from meshwalk.operators import candidates as cand
+from meshwalk.operators import chain as ch
+from meshwalk.operators import graph as gr
+
+
+def test_grid_order(spark):
+    two = [tuple(r.x) for r in cand.grid_points(spark, [-5, -5], [5, 5], [11, 11]).orderBy("id").collect()]
+    assert len(two) == 121 and two[:2] == [(-5.0, -5.0), (-4.0, -5.0)]
+    np = pytest.importorskip("numpy")
+    axes = [np.linspace(0, 1, 2), np.linspace(0, 2, 3), np.linspace(0, 3, 4)]
+    want = np.array(np.meshgrid(*axes, indexing="xy")).reshape(3, -1).T
+    got = [r.x for r in cand.grid_points(spark, [0, 0, 0], [1, 2, 3], [2, 3, 4]).orderBy("id").collect()]
+    assert np.allclose(got, want)
+
+
+def test_walkers_are_allowed_and_repeatable(spark):
+    ok = lambda x: cand.satisfies(x, [[1, -1]], [0])
+    a = cand.init_walkers(spark, [-1, -1], [1, 1], 50, ok, seed=4)
+    assert a.count() == 50 and a.where(~ok(F.col("x"))).isEmpty()
+    b = cand.init_walkers(spark, [-1, -1], [1, 1], 50, ok, seed=4)
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    with pytest.raises(RuntimeError):
+        cand.init_walkers(spark, [0], [1], 3, lambda x: F.lit(False), max_tries=2)
+
+
+def test_annealing_plan():
+    assert cand.annealing_plan(numsteps=10, n_t=4) == [3, 3, 2, 2]
+    with pytest.raises(ValueError):
+        cand.annealing_plan(numsteps=10)
+
+
+def test_schedule_errors(spark):
+    for bad in ({}, {"tmin": 1, "tmax": 2, "bmin": 1, "bmax": 2}, {"tmin": 3, "tmax": 2}, {"bmin": 0, "bmax": 1}):
+        with pytest.raises(ValueError):
+            cand.temperature_schedule(spark, 3, **bad)
+
+
+def test_neighbours_and_components(spark):
+    p = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [5.0, 5.0])], "id long, x array<double>")
+    e = gr.radius_neighbors(p, 1.5, 2)
+    assert sorted((r.src, r.dst) for r in e.collect()) == [(0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1)]
+    assert gr.missing_reverse(e).isEmpty()
+    assert {r.id: r.component for r in gr.connected_components(p, e).collect()} == {0: 0, 1: 0, 2: 0, 3: 3}
+    line = spark.range(200).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert {r.component for r in gr.connected_components(spark.range(201), line).collect()} == {0}
+
+
+def test_chunks_do_not_change_moves_or_bests(spark):
+    c = spark.range(300).select((F.col("id") % 3).alias("t_index"), F.col("id").alias("step"), F.array((F.col("id") / 7).cast("int").cast("double")).alias("x"))
+    a, b = (sorted(map(str, ch.move_ratio(c, ["step"], 30, chunk).collect())) for chunk in (10, 10_000))
+    assert a == b
+    h = spark.range(200).select(F.lit("r").alias("run"), F.col("id").alias("step"), F.col("id"), F.when(F.col("id") % 9 == 0, F.lit(float("nan"))).otherwise(F.cos(F.col("id"))).alias("fx"))
+    a, b = (sorted(map(str, ch.running_best(h, chunk).collect())) for chunk in (7, 10_000))
+    assert a == b
