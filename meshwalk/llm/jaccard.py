@@ -18,6 +18,9 @@ PERCENT = 75
 TOKEN_PAIRS = 1000
 #: First prefix: one required match more for each STEP shingles.
 STEP = 32
+STARS = 2
+#: Shingles of all sets to be compared up to which they are broadcast (8 bytes each); beyond it they are joined by shuffle.
+BROADCAST_SHINGLES = 2_000_000
 
 
 def least_overlap(n, percent):
@@ -71,6 +74,7 @@ class _Join:
         self.base = cut(base, "classes")
         self.reps = cut(self.base.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep")), "reps")
         self.links: DataFrame | None = None
+        self.comp, self.settled = None, True
 
     def sets(self, part: str, classes: DataFrame | None = None) -> DataFrame:
         """cls, n, toks of one document of each class (of ``classes``)."""
@@ -86,23 +90,43 @@ class _Join:
         if pairs.isEmpty():
             return
         sets = cut(self.sets("full", pairs.select(F.explode(F.array("a", "b")).alias("cls"))), "sets")
-        one = lambda c: sets.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("toks").alias(f"t{c}"))
+        small = (sets.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_SHINGLES
+        one = lambda c: (lambda x: F.broadcast(x) if small else x)(sets.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("toks").alias(f"t{c}")))
         both = F.size(F.array_intersect("ta", "tb"))
         near = pairs.join(sets.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a").join(sets.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
         near = near.where(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")).select("a", "b")
         found = near.join(one("a"), "a").join(one("b"), "b").where(100 * both >= self.percent * (F.col("na") + F.col("nb") - both))
         found = cut(found.select("a", "b"), "links")
         self.links = found if self.links is None else self.links.unionAll(found)
+        self.settled = False
 
     def components(self) -> DataFrame:
         """cls, comp for the classes that have links."""
         if self.links is None:
             return self.reps.limit(0).select("cls", F.col("cls").alias("comp"))
-        return cut(connected_components(self.links.select("a").limit(0), self.links).toDF("cls", "comp"), "components")
+        if not self.settled:
+            comp = cut(connected_components(self.links.select("a").limit(0), self.links).toDF("cls", "comp"), "components")
+            self.comp, self.settled = comp, True
+            # what is known so far is a star for each component
+            self.links = comp.where("cls != comp").select(F.col("cls").alias("a"), F.col("comp").alias("b"))
+        return self.comp
+
+    def with_components(self, rows: DataFrame) -> DataFrame:
+        return rows.join(maybe_broadcast(self.components()), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+
+    def star(self, live: DataFrame, order) -> None:
+        """Verify every class against one hub: of the hubs of its tokens (the class that ``order`` puts last) in another
+        component, the one it meets most often. Linear in the tokens, however many classes share one."""
+        t = self.with_components(live)
+        hub = t.groupBy("token").agg(F.max_by(F.struct(F.col("cls").alias("hub"), F.col("comp").alias("home")), F.struct(order, "cls")).alias("h"))
+        t = t.join(hub.select("token", "h.*"), "token").where("comp != home")
+        t = t.groupBy("cls", "hub", "n").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= F.greatest(F.lit(1), F.floor(F.col("n") * self.percent / (100 * STEP))))
+        t = t.groupBy("cls").agg(F.max_by("hub", F.struct("m", "hub")).alias("hub"))
+        self.verify(t.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct())
 
     def labelled(self, tokens: DataFrame) -> DataFrame:
         """Rows (token, cls, rank, n) that some other component has too, with comp and whether the token is expensive."""
-        t = tokens.join(maybe_broadcast(self.components()), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        t = self.with_components(tokens)
         cost = t.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
         cost = cost.select("token", ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("cost")).where("cost > 0")
         return t.join(cost.select("token", (F.col("cost") > self.token_pairs).alias("heavy")), "token")
@@ -115,16 +139,28 @@ class _Join:
         p = p.groupBy(F.col("clsa").alias("a"), F.col("clsb").alias("b")).agg(F.count(F.lit(1)).alias("m"), F.least(F.first("needa"), F.first("needb")).alias("need"))
         return p.where("m >= need")
 
+    def propose_once(self, rows: DataFrame) -> DataFrame:
+        """Pairs of classes in different components that share a token, each made only at its smallest shared token: for
+        rows of which pairs share many."""
+        own = rows.groupBy("cls").agg(F.sort_array(F.collect_list("token")).alias("own"))
+        rows = rows.join(own, "cls")
+        x, y = (rows.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("cls", "comp", "n", "own")]) for i in "ab")
+        sized = 100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")
+        first = F.array_min(F.array_intersect("owna", "ownb"))
+        return x.join(y, (x["token"] == y["token"]) & (F.col("clsa") < F.col("clsb")) & (F.col("compa") != F.col("compb")) & sized & (first == x["token"])).select(F.col("clsa").alias("a"), F.col("clsb").alias("b"))
+
     def run(self) -> None:
         overlap = lambda: F.floor((F.col("n") * self.percent + 99) / 100)
         base = F.col("n") - overlap()
         every = self.sets("prefix").select("cls", "n", F.posexplode("toks").alias("rank", "token"))
-        live = every.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high")
+        live = every.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count(F.lit(1)).alias("c")).where("low < high").select("token", "c")
         live = cut(every.join(live, "token").distinct(), "live")
-        # stars: every class against the first and the last class of its tokens, if they meet often enough
-        stars = live.select("cls", "n", F.explode(F.array("low", "high")).alias("hub")).where("cls != hub")
-        stars = stars.groupBy("cls", "hub", "n").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= F.greatest(F.lit(1), F.floor(F.col("n") * self.percent / (100 * STEP))))
-        self.verify(stars.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct())
+        # stars join most groups of near copies before any pairs are made: hubs are first the classes with the most common
+        # tokens (a text is more central than its copies), then others at random
+        fame = live.groupBy("cls").agg(F.avg(F.log("c")).alias("fame"))
+        self.star(live.join(maybe_broadcast(fame), "cls"), F.col("fame"))
+        for r in range(1, STARS):
+            self.star(live, F.xxhash64("cls", F.lit(r)))
         # first prefixes: first_matches(n) tokens must be shared, of which too few may be expensive
         rows = self.labelled(live.select("token", "cls", "rank", "n"))
         rows = cut(rows.withColumn("ell", F.floor(F.col("n") / STEP) + 1), "labelled")
@@ -150,7 +186,7 @@ class _Join:
         # sets that are expensive nearly throughout: what is left across components is compared on plain prefixes
         if not n.where("dense").isEmpty():
             left = self.labelled(rows.where(F.col("dense") & (F.col("rank") < base + 1)).select("token", "cls", "rank", "n"))
-            self.verify(self.propose(left.withColumn("need", F.lit(1).cast("long"))))
+            self.verify(self.propose_once(left))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, token_pairs: int = TOKEN_PAIRS) -> DataFrame:
