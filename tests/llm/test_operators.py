@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from meshwalk.llm import decontaminate, jaccard, mixing, quality, substring, tokens, tokenstore, toxicity, urls, warc
@@ -267,7 +268,8 @@ def test_oracles(spark):
         a, b = QUERIES[name](spark, data).toPandas(), c.sql(sql).df()
         cols = sorted(a.columns)
         assert cols == sorted(b.columns)
-        show = lambda f: sorted(str(tuple(int(x) if isinstance(x, float) and x == x else None if x is None or x != x else x for x in r)) for r in f[cols].astype(object).itertuples(index=False, name=None))  # noqa: E731, B023
+        clean = lambda x: None if pd.isna(x) else int(x) if isinstance(x, float) else x
+        show = lambda f: sorted(str(tuple(map(clean, r))) for r in f[cols].astype(object).itertuples(index=False, name=None))  # noqa: E731, B023
         assert len(a) == len(b) and show(a) == show(b), name
 
 
