@@ -18,9 +18,12 @@ PERCENT = 75
 TOKEN_PAIRS = 1000
 #: First prefix: one required match more for each STEP shingles.
 STEP = 32
-STARS = 2
+#: Hubs of the stars among sets that are expensive nearly throughout.
+STARS = 8
 #: Shingles of all sets to be compared up to which they are broadcast (8 bytes each); beyond it they are joined by shuffle.
 BROADCAST_SHINGLES = 2_000_000
+#: Pairs that one task verifies.
+TASK_PAIRS = 20_000
 
 
 def least_overlap(n, percent):
@@ -87,7 +90,8 @@ class _Join:
     def verify(self, pairs: DataFrame) -> None:
         """Adds those of ``pairs`` (a, b) whose sets are similar enough, by exact overlap."""
         pairs = cut(pairs.select("a", "b"), "pairs")
-        if pairs.isEmpty():
+        count = pairs.count()
+        if not count:
             return
         sets = cut(self.sets("full", pairs.select(F.explode(F.array("a", "b")).alias("cls"))), "sets")
         small = (sets.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_SHINGLES
@@ -95,6 +99,8 @@ class _Join:
         both = F.size(F.array_intersect("ta", "tb"))
         near = pairs.join(sets.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a").join(sets.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
         near = near.where(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")).select("a", "b")
+        # pairs are few bytes and much work: dealt by number, not by size
+        near = near.repartition(count // TASK_PAIRS + 1, "a", "b")
         found = near.join(one("a"), "a").join(one("b"), "b").where(100 * both >= self.percent * (F.col("na") + F.col("nb") - both))
         found = cut(found.select("a", "b"), "links")
         self.links = found if self.links is None else self.links.unionAll(found)
@@ -114,14 +120,15 @@ class _Join:
     def with_components(self, rows: DataFrame) -> DataFrame:
         return rows.join(maybe_broadcast(self.components()), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
 
-    def star(self, live: DataFrame, order) -> None:
-        """Verify every class against one hub: of the hubs of its tokens (the class that ``order`` puts last) in another
-        component, the one it meets most often. Linear in the tokens, however many classes share one."""
-        t = self.with_components(live)
-        hub = t.groupBy("token").agg(F.max_by(F.struct(F.col("cls").alias("hub"), F.col("comp").alias("home")), F.struct(order, "cls")).alias("h"))
-        t = t.join(hub.select("token", "h.*"), "token").where("comp != home")
-        t = t.groupBy("cls", "hub", "n").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= F.greatest(F.lit(1), F.floor(F.col("n") * self.percent / (100 * STEP))))
-        t = t.groupBy("cls").agg(F.max_by("hub", F.struct("m", "hub")).alias("hub"))
+    def star(self, rows: DataFrame, orders: list) -> None:
+        """Verify every class against one hub for each order: of the hubs of its tokens (the class that the order puts last)
+        in another component, the one it meets most often. Linear in the tokens, however many classes share one."""
+        t = self.with_components(rows)
+        one = F.struct(F.col("cls").alias("hub"), F.col("comp").alias("home"))
+        hub = t.groupBy("token").agg(F.array(*[F.max_by(one, F.struct(o, "cls")) for o in orders]).alias("hubs")).select("token", F.posexplode("hubs").alias("order", "h"))
+        t = t.join(hub.select("token", "order", "h.*"), "token").where("comp != home")
+        t = t.groupBy("cls", "order", "hub", "n").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= F.greatest(F.lit(1), F.floor(F.col("n") * self.percent / (100 * STEP))))
+        t = t.groupBy("cls", "order").agg(F.max_by("hub", F.struct("m", "hub")).alias("hub"))
         self.verify(t.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct())
 
     def labelled(self, tokens: DataFrame) -> DataFrame:
@@ -132,16 +139,16 @@ class _Join:
         return t.join(cost.select("token", (F.col("cost") > self.token_pairs).alias("heavy")), "token")
 
     def propose(self, rows: DataFrame) -> DataFrame:
-        """Pairs of classes in different components that share at least ``need`` of the given tokens."""
-        x, y = (rows.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("cls", "comp", "n", "need")]) for i in "ab")
+        """Pairs of classes in different components, not both dense, that share at least ``need`` of the given tokens."""
+        x, y = (rows.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("cls", "comp", "n", "need", "dense")]) for i in "ab")
         sized = 100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")
-        p = x.join(y, "token").where((F.col("clsa") < F.col("clsb")) & (F.col("compa") != F.col("compb")) & sized)
+        p = x.join(y, "token").where((F.col("clsa") < F.col("clsb")) & (F.col("compa") != F.col("compb")) & sized & ~(F.col("densea") & F.col("denseb")))
         p = p.groupBy(F.col("clsa").alias("a"), F.col("clsb").alias("b")).agg(F.count(F.lit(1)).alias("m"), F.least(F.first("needa"), F.first("needb")).alias("need"))
         return p.where("m >= need")
 
     def propose_once(self, rows: DataFrame) -> DataFrame:
-        """Pairs of classes in different components that share a token, each made only at its smallest shared token: for
-        rows of which pairs share many."""
+        """Pairs of classes in different components that share a token of ``rows``, each made only at its smallest shared
+        token: for rows of which pairs share many."""
         own = rows.groupBy("cls").agg(F.sort_array(F.collect_list("token")).alias("own"))
         rows = rows.join(own, "cls")
         x, y = (rows.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("cls", "comp", "n", "own")]) for i in "ab")
@@ -149,6 +156,16 @@ class _Join:
         first = F.array_min(F.array_intersect("owna", "ownb"))
         return x.join(y, (x["token"] == y["token"]) & (F.col("clsa") < F.col("clsb")) & (F.col("compa") != F.col("compb")) & sized & (first == x["token"])).select(F.col("clsa").alias("a"), F.col("clsb").alias("b"))
 
+    def cheapest_first(self, full: DataFrame) -> DataFrame:
+        """Rows (token, cls, comp, n) of the plain prefixes of ``full`` sets (token, cls, n) when tokens are ordered by the
+        pairs across components that they propose: those of one component only come first and need not be returned."""
+        t = self.with_components(full)
+        cost = t.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+        cost = cost.select("token", ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("cost"))
+        own = t.join(cost, "token").groupBy("cls", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("cost", "token"))).alias("own"))
+        own = own.withColumn("own", F.slice("own", F.lit(1), (F.col("n") - F.floor((F.col("n") * self.percent + 99) / 100) + 1).cast("int")))
+        return own.select("cls", "comp", "n", F.explode("own").alias("t")).where("t.cost > 0").select("t.token", "cls", "comp", "n")
+
     def run(self) -> None:
         overlap = lambda: F.floor((F.col("n") * self.percent + 99) / 100)
         base = F.col("n") - overlap()
@@ -158,22 +175,20 @@ class _Join:
         # stars join most groups of near copies before any pairs are made: hubs are first the classes with the most common
         # tokens (a text is more central than its copies), then others at random
         fame = live.groupBy("cls").agg(F.avg(F.log("c")).alias("fame"))
-        self.star(live.join(maybe_broadcast(fame), "cls"), F.col("fame"))
-        for r in range(1, STARS):
-            self.star(live, F.xxhash64("cls", F.lit(r)))
+        self.star(live.join(maybe_broadcast(fame), "cls"), [F.col("fame"), F.xxhash64("cls", F.lit(0))])
         # first prefixes: first_matches(n) tokens must be shared, of which too few may be expensive
         rows = self.labelled(live.select("token", "cls", "rank", "n"))
         rows = cut(rows.withColumn("ell", F.floor(F.col("n") / STEP) + 1), "labelled")
         dear = F.sum(F.when(F.col("heavy") & (F.col("rank") < base + F.col("ell")), 1).otherwise(0))
         need = rows.groupBy("cls").agg((F.first("ell") - dear).alias("need"))
         need = cut(need, "need")
-        cheap = rows.where("not heavy").join(maybe_broadcast(need.select("cls", F.greatest("need", F.lit(1)).alias("need"))), "cls")
+        cheap = rows.where("not heavy").join(maybe_broadcast(need.select("cls", F.greatest("need", F.lit(1)).alias("need"))), "cls").withColumn("dense", F.lit(False))
         self.verify(self.propose(cheap))
         # longer prefixes, over whole sets, for those with as many expensive tokens as required matches
         longer = need.where("need <= 0").select("cls")
         if longer.isEmpty():
             return
-        full = self.sets("full", longer).select("cls", "n", F.posexplode("toks").alias("rank", "token"))
+        full = cut(self.sets("full", longer).select("cls", "n", F.posexplode("toks").alias("rank", "token")), "full")
         rows = cut(self.labelled(full), "labelled2")
         ranks = F.sort_array(F.collect_list(F.when(F.col("heavy"), F.col("rank").cast("long"))))
         n = rows.groupBy("cls").agg(F.first("n").alias("n"), ranks.alias("ranks"))
@@ -183,9 +198,13 @@ class _Join:
         rows = rows.join(maybe_broadcast(n), "cls").withColumn("need", F.lit(1).cast("long"))
         inside = F.col("dense") | (F.col("rank") < base + F.col("ell"))
         self.verify(self.propose(rows.where(~F.col("heavy") & inside)))
-        # sets that are expensive nearly throughout: what is left across components is compared on plain prefixes
-        if not n.where("dense").isEmpty():
-            left = self.labelled(rows.where(F.col("dense") & (F.col("rank") < base + 1)).select("token", "cls", "rank", "n"))
+        # sets that are expensive nearly throughout are compared with each other on prefixes of their cheapest tokens
+        dense = n.where("dense").select("cls")
+        if not dense.isEmpty():
+            # here many sets meet at every token: again stars first, with more hubs
+            rows = rows.where(F.col("dense") & (F.col("rank") < base + 1)).select("token", "cls", "n")
+            self.star(rows, [F.xxhash64("cls", F.lit(r)) for r in range(1, STARS)])
+            left = cut(self.cheapest_first(full.join(maybe_broadcast(dense), "cls").select("token", "cls", "n")), "cheapest")
             self.verify(self.propose_once(left))
 
 
@@ -197,8 +216,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     ignore l - 1 tokens of its prefix: those proposing too many pairs (estimated over all documents as pairs across the
     components known so far). Where they are more, the prefix and the required matches grow until they suffice. Copies
     count once (class_id is the smallest doc_id with the same set); links inside one component are not needed and not
-    made; every other candidate pair is verified by exact overlap. No cap on candidates: a set whose tokens are nearly
-    all expensive is compared with the others of its kind on the plain prefix.
+    made; every other candidate pair is verified by exact overlap. No cap on candidates: sets whose tokens are
+    nearly all expensive are compared with each other on plain prefixes in the order of the tokens' cost.
 
     Null and wordless texts have n_shingles 0 and are linked with nothing (component_id is their doc_id). Rows with a
     null doc_id get the component of their class if it has an id, else null. Repeated rows get equal results. An empty
