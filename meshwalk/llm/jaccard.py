@@ -81,7 +81,7 @@ class _Join:
 
     def sets(self, part: str, classes: DataFrame | None = None) -> DataFrame:
         """cls, n, toks of one document of each class (of ``classes``)."""
-        reps = self.reps if classes is None else self.reps.join(maybe_broadcast(classes.select("cls").distinct()), "cls", "left_semi")
+        reps = self.reps if classes is None else self.reps.join(maybe_broadcast(classes), "cls", "left_semi")
         d = keep_or_drop(self.docs.where("doc_id is not null"), reps.select("rep"), "left_semi")
         # rows that share the id may stand twice
         s = d.mapInArrow(_sets(self.shingle, self.percent, part), "cls long, n long, toks array<long>").where("cls is not null")
@@ -93,7 +93,9 @@ class _Join:
         count = pairs.count()
         if not count:
             return
-        sets = cut(self.sets("full", pairs.select(F.explode(F.array("a", "b")).alias("cls"))), "sets")
+        # once, for the counting and the joining of it
+        classes = cut(pairs.select(F.col("a").alias("cls")).distinct().unionAll(pairs.select("b").distinct()).distinct(), "paired")
+        sets = cut(self.sets("full", classes), "sets")
         small = (sets.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_SHINGLES
         one = lambda c: (lambda x: F.broadcast(x) if small else x)(sets.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("toks").alias(f"t{c}")))
         both = F.size(F.array_intersect("ta", "tb"))
