@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 
 from meshwalk.functions import objectives as obj
 from meshwalk.functions.rng import uniform
+from meshwalk.functions.shared import shared_dir
 from meshwalk.jobs import views as v
 from meshwalk.operators import candidates as cand
 from meshwalk.operators import chain as ch
 from meshwalk.operators import graph as gr
+from meshwalk.operators import population as pop
+from meshwalk.sources import text
+from meshwalk.streaming.chain_stats import stream_fx_moments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -419,3 +423,194 @@ SELECT p.walker, p.t_index, coalesce(s.i + s.j - p.t_index, p.t_index) AS new_t_
 def g04_swap_temperatures(spark, d):
     p = v.population(spark, d).withColumn("group", F.col("walker"))
     return ch.swap_temperatures(p, 1, lambda g, k: uniform(5, g, k)).select("walker", "t_index", "new_t_index")
+
+
+# --- joins of candidates with data
+NBRS = f"SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS r, count(*) OVER (PARTITION BY src) AS deg FROM ({EDGES})"
+
+
+@query(f"""WITH k AS ({NBRS}), d AS (SELECT DISTINCT src, deg FROM k), p AS ({v.POINTS})
+SELECT k.src AS walker, k.dst AS new_node, {s6('x1')} AS x1, {s6('k.deg / d.deg')} AS hastings FROM k JOIN d ON d.src = k.dst JOIN p ON p.id = k.dst WHERE k.r = floor({v.uniform_sql(7, 'k.src')} * k.deg)""")
+def d07_propose_discrete(spark, d):
+    p = v.points(spark, d)
+    m = gr.propose_discrete(p.select(F.col("id").alias("walker"), F.col("id").alias("node")), _edges(spark, d), p, lambda w: uniform(7, w))
+    return m.select("walker", "new_node", r6(F.col("new_x")[0]).alias("x1"), r6("hastings").alias("hastings"))
+
+
+@query(f"""WITH c AS ({C}), r AS (SELECT rank, step, walker, CASE WHEN partkey % 3 = 0 THEN x1 ELSE x1 + 1 END AS y1, x2 AS y2 FROM c)
+SELECT t_index, CAST(sum(CASE WHEN x1 = y1 AND x2 = y2 THEN 1 ELSE 0 END) AS BIGINT) AS accepted, count(*) AS tried FROM c JOIN r USING (rank, step, walker) GROUP BY t_index""")
+def d09_trial_result_accept(spark, d):
+    c = v.chain(spark, d)
+    moved = F.when(F.col("partkey") % 3 == 0, F.col("x1")).otherwise(F.col("x1") + 1)
+    return ch.trial_result_accept(c, c.withColumn("x", F.array(moved, "x2")))
+
+
+@query(f"SELECT id, round(sum(pow(p.x1 + p.x2 * r.x + p.x3 * r.x * r.x - r.y, 2)) / count(*), 4) + 0.0 AS loss FROM ({v.POINTS}) p CROSS JOIN ({v.REGRESSION}) r GROUP BY id")
+def d10_candidate_loss(spark, d):
+    loss = gr.candidate_loss(v.points(spark, d).withColumnRenamed("x", "a"), v.regression(spark, d), 2)
+    return loss.select("id", (F.round(F.col("loss") / F.col("n"), 4) + 0.0).alias("loss"))
+
+
+@query(f"""WITH c AS ({C}), o AS (SELECT t_index, step, avg(fx) AS o FROM c GROUP BY 1, 2), w AS (SELECT t_index, temp / sum(temp) OVER () AS w FROM ({S})),
+s AS (SELECT walker, t_index, sum(pow(o - fx, 2)) AS ss FROM c JOIN o USING (t_index, step) GROUP BY 1, 2) SELECT walker AS candidate, {s6('sum(w * ss)')} AS r2 FROM s JOIN w USING (t_index) GROUP BY 1""")
+def d11_rfactor2(spark, d):
+    c = v.chain(spark, d).select(F.col("walker").alias("candidate"), F.col("t_index").alias("dataset"), F.col("step").alias("i"), F.col("fx").alias("p"))
+    w = v.schedule(spark).select(F.col("t_index").alias("dataset"), F.col("temp").alias("w"))
+    return rounded(gr.rfactor2(c, c.groupBy("dataset", "i").agg(F.avg("p").alias("o")), w), "r2")
+
+
+# --- further statistics
+@query(f"SELECT id, {s6('fx')} AS fx FROM (SELECT id, pow(x1*x1 + x2 - 11, 2) + pow(x1 + x2*x2 - 7, 2) AS fx FROM ({v.POINTS})) ORDER BY fx, id LIMIT 1")
+def e02_colormap_min(spark, d):
+    m = v.points(spark, d).select("id", obj.himmelblau(F.slice("x", 1, 2)).alias("fx"))
+    return rounded(m.agg(F.min_by(F.struct("id", "fx"), F.struct("fx", "id")).alias("m")).select("m.*"), "fx")
+
+
+def _population(spark, d):
+    return ch.neal_weights(v.population(spark, d), 3)
+
+
+def _betas(spark, d):
+    return v.population(spark, d).groupBy("t_index").agg(F.first("beta").alias("beta"))
+
+
+POP_LOGZ = f"""WITH n AS ({NEAL}), s AS (SELECT t_index, lead(beta) OVER (ORDER BY t_index) - beta AS step FROM (SELECT DISTINCT t_index, beta FROM n)),
+l AS (SELECT block, lw - step * fx AS u FROM n JOIN s USING (t_index) WHERE step IS NOT NULL AND (t_index, block) IN (SELECT (max(t_index), block) FROM n GROUP BY block)),
+g AS (SELECT block, ln(avg(exp(u))) AS gain FROM l GROUP BY block), i AS (SELECT t_index, max(block) AS block, ln(avg(exp(lw))) AS own FROM n GROUP BY t_index)
+SELECT t_index, own + coalesce((SELECT sum(gain) FROM g WHERE g.block < i.block), 0.0) AS logz FROM i"""
+
+
+@query(f"SELECT t_index, {s6('logz')} AS logz FROM ({POP_LOGZ})")
+def e10_population_log_z(spark, d):
+    return rounded(ch.population_log_z(_population(spark, d), _betas(spark, d)), "logz")
+
+
+@query(f"""SELECT t_index, mean, err, n, {s6('logz')} AS logz, pr FROM ({ORACLE_SQL['e09_weighted_jackknife']}) JOIN ({ORACLE_SQL['e11_participation_ratio']}) USING (t_index)
+JOIN ({POP_LOGZ}) USING (t_index) JOIN (SELECT t_index, count(*) AS n FROM ({P}) GROUP BY 1) USING (t_index)""")
+def e13_population_stats(spark, d):
+    return rounded(ch.population_stats(_population(spark, d), _betas(spark, d)), "mean", "err", "logz", "pr")
+
+
+@query(f"""SELECT {s6('beta')} AS beta, {s6('1 / sqrt(2 * beta)')} AS sigma FROM (SELECT beta, logz - ln(100.0) + (n / 2.0) * ln(beta) - (n / 2.0) * ln(pi()) AS e FROM ({STATS})) ORDER BY e DESC, beta DESC LIMIT 1""")
+def e16_optimal_noise(spark, d):
+    half = F.col("n") / 2.0
+    s = ch.exchange_stats(v.chain(spark, d), v.schedule(spark), START, v.TIES)
+    return rounded(ch.optimal_noise(s.select("beta", (F.col("logz") - F.log(F.lit(100.0)) + half * F.log("beta") - half * F.log(F.pi())).alias("evidence"))), "beta", "sigma")
+
+
+@query(f"""WITH c AS ({C}), t AS (SELECT t_index, count(*) AS total FROM c GROUP BY 1)
+SELECT t_index, {_bin('x1', -5.0, 5.0, 20)} AS bin_a, {_bin('x2', -5.0, 5.0, 20)} AS bin_b, {s6('count(*) / max(total)')} AS w FROM c JOIN t USING (t_index) WHERE x1 BETWEEN -5 AND 5 AND x2 BETWEEN -5 AND 5 GROUP BY 1, 2, 3""")
+def e21_hist2d_equal(spark, d):
+    return rounded(ch.hist2d(v.chain(spark, d), "x1", "x2", 20, [(-5.0, 5.0), (-5.0, 5.0)], "t_index"), "w")
+
+
+@query(f"SELECT {s6('temp')} AS value, count(*) AS n FROM ({C}) GROUP BY temp")
+def e23_distinct_temperatures(spark, d):
+    noisy = v.chain(spark, d).withColumn("temp", F.col("temp") + (F.col("partkey") % 3) * F.lit(1e-9))
+    return rounded(ch.distinct_temperatures(noisy), "value")
+
+
+@query(f"SELECT {K}, row_number() OVER (ORDER BY rank, {ORD}, t_index) - 1 AS id FROM ({C})")
+def f06_union_ranks(spark, d):
+    c = v.chain(spark, d).select(*KEY)
+    return ch.union_ranks([c.where(F.col("rank") == k) for k in range(4)], [*v.TIES, "t_index"])
+
+
+@query(f"SELECT t_index, {s6('beta')} AS beta FROM (SELECT DISTINCT t_index, beta FROM ({P}))")
+def f07_continue_schedule(spark, d):
+    s = _betas(spark, d)
+    return rounded(ch.continue_schedule(s.where("t_index <= 3"), s.where("t_index >= 3").withColumn("t_index", F.col("t_index") - 3)), "beta")
+
+
+# --- proposals, sweeps, resampling
+def _normal(seed, *keys):
+    return f"(sqrt(-2 * ln(greatest({v.uniform_sql(seed, *keys, chr(39) + 'a' + chr(39))}, pow(2.0, -52)))) * cos(2 * pi() * {v.uniform_sql(seed, *keys, chr(39) + 'b' + chr(39))}))"
+
+
+def _walkers(spark, d):
+    return v.points(spark, d).select(F.col("id").alias("walker"), F.slice("x", 1, 2).alias("x")).withColumn("fx", obj.himmelblau(F.col("x")))
+
+
+_HIMMEL = "pow({0}*{0} + {1} - 11, 2) + pow({0} + {1}*{1} - 7, 2)"
+W0 = f"SELECT id AS walker, x1, x2, {_HIMMEL.format('x1', 'x2')} AS fx, 0 AS naccepted FROM ({v.POINTS})"
+
+
+def _proposed(source, step):
+    return f"SELECT *, x1 + 0.1 * {_normal(13, 'walker', step, 0)} AS y1, x2 + 0.2 * {_normal(13, 'walker', step, 1)} AS y2 FROM ({source})"
+
+
+def _swept(source, step):
+    q = f"SELECT *, {_HIMMEL.format('y1', 'y2')} AS fy FROM ({_proposed(source, step)})"
+    q = f"""SELECT *, y1 BETWEEN -0.5 AND 0.5 AND y2 BETWEEN -0.5 AND 0.5 AND (fy <= fx OR {v.uniform_sql(13, 'walker', step, "'accept'")} < exp(-0.5 * (fy - fx))) AS ok FROM ({q})"""
+    return f"SELECT walker, CASE WHEN ok THEN y1 ELSE x1 END AS x1, CASE WHEN ok THEN y2 ELSE x2 END AS x2, CASE WHEN ok THEN fy ELSE fx END AS fx, naccepted + ok::INT AS naccepted FROM ({q})"
+
+
+@query(f"SELECT walker, {s6('y1')} AS y1, {s6('y2')} AS y2, y1 BETWEEN -0.5 AND 0.5 AND y2 BETWEEN -0.5 AND 0.5 AS in_range FROM ({_proposed(W0, 1)})")
+def g01_propose_continuous(spark, d):
+    w = pop.propose_continuous(_walkers(spark, d), [0.1, 0.2], 13, 1, [-0.5, -0.5], [0.5, 0.5])
+    return w.select("walker", r6(F.col("new_x")[0]).alias("y1"), r6(F.col("new_x")[1]).alias("y2"), "in_range")
+
+
+@query(f"SELECT walker, {s6('x1')} AS x1, {s6('x2')} AS x2, {s6('fx')} AS fx, CAST(naccepted AS BIGINT) AS naccepted FROM ({_swept(_swept(_swept(W0, 1), 2), 3)})")
+def g03_metropolis_sweep(spark, d):
+    w = pop.metropolis_sweep(_walkers(spark, d), obj.himmelblau, [0.1, 0.2], F.lit(0.5), 13, range(1, 4), [-0.5, -0.5], [0.5, 0.5])
+    return w.select("walker", r6(F.col("x")[0]).alias("x1"), r6(F.col("x")[1]).alias("x2"), r6("fx").alias("fx"), "naccepted")
+
+
+WEIGHED = f"SELECT walker, exp(lw - max(lw) OVER ()) AS w FROM ({NEAL}) WHERE t_index = 2"
+
+
+def _weighed(spark, d):
+    p = _population(spark, d).where("t_index = 2")
+    return p.join(F.broadcast(p.agg(F.max("lw").alias("top")))).select("walker", F.exp(F.col("lw") - F.col("top")).alias("w"))
+
+
+@query(f"""WITH p AS ({WEIGHED}), c AS (SELECT walker, coalesce(sum(w) OVER (ORDER BY walker ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS lo FROM p),
+t AS (SELECT walker AS draw, {v.uniform_sql(17, 'walker')} * (SELECT sum(w) FROM p) AS at FROM p) SELECT draw, c.walker AS ancestor FROM t ASOF JOIN c ON t.at >= c.lo""")
+def g06_resample_fixed(spark, d):
+    p = _weighed(spark, d)
+    return pop.resample_fixed(p, p.select(F.col("walker").alias("draw"), uniform(17, F.col("walker")).alias("u")), block=1000)
+
+
+@query(f"""WITH p AS ({WEIGHED}), l AS (SELECT walker, 1000 * w / sum(w) OVER () AS lam, {v.uniform_sql(19, 'walker')} AS u FROM p),
+k AS (SELECT walker, u, sum(exp(-lam) * pow(lam, j) / gamma(j + 1)) OVER (PARTITION BY walker ORDER BY j ROWS UNBOUNDED PRECEDING) AS c FROM l CROSS JOIN range(60) r(j))
+SELECT walker, CAST(count(*) FILTER (c <= u) AS INTEGER) AS copies FROM k GROUP BY walker""")
+def g07_resample_varied(spark, d):
+    return pop.resample_varied(_weighed(spark, d), 1000, 19).select("walker", "copies")
+
+
+# --- streams
+@query(f"SELECT t_index, count(*) AS n, {s6('avg(fx)')} AS mean, {s6('sqrt(var_pop(fx) / (count(*) - 1))')} AS stderr, {s6('min(fx)')} AS best FROM ({C}) GROUP BY t_index")
+def g13_chain_stats_stream(spark, d):
+    li = v.table(spark, d, "lineitem")
+    s = spark.readStream.schema(li.schema).parquet(f"{d}/lineitem.parque[t]")  # a pattern: streams take no single file
+    s = s.select((F.col("l_linenumber") - 1).cast("long").alias("t_index"), (F.col("l_extendedprice") / 10000).alias("fx"))
+    return rounded(stream_fx_moments(spark, s), "mean", "stderr", "best")
+
+
+# --- texts, written to the shared folder and read back
+@query(f"SELECT rank, step, walker, {s6('temp')} AS temp, {s6('fx')} AS fx, {s6('x1')} AS x1, {s6('x2')} AS x2 FROM ({C})")
+def a01_read_chain(spark, d):
+    path = shared_dir(spark)
+    text.write_chain(v.chain(spark, d), path)
+    return text.read_chain(spark, f"{path}/*/*").select("rank", "step", "walker", r6("temp").alias("temp"), r6("fx").alias("fx"), r6(F.col("x")[0]).alias("x1"), r6(F.col("x")[1]).alias("x2"))
+
+
+@query(f"""SELECT id, printf('%.6f', x1) || ' ' || printf('%.6f', x2) || ' ' || printf('%.6f', x3) || ' ' || printf('%.6f', x1*x1 + x2*x2 + x3*x3) AS line FROM ({v.POINTS})""")
+def a08_colormap_lines(spark, d):
+    return text.colormap_lines(v.points(spark, d).withColumn("fx", obj.quadratics(F.col("x"))))
+
+
+@query(EDGES)
+def a09_neighbor_lines(spark, d):
+    path = shared_dir(spark)
+    text.neighbor_lines(v.points(spark, d), _edges(spark, d)).select("line").write.text(path)
+    return text.read_neighbors(spark, path)
+
+
+@query(f"SELECT CAST(t_index AS INTEGER) AS t_index, CAST(step AS VARCHAR) || ' ' || CAST(walker AS VARCHAR) || ' ' || printf('%.6f', fx) AS line FROM ({C})")
+def a10_write_by_temperature(spark, d):
+    path = shared_dir(spark)
+    c = v.chain(spark, d)
+    text.write_by(c, path, "t_index", v.TIES, text.table_lines({"step": None, "walker": None, "fx": "%.6f"}), salts=32)
+    return spark.read.text(path).select("t_index", F.col("value").alias("line"))

@@ -213,3 +213,64 @@ def swap_temperatures(replicas: DataFrame, offset: int, u) -> DataFrame:
     swap = (F.col("n") == 2) & ((logp >= 0) | (u(F.col("group"), F.col("pair")) < F.exp(logp)))
     new = F.when(swap, F.col("lo.t_index") + F.col("hi.t_index") - F.col("t_index")).otherwise(F.col("t_index"))
     return r.withColumn("new_t_index", new).drop("pair", "n", "lo", "hi")
+
+
+def _log_mean_exp(df: DataFrame, by: str, v: str, name: str) -> DataFrame:
+    top = df.groupBy(by).agg(F.max(v).alias("top"))
+    return df.join(F.broadcast(top), by).groupBy(by).agg((F.log(F.sum(F.exp(F.col(v) - F.col("top"))) / F.count(v)) + F.first("top")).alias(name))
+
+
+def population_log_z(p: DataFrame, schedule: DataFrame) -> DataFrame:
+    """(t_index, logz) of a population with lw and block (:func:`neal_weights`): inside a block the mean weight, from block
+    to block the sum of what the earlier blocks gained."""
+    s = schedule.select("t_index", (F.lead("beta").over(Window.orderBy("t_index")) - F.col("beta")).alias("db"))
+    ends = p.groupBy("block").agg(F.max("t_index").alias("t_index"))
+    last = p.drop("db").join(F.broadcast(ends), ["block", "t_index"]).join(F.broadcast(s), "t_index").where("db is not null")
+    gain = _log_mean_exp(last.withColumn("v", F.col("lw") - F.col("db") * F.col("fx")), "block", "v", "gain")
+    # tables of one row a temperature or block
+    at = _log_mean_exp(p, "t_index", "lw", "inner").join(p.groupBy("t_index").agg(F.first("block").alias("block")), "t_index")
+    base = at.select("block").distinct().join(gain, "block", "left")
+    base = base.withColumn("base", F.coalesce(F.sum("gain").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    return at.join(base, "block").select("t_index", (F.col("base") + F.col("inner")).alias("logz"))
+
+
+def population_stats(p: DataFrame, schedule: DataFrame) -> DataFrame:
+    """mean, err, n, logz and pr of each temperature of a population with lw and block."""
+    n = p.groupBy("t_index").agg(F.count(F.lit(1)).alias("n"))
+    return weighted_jackknife(p).join(n, "t_index").join(population_log_z(p, schedule), "t_index").join(participation_ratio(p), "t_index").select("t_index", "mean", "err", "n", "logz", "pr")
+
+
+def optimal_noise(evidence: DataFrame) -> DataFrame:
+    """beta of the largest finite evidence (beta, evidence), and sigma = 1 / sqrt(2 beta)."""
+    e = evidence.where(~F.isnan("evidence") & (F.abs("evidence") < float("inf")))
+    return e.agg(F.max_by("beta", F.struct("evidence", "beta")).alias("beta")).select("beta", (1 / F.sqrt(2 * F.col("beta"))).alias("sigma"))
+
+
+def distinct_temperatures(chain: DataFrame) -> DataFrame:
+    """(value, n): distinct temperatures, those close to the one before (1e-8 + 1e-5 of it) taken together under the
+    smallest. Only the distinct values, one row each, are ordered."""
+    d = chain.groupBy("temp").agg(F.count(F.lit(1)).alias("n"))
+    old = F.lag("temp").over(Window.orderBy("temp"))
+    d = d.withColumn("new", F.when(F.col("temp") - old <= 1e-8 + 1e-5 * F.abs(old), 0).otherwise(1))
+    return d.withColumn("g", F.sum("new").over(Window.orderBy("temp"))).groupBy("g").agg(F.min("temp").alias("value"), F.sum("n").alias("n")).drop("g")
+
+
+def union_ranks(tables: list[DataFrame], order: list[str], chunk: int = CHUNK) -> DataFrame:
+    """All ranks' rows under dense ids, in order of rank and ``order`` (whose first is step). Numbered by chunks of steps,
+    with the chunks' counts added up apart, so that no rank meets in one task."""
+    u = tables[0]
+    for t in tables[1:]:
+        u = u.unionByName(t)
+    u = u.withColumn("part", F.floor(F.col("step") / chunk))
+    n = u.groupBy("rank", "part").agg(F.count(F.lit(1)).alias("n"))
+    n = n.select("rank", "part", F.coalesce(F.sum("n").over(Window.orderBy("rank", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    k = F.row_number().over(Window.partitionBy("rank", "part").orderBy(*order))
+    return u.withColumn("k", k).join(n, ["rank", "part"]).withColumn("id", F.col("base") + F.col("k") - 1).drop("k", "part", "base")
+
+
+def continue_schedule(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``after`` (t_index, beta) appended to ``before``: it must begin with the last beta, which stays once."""
+    end, start = before.agg(F.max_by("beta", "t_index"), F.max("t_index")).first(), after.agg(F.min_by("beta", "t_index"), F.min("t_index")).first()
+    if end[0] != start[0]:
+        raise ValueError(f"the schedule ends at {end[0]}, the next one begins at {start[0]}")
+    return before.unionByName(after.where(F.col("t_index") > start[1]).withColumn("t_index", F.col("t_index") - start[1] + end[1]))

@@ -66,3 +66,32 @@ def node_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def pending(mesh: DataFrame, done: DataFrame) -> DataFrame:
     return mesh.join(done.select("id"), "id", "left_anti")
+
+
+def propose_discrete(walkers: DataFrame, edges: DataFrame, mesh: DataFrame, u) -> DataFrame:
+    """(walker, node, new_node, new_x, hastings): a uniform neighbour of each walker's node, with the ratio of the old
+    and new numbers of neighbours; walkers on a node without neighbours are left out. ``u(walker)`` is in [0, 1)."""
+    nbrs = edges.groupBy(F.col("src").alias("node")).agg(F.sort_array(F.collect_list("dst")).alias("nbrs"))
+    deg = nbrs.select(F.col("node").alias("new_node"), F.size("nbrs").alias("new_degree"))
+    w = walkers.select("walker", "node").join(nbrs, "node").withColumn("degree", F.size("nbrs"))
+    w = w.withColumn("new_node", F.element_at("nbrs", (F.floor(u(F.col("walker")) * F.col("degree")) + 1).cast("int"))).drop("nbrs")
+    w = w.join(deg, "new_node").join(mesh.select(F.col("id").alias("new_node"), F.col("x").alias("new_x")), "new_node")
+    return w.select("walker", "node", "new_node", "new_x", (F.col("degree") / F.col("new_degree")).alias("hastings"))
+
+
+def candidate_loss(candidates: DataFrame, data: DataFrame, degree: int) -> DataFrame:
+    """(id, loss, n): squared loss of every polynomial candidate (id, a) over all of ``data`` (x, y), by the sums of powers:
+    the data are read once, whatever the number of candidates."""
+    sums = [F.sum(F.pow("x", F.lit(float(k)))).alias(f"s{k}") for k in range(2 * degree + 1)] + [F.sum(F.pow("x", F.lit(float(k))) * F.col("y")).alias(f"t{k}") for k in range(degree + 1)]
+    s = data.agg(*sums, F.sum(F.col("y") * F.col("y")).alias("yy"), F.count(F.lit(1)).alias("n"))
+    a = F.col("a")
+    loss = F.col("yy") + sum(a[i] * a[j] * F.col(f"s{i + j}") for i in range(degree + 1) for j in range(degree + 1)) - 2 * sum(a[i] * F.col(f"t{i}") for i in range(degree + 1))
+    return candidates.join(F.broadcast(s)).select("id", loss.alias("loss"), "n")
+
+
+def rfactor2(pred: DataFrame, obs: DataFrame, weights: DataFrame) -> DataFrame:
+    """(candidate, r2): sum over datasets of the normalised weight times the squared differences. pred (candidate, dataset,
+    i, p), obs (dataset, i, o), weights (dataset, w), one row a dataset."""
+    w = weights.join(F.broadcast(weights.agg(F.sum("w").alias("total")))).select("dataset", (F.col("w") / F.col("total")).alias("w"))
+    d = pred.join(obs, ["dataset", "i"]).groupBy("candidate", "dataset").agg(F.sum(F.pow(F.col("o") - F.col("p"), 2)).alias("ss"))
+    return d.join(F.broadcast(w), "dataset").groupBy("candidate").agg(F.sum(F.col("w") * F.col("ss")).alias("r2"))
