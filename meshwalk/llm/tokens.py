@@ -39,9 +39,11 @@ def split_segments(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str],
     offsets = np.asarray(lists.offsets).astype(np.int64)
     offsets -= offsets[0]
     coded = lists.flatten().dictionary_encode()
-    index, unique = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-    left = np.array([not u or u[0].isspace() for u in unique], bool)[index]
-    right = np.array([not u or u[-1].isspace() for u in unique], bool)[index]
+    words = coded.dictionary
+    index, unique = coded.indices.to_numpy(), words.to_numpy(zero_copy_only=False).tolist()
+    empty = pc.equal(pc.binary_length(words), 0)
+    edge = lambda trim: pc.or_(empty, pc.not_equal(trim(words), words)).to_numpy(zero_copy_only=False)
+    left, right = edge(pc.utf8_ltrim_whitespace)[index], edge(pc.utf8_rtrim_whitespace)[index]
     bad = np.concatenate([[0], np.cumsum((left | right).astype(np.int64))])
     inner = bad[offsets[1:]] - bad[np.minimum(offsets[:-1] + 1, offsets[1:])]
     odd = np.flatnonzero((inner > 0) | (right[offsets[:-1]] & (np.diff(offsets) > 1)))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import os
+import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -23,17 +25,19 @@ ROLL = 16  # ids in the rolling hash
 MEAN_BITS, LEAST, MOST = 9, 128, 2048  # chunks of 512 ids on average
 DIGEST = 16
 LEAF, NODE = b"\x00", b"\x01"
+SPACE = "\u0120"  # a space in the byte-level alphabet
+GROUP = 1000  # segments split into pieces in one call
 
 
 class Encoder:
-    """Ids of whole texts as little-endian bytes, each distinct segment encoded by the library once."""
+    """Ids of whole texts, each distinct segment encoded by the library once (while it stays in the cache)."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2") if max(self.tok.get_vocab_size(), END + 1) <= 1 << 16 else np.dtype("<u4")
+        self.kind, self.code = (np.dtype("<u2"), "H") if max(self.tok.get_vocab_size(), END + 1) <= 1 << 16 else (np.dtype("<u4"), "I")
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
@@ -42,50 +46,88 @@ class Encoder:
         self.segments: dict = {}
         self.pieces: dict = {}
 
-    def _encode(self, text: str) -> bytes:
+    def _piece(self, piece: str) -> bytes:
+        if len(self.pieces) > CACHE:
+            self.pieces.clear()
+        plain = piece.isascii() and piece.isprintable()
+        raw = piece.replace(" ", SPACE) if plain else piece.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.tok.model.tokenize(raw)]
+        got = self.pieces[piece] = struct.pack(f"<{len(ids)}{self.code}", *ids)
+        return got
+
+    def _text(self, text: str) -> bytes:
         """Ids of a text that stands alone: the library's, with its own splitting where special strings occur."""
         if any(s in text for s in self.special):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
         return b"".join([self.pieces.get(p) or self._piece(p) for p in self.pattern.findall(text)])
 
-    def _piece(self, piece: str) -> bytes:
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
-        raw = piece.encode().decode("latin-1").translate(self.letters)
-        ids = self.pieces[piece] = np.array([t.id for t in self.tok.model.tokenize(raw)], self.kind).tobytes()
-        return ids
-
-    def batch(self, texts: pa.Array) -> list[bytes]:
+    def _group(self, group: list[str]) -> list[bytes]:
+        """Ids of each segment with a space before it: pieces of all, parted where one begins with a space."""
+        text = " " + " ".join(group)
+        if not any(s in text for s in self.special):
+            found = self.pattern.findall(text)
+            starts = [k for k, p in enumerate(found) if p[0] == " "]
+            if len(starts) == len(group):
+                known, make = self.pieces.get, self._piece
+                ids = [known(p) or make(p) for p in found]
+                return [ids[a] if b - a == 1 else b"".join(ids[a:b]) for a, b in zip(starts, [*starts[1:], len(ids)], strict=True)]
+        return [self._text(" " + s) for s in group]
+
+    def _encode(self, segments: list[str]) -> None:
+        # segments with white space at an end stand only in texts that are encoded whole, or at an end of one
+        col = pa.array(segments, pa.large_string())
+        plain = pc.and_(pc.equal(pc.utf8_trim_whitespace(col), col), pc.greater(pc.binary_length(col), 0)).to_numpy(zero_copy_only=False)
+        self.segments.update((segments[k], self._text(" " + segments[k])) for k in np.flatnonzero(~plain).tolist())
+        joined = segments if plain.all() else [segments[k] for k in np.flatnonzero(plain).tolist()]
+        for a in range(0, len(joined), GROUP):
+            group = joined[a : a + GROUP]
+            self.segments.update(zip(group, self._group(group), strict=True))
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by END, in one array, and the texts' offsets in it."""
         offsets, index, unique, odd = split_segments(texts)
         known = self.segments
         got = list(map(known.get, unique))
         if None in got:
-            for k, seg in enumerate(unique):
-                if got[k] is None:
-                    got[k] = known[seg] = self._encode(" " + seg)
+            self._encode([s for s, g in zip(unique, got, strict=True) if g is None])
+            got = list(map(known.get, unique))
         if len(known) > CACHE:
             self.segments = dict(zip(unique, got, strict=True))
-        out, odd, index = [], set(odd.tolist()), index.tolist()
-        for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-            if k in odd:
-                out.append(self._encode(texts[k].as_py()))
-            else:  # a first segment has no space before it
-                out.append(self._encode(unique[index[a]]) + b"".join([got[i] for i in index[a + 1 : b]]))
-        return out
-
-
-def chunk_ends(ids: np.ndarray) -> list[int]:
-    """Content-defined ends: where the rolling hash of the last ROLL ids has MEAN_BITS ones, LEAST to MOST ids apart."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
-    t = mix64(ids.astype(np.uint64) + np.uint64(ODD))
-    h = np.zeros(n - ROLL + 1, np.uint64)
-    for j in range(ROLL):
-        h = h * np.uint64(ODD) + t[j : n - ROLL + 1 + j]
-    marks = np.flatnonzero((h >> np.uint64(64 - MEAN_BITS)) == 0) + ROLL
+        whole = set(odd.tolist())
+        # a first segment has no space before it; odd texts stand whole in place of theirs
+        own = [self._text(texts[k].as_py() if k in whole else unique[i]) for k, i in enumerate(index[offsets[:-1]].tolist())]
+        index, n = index.astype(np.int64), len(unique)
+        index[offsets[:-1]] = n + np.arange(len(own))
+        index = np.insert(index, offsets[1:], n + len(own))
+        offsets = offsets + np.arange(len(offsets))
+        table = [*got, *own, np.array([END], self.kind).tobytes()]
+        size = np.fromiter(map(len, table), np.int64, len(table)) // self.kind.itemsize
+        begin, flat = np.cumsum(size) - size, np.frombuffer(b"".join(table), self.kind)
+        length = size[index]
+        for k in odd.tolist():
+            length[offsets[k] + 1 : offsets[k + 1] - 1] = 0
+        ends, parts = np.concatenate([[0], np.cumsum(length)]), []
+        for a in range(0, len(index), 1 << 20):
+            b = min(a + (1 << 20), len(index))
+            parts.append(flat[np.repeat(begin[index[a:b]] - ends[a:b] + ends[a], length[a:b]) + np.arange(ends[b] - ends[a])])
+        return np.concatenate(parts) if parts else np.empty(0, self.kind), ends[offsets]
+
+
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Ends of the windows of ROLL ids whose rolling hash begins with MEAN_BITS zeros."""
+    if len(ids) < ROLL:
+        return np.empty(0, np.int64)
+    h, base, width = mix64(ids.astype(np.uint64) + np.uint64(ODD)), ODD, 1
+    while width < ROLL:  # of windows of twice the width, by Horner's rule
+        h = h[:-width] * np.uint64(base) + h[width:]
+        base, width = base * base % (1 << 64), 2 * width
+    return np.flatnonzero((h >> np.uint64(64 - MEAN_BITS)) == 0) + ROLL
+
+
+def chunk_ends(n: int, found: list[int]) -> list[int]:
+    """Content-defined ends of n ids with the given marks, LEAST to MOST ids apart."""
     ends, at = [], 0
-    for m in marks.tolist():
+    for m in found if n > LEAST else []:
         while m - at > MOST:
             at += MOST
             ends.append(at)
@@ -140,24 +182,26 @@ def _stage(path: str):
 
     def run(batches):
         coder = per_process(("encoder", path), lambda: Encoder(path))
-        end, width = np.array([END], coder.kind).tobytes(), coder.kind.itemsize
+        width = coder.kind.itemsize
         seen, row = set(), TaskContext.get().partitionId() << 40
         for part in slices(batches):
             recipes, chunks = [], []
-            for b in coder.batch(part.column(1)):
-                b += end
-                ids, at, digests = np.frombuffer(b, coder.kind), 0, []
-                for e in chunk_ends(ids):
+            ids, offsets = coder.batch(part.column(1))
+            found = marks(ids)
+            lows, highs = np.searchsorted(found, offsets[:-1] + ROLL).tolist(), np.searchsorted(found, offsets[1:], "right").tolist()
+            for lo, hi, low, high in zip(offsets[:-1].tolist(), offsets[1:].tolist(), lows, highs, strict=True):
+                b, at, digests = ids[lo:hi].tobytes(), 0, []
+                for e in chunk_ends(hi - lo, (found[low:high] - lo).tolist()):
                     d = address(b[at * width : e * width])
                     digests.append(d)
                     if d not in seen:
                         if len(seen) > CACHE:
                             seen.clear()
                         seen.add(d)
-                        chunks.append((d, e - at, zlib.compress(planes(b[at * width : e * width], width), 1), row))
+                        chunks.append((d, e - at, planes(b[at * width : e * width], width), row))
                         row += 1
                     at = e
-                recipes.append((len(ids), digests, merkle_root(digests)))
+                recipes.append((hi - lo, digests, merkle_root(digests)))
             a, z = len(recipes), len(chunks)
             n, digests, roots = zip(*recipes, strict=True)
             d, size, payload, rows = list(zip(*chunks, strict=True)) or [()] * 4
@@ -169,7 +213,7 @@ def _stage(path: str):
 
 
 def planes(raw: bytes, width: int) -> bytes:
-    """Low bytes of all ids, then the next: they deflate better apart."""
+    """Low bytes of all ids, then the next: the file compresses them better apart."""
     return np.frombuffer(raw, np.uint8).reshape(-1, width).T.tobytes()
 
 
@@ -190,20 +234,20 @@ def _number(batches):
 def write_store(docs: DataFrame, folder: str, path: str | None = None, parts: int | None = None) -> None:
     """Encode ``docs`` (doc_id, text) and write ``folder``/chunks, /recipes and /manifest.
 
-    chunks: digest (BLAKE2b of the ids' bytes), n, payload (deflated ids, low bytes first), each digest once. recipes: the documents in
+    chunks: digest (BLAKE2b of the ids' bytes), n, payload (ids, low bytes first; the column is compressed), each digest once. recipes: the documents in
     ascending doc_id order (null first, repeated ids by their content), part by part: doc_id, n_tokens, chunks (digests
     in order), root (Merkle root of these), local_start, part. manifest: one row a part: part, start of its first
     document, documents, tokens, root over its documents' roots.
     """
     path, docs = path or default_path(), docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark, staging = docs.sparkSession, f"{shared_dir(docs.sparkSession)}/staged"
-    docs.mapInArrow(_stage(path), STAGED).write.mode("overwrite").parquet(staging)
+    docs.mapInArrow(_stage(path), STAGED).write.option("compression", "zstd").mode("overwrite").parquet(staging)
     staged = spark.read.schema(STAGED).parquet(staging)
     # of equal chunks that several tasks have met, all rows but the first go; payloads are shuffled only if those are many
     chunks = staged.where("digest is not null")
     first = chunks.groupBy("digest").agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first < last")
     extra = cut(chunks.select("digest", "row").join(first, "digest").where("row > first").select("row"), "extra")
-    chunks.join(maybe_broadcast(extra), "row", "left_anti").select("digest", "n", "payload").write.mode("overwrite").parquet(f"{folder}/chunks")
+    chunks.join(maybe_broadcast(extra), "row", "left_anti").select("digest", "n", "payload").write.option("compression", "zstd").mode("overwrite").parquet(f"{folder}/chunks")
     r = cut(staged.where("digest is null").select("doc_id", "n_tokens", "chunks", "root"), "recipes")
     discard(spark, staging)
     parts = parts or max(1, r.rdd.getNumPartitions())
@@ -231,8 +275,7 @@ def _verified(crc_only: bool):
         for b in batches:
             digests, ns, out = b.column(0).to_pylist(), b.column(1).to_pylist(), []
             for d, n, z in zip(digests, ns, b.column(2).to_pylist(), strict=True):
-                raw = zlib.decompress(z)
-                raw = unplanes(raw, len(raw) // n) if len(raw) % n == 0 else raw
+                raw = unplanes(z, len(z) // n) if len(z) % n == 0 else z
                 if address(raw) != d:
                     raise ValueError(f"chunk {d.hex()} is damaged")
                 wide = np.frombuffer(raw, f"<u{len(raw) // n}").astype("<u4")
