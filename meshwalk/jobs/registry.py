@@ -576,7 +576,7 @@ def g06_resample_fixed(spark, d):
 k AS (SELECT walker, u, sum(exp(-lam) * pow(lam, j) / gamma(j + 1)) OVER (PARTITION BY walker ORDER BY j ROWS UNBOUNDED PRECEDING) AS c FROM l CROSS JOIN range(60) r(j))
 SELECT walker, CAST(count(*) FILTER (c <= u) AS INTEGER) AS copies FROM k GROUP BY walker""")
 def g07_resample_varied(spark, d):
-    return pop.resample_varied(_weighed(spark, d), 1000, 19).select("walker", "copies")
+    return pop.resample_varied(_weighed(spark, d), 1000, 19).select("walker", F.col("copies").cast("int").alias("copies"))
 
 
 # --- streams

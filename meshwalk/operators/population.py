@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,14 +60,33 @@ def resample_fixed(population: DataFrame, draws: DataFrame, block: int = BLOCK)
     return rows.withColumn("ancestor", F.last("walker", ignorenulls=True).over(w)).where("kind = 1").select("draw", "ancestor")
 
 
-def poisson(lam: Column, u: Column, most: int = 200) -> Column:
-    """Poisson number by inverse distribution function: how many values have a cumulated probability of at most u."""
-    s = F.struct(F.exp(-lam).alias("p"), F.exp(-lam).alias("c"), F.lit(0).alias("n"))
-    step = lambda a, k: F.struct((a["p"] * lam / k).alias("p"), (a["c"] + a["p"] * lam / k).alias("c"), (a["n"] + (a["c"] <= u).cast("int")).alias("n"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), s, step)["n"]
+def poisson(lam: Column, u: Column, plain: float = 500.0) -> Column:
+    """Poisson number (long) of any mean from one uniform number.
+
+    Up to a mean of ``plain`` by inverse distribution function: how many values have a cumulated probability of at most u.
+    Above, where exp(-lam) comes near 0, the values are taken in the order mode, mode + 1, mode - 1, mode + 2, ...; both walk
+    until nine standard deviations and more are past, where less is left than the 2**-52 that a uniform number resolves.
+    """
+    reach = F.ceil(9 * F.sqrt(lam)).cast("long") + 40
+    s = F.struct(F.exp(-lam).alias("p"), F.exp(-lam).alias("c"), F.lit(0).cast("long").alias("n"))
+    step = lambda a, k: F.struct((a["p"] * lam / k).alias("p"), (a["c"] + a["p"] * lam / k).alias("c"), (a["n"] + (a["c"] <= u).cast("long")).alias("n"))
+    low = F.aggregate(F.sequence(F.lit(1).cast("long"), F.floor(lam).cast("long") + reach), s, step)["n"]
+    m = F.floor(lam).cast("long")
+    # probability of the mode, by Stirling's series; the large terms are taken together so that they do not cancel
+    p = F.exp(m * F.log1p((lam - m) / m) - (lam - m) - 0.5 * F.log(2 * math.pi * m) - 1 / (12.0 * m) + 1 / (360.0 * m * m * m))
+    s = F.struct(p.alias("up"), p.alias("down"), p.alias("c"), F.when(u < p, m).alias("n"))
+
+    def both(a: Column, k: Column) -> Column:
+        up, down = a["up"] * lam / (m + k), a["down"] * F.greatest(m - k + 1, F.lit(0)) / lam
+        n = F.coalesce(a["n"], F.when(u < a["c"] + up, m + k), F.when(u < a["c"] + up + down, m - k))
+        return F.struct(up.alias("up"), down.alias("down"), (a["c"] + up + down).alias("c"), n.alias("n"))
+
+    high = F.coalesce(F.aggregate(F.sequence(F.lit(1).cast("long"), reach), s, both)["n"], m)
+    return F.when(lam <= plain, low).otherwise(high)
 
 
 def resample_varied(population: DataFrame, n0: int, seed: int) -> DataFrame:
-    """Adds copies ~ Poisson(n0 * w / sum of w) to each walker; those with none stay in the table with 0."""
+    """Adds copies (long) ~ Poisson(n0 * w / sum of w) to each walker, without an upper bound; those with none stay in the
+    table with 0. ``n0`` is the size the population keeps about, whatever it has now."""
     total = population.agg(F.sum("w").alias("total"))
     return population.join(F.broadcast(total)).withColumn("copies", poisson(n0 * F.col("w") / F.col("total"), uniform(seed, F.col("walker")))).drop("total")
