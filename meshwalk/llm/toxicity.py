@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +21,12 @@ TRAIN_ROWS = 4000  # labelled texts of each label to learn from, at most
 TRAIN_CHARS = 20_000  # longer texts are not learnt from
 SHARPNESS = 6.0
 LANDMARKS = 192
-CLEAN_WORDS = 20_000
-HARD_WORDS = 5_000
+PAIRS = 32  # landmarks that are two words
+CLEAN_WORDS = 10_000
+HARD_WORDS = 2_500
+ROUNDS = 5
 THRESHOLD = 0.3
-CACHE = 400_000
+CACHE = 150_000
 
 _TABLE = np.zeros(0x110000, np.uint8)
 for _c in range(0x110000):
@@ -96,67 +97,135 @@ def train_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float =
     return w
 
 
+def evidence(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Likelihood ratio of windows that stand in a of n1 toxic and b of n0 clean texts; 0 for what clean ones have more often."""
+    share = (a + b) / (n1 + n0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = 2 * (np.where(a > 0, a * np.log(a / (n1 * share)), 0) + np.where(b > 0, b * np.log(b / (n0 * share)), 0))
+    return np.where(a * n0 > b * n1, g, 0.0)
+
+
+def _root(similar: np.ndarray) -> np.ndarray:
+    values, vectors = np.linalg.eigh(similar)
+    return vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
+
+
 def fit(texts: list[str], toxic: list[int], codes: np.ndarray = _TABLE) -> dict:
-    """Landmarks with their weights, and weights of the two figures of a text (its highest word, and how many are over 0)."""
+    """A support vector machine on labelled texts, each a bag of windows: its words and its pairs of neighbouring words.
+
+    A text's value is that of its highest window. Clean texts want all windows under -1, toxic texts one over 1: the
+    machine is trained on the best window of every toxic text and windows of clean ones, then the best windows are chosen
+    anew (multiple-instance learning). Frequencies by label only choose landmarks and the first windows; none is left out
+    by a test. A pair's kernel is the product of its words'. A logistic regression turns the highest value and the number
+    of windows over 0 into a probability.
+    """
+    empty = {"count": 1, "words": 1, "starts": np.zeros(SPACE + 1, np.int32), "mark": np.empty(0, np.int16), "value": np.empty(0, np.float32), "weights": np.zeros(1), "bias": -1.0, "pairs": np.zeros(0, np.float32), "pair_bias": -1.0, "doc": (1.0, 0.0, -3.0)}
     texts, toxic = zip(*sorted(dict(zip(texts, toxic, strict=True)).items()), strict=True) if texts else ((), ())  # copies say nothing new
-    docs = [set(candidates(t or "")) for t in texts]
-    pos, neg = Counter(w for d, y in zip(docs, toxic, strict=True) if y for w in d), Counter(w for d, y in zip(docs, toxic, strict=True) if not y for w in d)
-    n1, n0 = max(1, sum(map(bool, toxic))), max(1, sum(not y for y in toxic))
-
-    def evidence(w: str) -> float:  # likelihood ratio of a word that toxic texts have more often
-        a, b = pos[w], neg[w]
-        share = (a + b) / (n1 + n0)
-        return 2 * (a * math.log(a / (n1 * share)) + (b * math.log(b / (n0 * share)) if b else 0.0)) if a / n1 > 20 * b / n0 else 0.0
-
-    chance = 2 * math.log(len(pos) + 2)  # the best of that many words that say nothing comes near it
-    bad = sorted((w for w in pos if pos[w] > 1 and evidence(w) > chance), key=lambda w: (-evidence(w), w))
-    clean = sorted(neg, key=lambda w: (-neg[w], w))[: CLEAN_WORDS // 2]
-    rest = sorted(set(neg) - set(clean), key=lambda w: (hash_of(w), w))[: CLEAN_WORDS - len(clean)]
-    empty = {"count": 1, "starts": np.zeros(SPACE + 1, np.int32), "mark": np.empty(0, np.int16), "value": np.empty(0, np.float32), "weights": np.zeros(1), "bias": -1.0, "doc": (1.0, 0.0, -3.0)}
-    clean += rest
-    if not bad or not clean:
+    y = np.array(toxic, bool)
+    vocab: dict = {}
+    ids = [np.array([vocab.setdefault(w, len(vocab)) for w in candidates(t or "")], np.int64) for t in texts]
+    words, n1, n0 = list(vocab), int(y.sum()), int((~y).sum())
+    size = len(words)
+    if not n1 or not n0 or not size:
         return empty
+    # windows: the distinct words of every text, then its distinct pairs, by number
+    own = [np.unique(i) for i in ids]
+    pair_of = [np.unique(i[:-1] * size + i[1:]) for i in ids]
+    pair, place = np.unique(np.concatenate(pair_of), return_inverse=True)
+    pair_own = np.split(place.astype(np.int32), np.cumsum([len(k) for k in pair_of])[:-1])
+    del pair_of, place, ids
+    left, right = pair // size, pair % size
+    count = lambda rows, side, n: np.bincount(np.concatenate([r for r, t in zip(rows, y, strict=True) if t == side]), minlength=n)
+    a, b = count(own, True, size), count(own, False, size)
+    pa_, pb_ = count(pair_own, True, len(pair)), count(pair_own, False, len(pair))
+    g = evidence(a, b, n1, n0)
+    gp = evidence(pa_, pb_, n1, n0)
+    more = gp - np.maximum(g[left], g[right]) if len(pair) else gp  # what a pair says beyond its words
+    gp = np.where(more > 0, gp, 0.0)
     # landmarks: the words that speak most for either side and are unlike those chosen already
     marks, chosen = [], np.zeros((0, SPACE), np.float32)
-    for pool, most in ((bad[:400], LANDMARKS * 2 // 3), (clean[:400], LANDMARKS)):
-        features = _dense(pool, codes)
-        for k, f in enumerate(features):
+    toxic_first = sorted(np.flatnonzero(g > 0).tolist(), key=lambda k: (-g[k], words[k]))[:400]
+    clean_first = sorted(np.flatnonzero(b > 0).tolist(), key=lambda k: (-b[k], words[k]))
+    for pool, most in ((toxic_first, LANDMARKS * 2 // 3), (clean_first[:400], LANDMARKS)):
+        for k, f in zip(pool, _dense([words[k] for k in pool], codes) if pool else (), strict=True):
             if len(marks) < most and f.any() and (not len(chosen) or (chosen @ f).max() < 0.8):
-                marks.append(pool[k])
+                marks.append(k)
                 chosen = np.vstack([chosen, f])
     if not marks:
         return empty
-    model = {"count": len(marks), "weights": None, "bias": 0.0, "doc": (0.0, 0.0, 0.0)}
+    top = np.lexsort((pair, -more))[: PAIRS * 3 // 4]
+    clean_pairs = np.lexsort((pair, -pb_))[:CLEAN_WORDS // 2]
+    pair_marks = list(dict.fromkeys([*top[more[top] > 0].tolist(), *clean_pairs[: PAIRS // 4].tolist()]))
+    m, n2 = len(marks), len(pair_marks)
+    chosen = np.vstack([chosen, _dense([words[k] for k in [*left[pair_marks], *right[pair_marks]]], codes)]) if n2 else chosen
+    model = {"count": len(chosen), "words": m, "weights": np.zeros(m), "bias": 0.0, "pairs": np.zeros(n2, np.float32), "pair_bias": -1.0, "doc": (0.0, 0.0, 0.0)}
     triple, mark = np.nonzero(chosen.T)  # by triple: the landmarks that hold it, and how
     model["starts"] = np.searchsorted(triple, np.arange(SPACE + 1)).astype(np.int32)
     model["mark"], model["value"] = mark.astype(np.int16), chosen.T[triple, mark].astype(np.float32)
-    values, vectors = np.linalg.eigh(np.exp(SHARPNESS * (chosen @ chosen.T - 1)))
-    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
-    bad_set, every = set(bad), sorted(set(neg) - set(bad))
-    for _ in range(3):  # clean words that come out too high join the clean side
-        words = bad + clean
-        x = np.vstack([kernel_rows(words[k : k + 5000], model, codes) for k in range(0, len(words), 5000)]) @ root
-        y = np.array([1.0] * len(bad) + [-1.0] * len(clean))
-        weight = np.where(y > 0, len(y) / (2 * len(bad)), len(y) / (2 * len(clean)))
-        w = train_svm(x, y, weight)
-        model["weights"], model["bias"] = root @ w[:-1], float(w[-1])
-        high = np.concatenate([word_scores(every[k : k + 5000], model, codes) for k in range(0, len(every), 5000)])
-        have = set(clean)
-        hard = [every[k] for k in np.argsort(-high, kind="stable")[:HARD_WORDS].tolist() if high[k] > -0.5 and every[k] not in have]
-        if not hard:
+    like = np.exp(SHARPNESS * (chosen @ chosen.T - 1))
+    root, root2 = _root(like[:m, :m]), _root(like[m : m + n2, m : m + n2] * like[m + n2 :, m + n2 :]) if n2 else np.zeros((0, 0))
+    del chosen
+    rows = lambda some: np.vstack([kernel_rows([words[k] for k in some[j : j + 5000]], model, codes) for j in range(0, len(some), 5000)])
+    first, second = np.zeros((size, n2), np.float32), np.zeros((size, n2), np.float32)
+    for j in range(0, size, 5000):
+        r = kernel_rows(words[j : j + 5000], model, codes)
+        first[j : j + 5000], second[j : j + 5000] = r[:, m : m + n2], r[:, m + n2 :]
+    rest = np.setdiff1d(np.flatnonzero(b > 0), clean_first[: CLEAN_WORDS // 2])
+    rest = sorted(rest.tolist(), key=lambda k: (hash_of(words[k]), words[k]))[: CLEAN_WORDS // 2]
+    clean_w = np.unique(np.array(clean_first[: CLEAN_WORDS // 2] + rest, np.int64))
+    clean_p = clean_pairs[pb_[clean_pairs] > 0]
+    value, value_p, seen = g, gp, None
+    for _ in range(ROUNDS):
+        best = []
+        for k in np.flatnonzero(y):
+            w, q = own[k], pair_own[k]
+            i, j = (int(w[np.argmax(value[w])]) if len(w) else -1), (int(q[np.argmax(value_p[q])]) if len(q) else -1)
+            if i >= 0:
+                best.append(size + j if j >= 0 and value_p[j] > value[i] else i)
+        if best == seen:
             break
-        clean = [w for w in clean if w not in bad_set] + hard
-    # from words to texts: logistic regression on the two figures
-    f = np.array([doc_figures(list(d), model, codes, {}) for d in docs])
-    x, y, c = np.hstack([f, np.ones((len(f), 1))]), np.array(toxic, float), np.zeros(3)
+        seen = best
+        win, times = np.unique(best, return_counts=True)
+        up_w, up_p = win[win < size], win[win >= size] - size
+        if not len(win) or not len(clean_w):
+            return empty
+        wk = np.concatenate([up_w, clean_w])
+        pk = np.concatenate([up_p, clean_p]).astype(np.int64)
+        x = np.zeros((len(wk) + len(pk), m + n2 + 1))
+        x[: len(wk), :m] = rows(wk)[:, :m] @ root
+        x[len(wk) :, m : m + n2] = (first[left[pk]] * second[right[pk]]) @ root2
+        x[len(wk) :, -1] = 1
+        sign = np.concatenate([np.ones(len(up_w)), -np.ones(len(clean_w)), np.ones(len(up_p)), -np.ones(len(clean_p))])
+        weight = np.ones(len(x))
+        weight[sign > 0] = times  # a toxic text, a vote
+        for side in (1, -1):
+            weight[sign == side] *= len(x) / (2 * weight[sign == side].sum())
+        w = train_svm(x, sign, weight)
+        model["weights"], model["bias"] = root @ w[:m], float(w[-1])
+        model["pairs"], model["pair_bias"] = (root2 @ w[m : m + n2]).astype(np.float32), float(w[-1] + w[-2])
+        value = np.concatenate([word_scores(words[j : j + 5000], model, codes) for j in range(0, size, 5000)])
+        value_p = np.concatenate([(first[left[j : j + 50_000]] * second[right[j : j + 50_000]]) @ model["pairs"] for j in range(0, len(pair), 50_000)] or [np.empty(0)]) + model["pair_bias"]
+        # windows of clean texts that come out too high join the clean side
+        hard = lambda v, f: np.flatnonzero((v > -0.5) & (f > 0))
+        h, hp = hard(value, b), hard(value_p, pb_)
+        clean_w = np.union1d(clean_w, h[np.argsort(-value[h], kind="stable")[:HARD_WORDS]])
+        clean_p = np.union1d(clean_p, hp[np.argsort(-value_p[hp], kind="stable")[:HARD_WORDS]])
+    # from windows to texts: logistic regression on the two figures
+    f = np.array([figures(np.concatenate([value[w], value_p[q]])) for w, q in zip(own, pair_own, strict=True)])
+    x, t, c = np.hstack([f, np.ones((len(f), 1))]), y.astype(float), np.zeros(3)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
         h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-2 * np.eye(3)
-        c = c + np.linalg.solve(h, x.T @ (y - p) - 1e-2 * c)
+        c = c + np.linalg.solve(h, x.T @ (t - p) - 1e-2 * c)
     model["doc"] = tuple(float(v) for v in c)
     return model
 
 
+def figures(s: np.ndarray) -> tuple[float, float]:
+    """The highest value of a text's distinct windows, and the logarithm of how many are over 0."""
+    return (float(np.clip(s.max(), -3, 3)), math.log1p(int((s > 0).sum()))) if len(s) else (-3.0, 0.0)
+
+
 def hash_of(w: str) -> int:
     import zlib
 
@@ -176,36 +245,47 @@ def kernel_rows(words: list[str], model: dict, codes: np.ndarray) -> np.ndarray:
 
 
 def word_scores(words: list[str], model: dict, codes: np.ndarray) -> np.ndarray:
-    return kernel_rows(words, model, codes) @ model["weights"] + model["bias"]
-
-
-def doc_figures(words: list[str], model: dict, codes: np.ndarray, known: dict) -> tuple[float, float]:
-    s = word_scores(words, model, codes) if words else np.empty(0)
-    return (float(np.clip(s.max(), -3, 3)), math.log1p(int((s > 0).sum()))) if len(s) else (-3.0, 0.0)
+    return kernel_rows(words, model, codes)[:, : model["words"]] @ model["weights"] + model["bias"]
 
 
 def score_texts(docs: DataFrame, model: dict, codes: np.ndarray = _TABLE) -> DataFrame:
-    """doc_id, score of every text from its words alone."""
+    """doc_id, score of every text from its words and pairs alone."""
     alpha = codes[:0x3000].copy()
+    m, n2 = model["words"], len(model["pairs"])
 
     def run(batches):
         wide = per_process("letter codes", lambda: np.concatenate([alpha, np.array([27 + ord(chr(c).lower()[0]) % 5 if chr(c).isalpha() else 0 for c in range(len(alpha), 0x110000)], np.uint8)]))
         known: dict = {}
+        value, first, second = np.empty(0), np.empty((0, n2), np.float32), np.empty((0, n2), np.float32)
         a, b, c = model["doc"]
         for part, texts in text_slices(batches, limit=4 << 20):
             split = [candidates((t or b"").decode()) for t in texts]
-            fresh = list({w for ws in split for w in ws if w not in known})
             if len(known) > CACHE:
                 known.clear()
-                fresh = list({w for ws in split for w in ws})
-            for k in range(0, len(fresh), 20_000):
-                some = fresh[k : k + 20_000]
-                known.update(zip(some, word_scores(some, model, wide).tolist(), strict=True))
-            out = []
-            for ws in split:
-                s = [known[w] for w in ws]
-                top, n = (min(3.0, max(-3.0, max(s))), len({w for w, v in zip(ws, s, strict=True) if v > 0})) if s else (-3.0, 0)
+                value, first, second = value[:0], first[:0], second[:0]
+            fresh = list({w for ws in split for w in ws if w not in known})
+            known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
+            values, firsts, seconds = [value], [first], [second]
+            for k in range(0, len(fresh), 5_000):
+                r = kernel_rows(fresh[k : k + 5_000], model, wide)
+                values.append(r[:, :m] @ model["weights"] + model["bias"])
+                firsts.append(r[:, m : m + n2].astype(np.float32))
+                seconds.append(r[:, m + n2 : m + 2 * n2].astype(np.float32))
+            if fresh:
+                value, first, second = np.concatenate(values), np.vstack(firsts), np.vstack(seconds)
+            flat = np.fromiter((known[w] for ws in split for w in ws), np.int64)
+            ends = np.cumsum([len(ws) for ws in split])
+            pairs = [np.einsum("ij,ij,j->i", first[flat[k : min(k + 30_000, len(flat) - 1)]], second[flat[k + 1 : k + 30_001]], model["pairs"]) for k in range(0, len(flat) - 1, 30_000)]
+            pairs = np.concatenate(pairs or [np.empty(0)]) + model["pair_bias"]
+            out, start = [], 0
+            for end in ends.tolist():
+                i, s, p = flat[start:end], value[flat[start:end]], pairs[start : end - 1] if end > start else pairs[:0]
+                top, n = -3.0, 0
+                if end > start:
+                    top = min(3.0, max(-3.0, float(s.max()), float(p.max()) if len(p) else -3.0))
+                    n = len(set(i[s > 0].tolist())) + (len({(i[k], i[k + 1]) for k in np.flatnonzero(p > 0).tolist()}) if top > 0 else 0)
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, a * top + b * math.log1p(n) + c)))))
+                start = end
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
@@ -223,9 +303,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
 def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted for every text.
 
-    Words are compared by triples of letters in order, close but not adjacent; landmarks are words of the training texts;
-    a linear SVM in the Nystroem map of the sharpened kernel becomes one weight a landmark.
-    A text's score comes from its highest word and the number of words over the margin. Learnt from at most ``rows``
+    Words are compared by triples of letters in order, close but not adjacent, pairs of neighbours by both their words;
+    landmarks are words and pairs of the training texts; a linear SVM in the Nystroem map of the sharpened kernel, trained
+    on the labels of texts by their highest windows (``fit``), becomes one weight a landmark.
+    A text's score comes from its highest window and the number of windows over the margin. Learnt from at most ``rows``
     labelled texts of each label whose crc32(doc_id) mod 4 is not 2; nothing but the text enters a score.
 
     Null and empty texts get the lowest score. Null ids are not held out; repeated rows are scored each; without usable
