@@ -1,4 +1,4 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search, then exact shingle containment."""
+"""Benchmark decontamination: MinHash containment search with sketches sized by item, then exact shingle containment."""
 
 from __future__ import annotations
 
@@ -31,8 +31,9 @@ def item_sketches(items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``(item_id, text)`` to ``(size_class, item_id, token)``: the bottom-k MinHash values of each item.
 
     An item of m shingles that a document holds to ``percent`` lacks at most m - ceil(m * percent / 100) of them, so among
-    its k = that number + 1 smallest hashes one is always shared: the search misses nothing. Items are partitioned by
-    size (powers of two), and each class has the largest value of its sketches as its own threshold.
+    its k = that number + 1 smallest hashes one is always shared: the search misses nothing. size_class
+    (powers of two) only bounds the rows from which :func:`contained_items` takes one threshold for all items, the largest
+    value of any sketch; the search itself is not partitioned by size.
     """
     d = _with_shingles(items, _hash).where(F.col("s").isNotNull())
     m = F.size("s")
