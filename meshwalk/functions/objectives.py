@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,3 +46,17 @@ def himmelblau(x: Column) -> Column:
 def linreg_nll(x: Column, xs=LINREG_X, ys=LINREG_Y) -> Column:
     res = sum(((x[0] * p + x[1] - q) * (x[0] * p + x[1] - q) for p, q in zip(xs, ys, strict=True)), F.lit(0.0))
     return 0.5 * (len(xs) * x[2] + res / F.exp(x[2]))
+
+
+def quadratics_array(x: np.ndarray) -> np.ndarray:
+    """The same over the rows of a matrix, for tasks that move points themselves."""
+    return (x * x).sum(axis=1)
+
+
+def rosenbrock_array(x: np.ndarray) -> np.ndarray:
+    return (100 * (x[:, 1:] - x[:, :-1] ** 2) ** 2 + (1 - x[:, :-1]) ** 2).sum(axis=1)
+
+
+def himmelblau_array(x: np.ndarray) -> np.ndarray:
+    a, b = x[:, 0], x[:, 1]
+    return (a * a + b - 11) ** 2 + (a + b * b - 7) ** 2

@@ -18,6 +18,7 @@ from meshwalk.operators import candidates as cand
 from meshwalk.operators import chain as ch
 from meshwalk.operators import graph as gr
 from meshwalk.operators import population as pop
+from meshwalk.operators import runs, searches
 from meshwalk.sources import text
 from meshwalk.streaming.chain_stats import stream_fx_moments
 
@@ -56,13 +57,12 @@ ORD = ", ".join(v.TIES)
 @query("SELECT '<' || event_type || '> ' || event_id || ' ' || user_id AS line FROM events")
 def a05_tag_lines(spark, d):
     e = v.table(spark, d, "events")
-    return e.select(F.concat(F.lit("<"), "event_type", F.lit("> "), F.concat_ws(" ", F.col("event_id").cast("string"), F.col("user_id").cast("string"))).alias("line"))
+    return text.tag_lines_by(e.select("event_type", F.concat_ws(" ", F.col("event_id").cast("string"), F.col("user_id").cast("string")).alias("line")), "event_type")
 
 
 @query("SELECT event_id || ' ' || user_id AS line FROM events WHERE event_type = 'click'")
 def a06_extract_tag(spark, d):
-    tag = "<click> "
-    return a05_tag_lines(spark, d).where(F.col("line").startswith(tag)).select(F.substring("line", len(tag) + 1, 1 << 30).alias("line"))
+    return text.extract_tag(a05_tag_lines(spark, d), "click")
 
 
 # --- candidates: as many as the tables have rows, so that the work grows with them
@@ -154,10 +154,7 @@ def c11_user_objective(spark, d):
 @query(f"""WITH c AS ({C}), m AS (SELECT avg(x1) AS a1, stddev_pop(x1) AS s1, avg(x2) AS a2, stddev_pop(x2) AS s2 FROM c)
 SELECT {K}, {s6('(x1 - a1) / s1')} AS z1, {s6('(x2 - a2) / s2')} AS z2 FROM c, m""")
 def c12_standardize(spark, d):
-    c = v.chain(spark, d)
-    m = c.agg(*[F.avg(x).alias(f"a_{x}") for x in ("x1", "x2")], *[F.stddev_pop(x).alias(f"s_{x}") for x in ("x1", "x2")])
-    z = lambda x: F.when(F.col(f"s_{x}") > 0, (F.col(x) - F.col(f"a_{x}")) / F.col(f"s_{x}")).otherwise(0.0)
-    return c.join(F.broadcast(m)).select(*KEY, r6(z("x1")).alias("z1"), r6(z("x2")).alias("z2"))
+    return cand.standardize(v.chain(spark, d), ["x1", "x2"]).select(*KEY, r6("z_x1").alias("z1"), r6("z_x2").alias("z2"))
 
 
 @query(f"SELECT {K} FROM ({C}) WHERE step % 10 = 0")
@@ -183,18 +180,13 @@ def c16_global_walker(spark, d):
 @query(f"""WITH u AS (SELECT id, {v.uniform_sql(3, 'id')} AS u FROM ({v.POINTS})), k AS (SELECT id, row_number() OVER (ORDER BY u, id) AS k, (SELECT count(*) FROM u) AS n FROM u)
 SELECT id, CASE WHEN k <= n // 2 THEN 'train' ELSE 'test' END AS part FROM k WHERE k <= n // 2 + n // 4""")
 def c17_train_test_split(spark, d):
-    p = v.points(spark, d).select("id", uniform(3, F.col("id")).alias("u"))
-    n = p.count()
-    # both cuts are order statistics, found without numbering the rows
-    low = p.orderBy("u", "id").limit(n // 2 + n // 4)
-    first = low.orderBy("u", "id").limit(n // 2).select("id", F.lit("train").alias("part"))
-    return first.unionByName(low.join(first.select("id"), "id", "left_anti").select("id", F.lit("test").alias("part")))
+    return cand.train_test_split(v.points(spark, d), uniform(3, F.col("id")), "id", 0.5, 0.25)
 
 
 @query(f"SELECT dataset, {s6('x')} AS x, {s6('y')} AS y, 1.0::DOUBLE AS p0, {s6('x')} AS p1, {s6('x*x')} AS p2, {s6('x*x*x')} AS p3 FROM ({v.REGRESSION})")
 def c18_design_matrix(spark, d):
-    r = v.regression(spark, d)
-    return r.select("dataset", r6("x").alias("x"), r6("y").alias("y"), *[(r6(F.pow("x", F.lit(float(k)))) if k else F.lit(1.0)).alias(f"p{k}") for k in range(4)])
+    r = cand.design_matrix(v.regression(spark, d), "x", 3)
+    return rounded(r, "x", "y", "p1", "p2", "p3").select("dataset", "x", "y", "p0", "p1", "p2", "p3")
 
 
 # --- joins and graphs
@@ -214,7 +206,7 @@ def _one_way(spark, d):
     return _edges(spark, d).where((F.col("src") < F.col("dst")) | (F.col("src") % 2 == 0))
 
 
-@query(f"WITH e AS (SELECT * FROM ({EDGES}) WHERE src < dst OR src % 2 = 0) SELECT src, dst FROM e ANTI JOIN (SELECT dst AS src, src AS dst FROM e) USING (src, dst)")
+@query(f"WITH e AS MATERIALIZED (SELECT * FROM ({EDGES}) WHERE src < dst OR src % 2 = 0) SELECT src, dst FROM e ANTI JOIN (SELECT dst AS src, src AS dst FROM e) USING (src, dst)")
 def d03_missing_reverse(spark, d):
     return gr.missing_reverse(_one_way(spark, d))
 
@@ -310,14 +302,22 @@ def e12_acceptance_counts(spark, d):
 @query(f"SELECT t_index, {s6('logz - ln(100.0) + (n / 2.0) * ln(beta) - (n / 2.0) * ln(pi())')} AS evidence FROM ({STATS})")
 def e14_model_evidence(spark, d):
     s = ch.exchange_stats(v.chain(spark, d), v.schedule(spark), START, v.TIES)
-    half = F.col("n") / 2.0
-    return s.select("t_index", r6(F.col("logz") - F.log(F.lit(100.0)) + half * F.log("beta") - half * F.log(F.pi())).alias("evidence"))
+    return ch.model_evidence(s, 100.0).select("t_index", r6("evidence").alias("evidence"))
+
+
+@query(f"""SELECT t_index, {s6('logz - ln(100.0) + (n / 2.0) * ln(beta) + own - (n / 2.0) * ln(pi())')} AS evidence FROM ({STATS} ) s,
+(SELECT sum(c) AS total, sum(c / 2.0 * ln(w / s)) AS own FROM (SELECT c, w, sum(w) OVER () AS s FROM (SELECT p_brand, count(*) AS c, avg(p_retailprice) AS w FROM part GROUP BY 1))) m""".replace("(n / 2.0)", "(total / 2.0)"))
+def e14_evidence_of_data_sets(spark, d):
+    """Data sets are the brands: as many points as parts, weights as their mean price."""
+    s = ch.exchange_stats(v.chain(spark, d), v.schedule(spark), START, v.TIES)
+    m = v.table(spark, d, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.avg("p_retailprice").alias("w")).collect()  # one row a data set
+    return ch.model_evidence(s, 100.0, [r["n"] for r in m], [r["w"] for r in m]).select("t_index", r6("evidence").alias("evidence"))
 
 
 @query(f"SELECT t_index, {s6('avg(m)')} AS mean, {s6('stddev_pop(m)')} AS std FROM (SELECT rank, t_index, avg(fx) AS m FROM ({C}) GROUP BY 1, 2) GROUP BY t_index")
 def e15_evidence_over_runs(spark, d):
     m = v.chain(spark, d).groupBy("rank", "t_index").agg(F.avg("fx").alias("m"))
-    return rounded(m.groupBy("t_index").agg(F.avg("m").alias("mean"), F.stddev_pop("m").alias("std")), "mean", "std")
+    return rounded(ch.evidence_over_runs(m, "m"), "mean", "std")
 
 
 FIT = f"SELECT dataset, 9.0 + 0.5 * x AS p, y FROM ({v.REGRESSION})"
@@ -330,16 +330,12 @@ def _fit(spark, d):
 @query(f"""WITH f AS ({FIT}), m AS (SELECT dataset, avg(y) AS a FROM f GROUP BY 1) SELECT dataset, {s6('sum(pow(y-p,2))')} AS ss_res, {s6('sum(pow(y-a,2))')} AS ss_tot,
 {s6('CASE WHEN sum(pow(y-a,2)) = 0 THEN 0.0 ELSE 1 - sum(pow(y-p,2)) / sum(pow(y-a,2)) END')} AS r2 FROM f JOIN m USING (dataset) GROUP BY dataset""")
 def e17_fit_quality(spark, d):
-    f = _fit(spark, d)
-    m = f.groupBy("dataset").agg(F.avg("y").alias("a"))
-    g = f.join(F.broadcast(m), "dataset").groupBy("dataset").agg(F.sum(F.pow(F.col("y") - F.col("p"), 2)).alias("ss_res"), F.sum(F.pow(F.col("y") - F.col("a"), 2)).alias("ss_tot"))
-    return rounded(g.withColumn("r2", F.when(F.col("ss_tot") == 0, 0.0).otherwise(1 - F.col("ss_res") / F.col("ss_tot"))), "ss_res", "ss_tot", "r2")
+    return rounded(ch.fit_quality(_fit(spark, d)), "ss_res", "ss_tot", "r2")
 
 
 @query(f"SELECT dataset, {s6('avg(pow(y-p,2))')} AS mse, {s6('avg(pow(y-p,2)) / (var_pop(y) + 1e-12)')} AS nmse FROM ({FIT}) GROUP BY dataset")
 def e18_prediction_error(spark, d):
-    mse = F.avg(F.pow(F.col("y") - F.col("p"), 2))
-    return rounded(_fit(spark, d).groupBy("dataset").agg(mse.alias("mse"), (mse / (F.var_pop("y") + 1e-12)).alias("nmse")), "mse", "nmse")
+    return rounded(ch.prediction_error(_fit(spark, d)), "mse", "nmse")
 
 
 def _bin(c, lo, hi, n):
@@ -361,6 +357,35 @@ def e20_hist2d(spark, d):
     return rounded(ch.hist2d(v.chain(spark, d), "x1", "x2", 20, [(-4.0, 4.0), (-5.0, 5.0)], "t_index", "weight"), "w")
 
 
+def _bin_data(c, n):
+    lo, hi = f"r.lo_{c}", f"r.hi_{c}"
+    k = f"least(floor(({c} - {lo}) / (({hi} - {lo}) / {n})), {n - 1})"
+    e = lambda k: f"(CASE WHEN {k} = {n} THEN {hi} ELSE {lo} + ({k}) * (({hi} - {lo}) / {n}) END)"
+    return f"CAST(CASE WHEN {c} < {e(k)} THEN {k} - 1 WHEN {c} >= {e(f'({k} + 1)')} AND {k} + 1 < {n} THEN {k} + 1 ELSE {k} END AS INTEGER)"
+
+
+DATA_RANGE = "SELECT " + ", ".join(f"min({c})::DOUBLE AS lo_{c}, max({c})::DOUBLE AS hi_{c}" for c in ("x1", "x2", "fx")) + " FROM c"
+
+
+@query(f"""WITH c AS ({C}), r AS ({DATA_RANGE}), t AS (SELECT t_index, sum(weight) AS total FROM c GROUP BY 1),
+h AS ({" UNION ALL ".join(f"SELECT t_index, {i} AS col, {_bin_data(c, 60)} AS bin, weight FROM c, r" for i, c in enumerate(("x1", "x2", "fx")))})
+SELECT t_index, CAST(col AS INTEGER) AS col, bin, {s6('sum(weight) / max(total)')} AS w FROM h JOIN t USING (t_index) GROUP BY 1, 2, 3""")
+def e19_hist1d_of_data(spark, d):
+    """Ranges from the data, 60 bins."""
+    return rounded(ch.hist1d(v.chain(spark, d), ["x1", "x2", "fx"], weight="weight"), "w")
+
+
+@query(f"""WITH c AS ({C}), r AS ({DATA_RANGE}), t AS (SELECT t_index, sum(weight) AS total FROM c GROUP BY 1), k AS (SELECT t_index, weight, {", ".join(f"{_bin_data(c, 12)} AS b{i}" for i, c in enumerate(("x1", "x2", "fx")))} FROM c, r),
+h AS ({" UNION ALL ".join(f"SELECT t_index, {i} AS a, {k} AS b, b{i} AS bin_a, b{k} AS bin_b, weight FROM k" for i, k in ((0, 1), (0, 2), (1, 2)))}),
+s AS (SELECT t_index, a, b, bin_a, bin_b, sum(weight) / max(total) AS w FROM h JOIN t USING (t_index) GROUP BY ALL),
+g AS (SELECT t_index, a, b, i AS bin_a, j AS bin_b FROM (SELECT DISTINCT t_index FROM c), (VALUES (0, 1), (0, 2), (1, 2)) p(a, b), range(12) x(i), range(12) y(j))
+SELECT t_index, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, CAST(bin_a AS INTEGER) AS bin_a, CAST(bin_b AS INTEGER) AS bin_b, round(coalesce(w, 1e-10), 11) + 0.0 AS w FROM g LEFT JOIN s USING (t_index, a, b, bin_a, bin_b)""")
+def e20_hist2d_pairs(spark, d):
+    """Every pair of columns in the dense form, ranges from the data."""
+    h = ch.hist2d_pairs(v.chain(spark, d), ["x1", "x2", "fx"], 12, weight="weight", empty=1e-10)
+    return h.withColumn("w", F.round("w", 11) + F.lit(0.0))
+
+
 @query(f"SELECT {K} FROM ({C}) WHERE (rank, t_index, step) IN (SELECT (rank, t_index, max(step)) FROM ({C}) GROUP BY rank, t_index)")
 def e22_last_snapshot(spark, d):
     return ch.last_snapshot(v.chain(spark, d)).select(*KEY)
@@ -462,8 +487,7 @@ def d11_rfactor2(spark, d):
 # --- further statistics
 @query(f"SELECT id, {s6('fx')} AS fx FROM (SELECT id, pow(x1*x1 + x2 - 11, 2) + pow(x1 + x2*x2 - 7, 2) AS fx FROM ({v.POINTS})) ORDER BY fx, id LIMIT 1")
 def e02_colormap_min(spark, d):
-    m = v.points(spark, d).select("id", obj.himmelblau(F.slice("x", 1, 2)).alias("fx"))
-    return rounded(m.agg(F.min_by(F.struct("id", "fx"), F.struct("fx", "id")).alias("m")).select("m.*"), "fx")
+    return rounded(ch.grid_minimum(v.points(spark, d).select("id", obj.himmelblau(F.slice("x", 1, 2)).alias("fx"))), "fx")
 
 
 def _population(spark, d):
@@ -493,9 +517,8 @@ def e13_population_stats(spark, d):
 
 @query(f"""SELECT {s6('beta')} AS beta, {s6('1 / sqrt(2 * beta)')} AS sigma FROM (SELECT beta, logz - ln(100.0) + (n / 2.0) * ln(beta) - (n / 2.0) * ln(pi()) AS e FROM ({STATS})) ORDER BY e DESC, beta DESC LIMIT 1""")
 def e16_optimal_noise(spark, d):
-    half = F.col("n") / 2.0
     s = ch.exchange_stats(v.chain(spark, d), v.schedule(spark), START, v.TIES)
-    return rounded(ch.optimal_noise(s.select("beta", (F.col("logz") - F.log(F.lit(100.0)) + half * F.log("beta") - half * F.log(F.pi())).alias("evidence"))), "beta", "sigma")
+    return rounded(ch.optimal_noise(ch.model_evidence(s, 100.0)), "beta", "sigma")
 
 
 @query(f"""WITH c AS ({C}), t AS (SELECT t_index, count(*) AS total FROM c GROUP BY 1)
@@ -614,3 +637,157 @@ def a10_write_by_temperature(spark, d):
     c = v.chain(spark, d)
     text.write_by(c, path, "t_index", v.TIES, text.table_lines({"step": None, "walker": None, "fx": "%.6f"}), salts=32)
     return spark.read.text(path).select("t_index", F.col("value").alias("line"))
+
+
+@query(f"SELECT row_number() OVER (ORDER BY id) - 1 AS id, {s6('x1')} AS x1, {s6('x2')} AS x2, {s6('x3')} AS x3 FROM ({v.POINTS})")
+def a02_read_mesh(spark, d):
+    """Points written with their own numbers, under a header, and read as a mesh: numbered anew in the order of the lines."""
+    path, p = shared_dir(spark), v.points(spark, d)
+    line = F.concat_ws(" ", F.col("id").cast("string"), F.transform("x", lambda c: c.cast("string")))
+    text.write_lines(p.select("id", line.alias("line")), path, ["id"], ["# id x1 x2 x3"])
+    return text.read_mesh(spark, path).select("id", *[r6(F.col("x")[k]).alias(f"x{k + 1}") for k in range(3)])
+
+
+@query(f"SELECT '# x1 x2 x3' AS line UNION ALL SELECT printf('%.6f', x1) || ' ' || printf('%.6f', x2) || ' ' || printf('%.6f', x3) FROM ({v.POINTS})")
+def a03_write_mesh(spark, d):
+    path = shared_dir(spark)
+    text.write_mesh(v.points(spark, d), path, "x1 x2 x3", "%.6f")
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query(f"SELECT CAST(run AS BIGINT) AS run, {s6('beta')} AS beta, {s6('mean')} AS mean, {s6('err')} AS err, n, {s6('logz')} AS logz, {s6('acceptance')} AS acceptance FROM (SELECT rank AS run, temp AS beta, avg(fx) AS mean, stddev_pop(fx) AS err, CAST(count(*) AS DOUBLE) AS n, min(fx) AS logz, avg(weight) AS acceptance FROM ({C}) GROUP BY 1, 2)")
+def a04_read_tstats(spark, d):
+    """Tables of statistics by temperature, one file a run, written as text and read back."""
+    path = shared_dir(spark)
+    s = v.chain(spark, d).groupBy(F.col("rank").alias("run"), F.col("temp").alias("beta")).agg(F.avg("fx").alias("mean"), F.stddev_pop("fx").alias("err"), F.count(F.lit(1)).cast("double").alias("n"), F.min("fx").alias("logz"), F.avg("weight").alias("acceptance"))
+    text.write_by(s, path, "run", ["beta"], text.table_lines({c: None for c in ("beta", "mean", "err", "n", "logz", "acceptance")}))
+    return rounded(text.read_tstats(spark, f"{path}/*").withColumn("run", F.regexp_extract("run", r"run=(\d+)/", 1).cast("long")), "beta", "mean", "err", "logz", "acceptance")
+
+
+@query(f"""SELECT '# Points of a chain' AS line UNION ALL SELECT unnest(['# 1: number of the step', '# 2: walker', '# 3: value'])
+UNION ALL SELECT CAST(step AS VARCHAR) || ' ' || CAST(walker AS VARCHAR) || ' ' || printf('%.6f', fx) FROM ({C})""")
+def a07_write_table_text(spark, d):
+    path, cols = shared_dir(spark), {"step": None, "walker": None, "fx": "%.6f"}
+    c = v.chain(spark, d).withColumn("line", text.table_lines(cols))
+    text.write_lines(c, path, v.TIES, text.header_lines(list(cols), {"step": "number of the step", "walker": "", "fx": "value"}, "Points of a chain"))
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query(f"""WITH m AS (SELECT row_number() OVER (ORDER BY id) - 1 AS id, round(x1, 6) AS x1, round(x2, 6) AS x2, round(x3, 6) AS x3, round(x1*x1 + x2*x2 + x3*x3, 6) AS fx FROM ({v.POINTS}))
+SELECT id, x1 + 0.0 AS x1, x2 + 0.0 AS x2, x3 + 0.0 AS x3, fx + 0.0 AS fx, CASE WHEN fx > 0 THEN round(log10(fx), 6) + 0.0 END AS log_fx FROM m""")
+def a08_colormap(spark, d):
+    """The colour map written with header and minimum, and read back with logarithms."""
+    path = shared_dir(spark)
+    text.write_colormap(v.points(spark, d).withColumn("fx", obj.quadratics(F.col("x"))), path, ["x1", "x2", "x3"])
+    return rounded(text.read_colormap(spark, path, log10=True).select("id", *[F.col("x")[k].alias(f"x{k + 1}") for k in range(3)], "fx", "log_fx"), "x1", "x2", "x3", "fx", "log_fx")
+
+
+# --- checks of meshes
+@query(f"""WITH RECURSIVE e AS MATERIALIZED ({EDGES}), r AS (SELECT id, id AS component FROM ({v.POINTS}) UNION SELECT e.dst, r.component FROM r JOIN e ON e.src = r.id),
+k AS (SELECT id, min(component) AS component FROM r GROUP BY id) SELECT count(DISTINCT component) <= 1 AS connected, true AS bidirectional, count(*) AS nodes, count(DISTINCT component) AS components, CAST(0 AS BIGINT) AS one_way FROM k""".replace("<= 0.1", "<= 0.06"))
+def d05_validate_mesh_graph(spark, d):
+    p = v.points(spark, d)
+    return gr.validate_mesh_graph(p, gr.radius_neighbors(p, 0.06, 3))
+
+
+WHOLE = "SELECT CAST(vec_id AS BIGINT) AS id, embedding::DOUBLE[] AS x FROM embeddings"
+
+
+@query(f"SELECT a.id AS src, b.id AS dst FROM ({WHOLE}) a JOIN ({WHOLE}) b ON sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda z: pow(z[1] / 2.0 - z[2] / 2.0, 2)))) <= 0.42")
+def d01_radius_neighbors_all_axes(spark, d):
+    """All components, in units of 2, with every point as its own neighbour."""
+    p = v.table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+    dim = len(p.select("x").first()[0])
+    return gr.radius_neighbors(p, 0.42, dim, [2.0] * dim, self_loop=True)
+
+
+def _objective_of_all(name, f, sql):
+    def run(spark, d):
+        p = v.table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+        return p.select("id", r6(f(F.col("x"))).alias("fx"))
+
+    run.__name__ = name
+    query(f"SELECT id, {s6(sql)} AS fx FROM ({WHOLE})")(run)
+
+
+_sum = lambda e: f"list_sum(list_transform(x, lambda v: {e}))"
+_objective_of_all("c05_quadratics_all_axes", obj.quadratics, _sum("v * v"))
+_objective_of_all("c06_quartics_all_axes", obj.quartics, f"{_sum('(v - 1) * (v - 1)')} / len(x) * ({_sum('(v + 1) * (v + 1)')} / len(x))")
+_objective_of_all("c07_ackley_all_axes", obj.ackley, f"20 + exp(1.0) - 20 * exp(-0.2 * sqrt({_sum('v * v')} / len(x))) - exp({_sum('cos(2 * pi() * v)')} / 2)")
+_objective_of_all("c08_rosenbrock_all_axes", obj.rosenbrock, "list_sum(list_transform(list_zip(x[:-2], x[2:]), lambda p: 100 * pow(p[2] - p[1] * p[1], 2) + pow(1 - p[1], 2)))")
+
+
+# --- walkers and plans
+@query(f"""WITH RECURSIVE n AS (SELECT count(*) AS n FROM embeddings), g AS (SELECT id AS walker, x1, x2 FROM ({v.POINTS}) WHERE x1 > x2),
+w AS (SELECT i AS walker, 0 AS r, g.x1, g.x2, g.walker IS NOT NULL AS ok FROM n, range((SELECT 2 * n FROM n)) t(i) LEFT JOIN g ON g.walker = t.i
+UNION ALL SELECT walker, r + 1, a, b, a > b FROM (SELECT walker, r, -1.0 + 2.0 * {v.uniform_sql(23, 'walker', 'r', '0')} AS a, -1.0 + 2.0 * {v.uniform_sql(23, 'walker', 'r', '1')} AS b FROM w WHERE NOT ok))
+SELECT CAST(walker AS BIGINT) AS walker, {s6('x1')} AS x1, {s6('x2')} AS x2 FROM w WHERE ok""")
+def b03_init_walkers(spark, d):
+    """Twice as many walkers as points: points that are allowed stay, the rest is drawn until it is allowed."""
+    p = v.points(spark, d).select(F.col("id").alias("walker"), F.slice("x", 1, 2).alias("x"))
+    w = cand.init_walkers(spark, [-1, -1], [1, 1], 2 * p.count(), lambda x: x[0] > x[1], p, 23)
+    return w.select("walker", r6(F.col("x")[0]).alias("x1"), r6(F.col("x")[1]).alias("x2"))
+
+
+@query(f"""WITH n AS (SELECT count(*) AS steps, count(DISTINCT l_suppkey) AS m FROM lineitem)
+SELECT CAST(i AS BIGINT) AS t_index, steps // m + CASE WHEN i < steps % m THEN 1 ELSE 0 END AS nsteps FROM n, range((SELECT m FROM n)) r(i)""")
+def b05_annealing_plan(spark, d):
+    """All steps of the log shared out over as many temperatures as it has walkers."""
+    n = v.chain(spark, d).agg(F.count(F.lit(1)), F.count_distinct("walker")).first()
+    plan = cand.annealing_plan(numsteps=n[0], n_t=n[1])
+    return spark.createDataFrame(list(enumerate(plan)), "t_index long, nsteps long")
+
+
+# --- whole runs; random numbers inside tasks have no SQL, tests hold them against other runs and against theory
+AXES = 4
+
+
+def _starts(spark, d, name="walker"):
+    return v.points(spark, d, AXES).select(F.col("id").alias(name), "x")
+
+
+def _anneal(spark, d, folder, upto):
+    return runs.anneal(_starts(spark, d), obj.quadratics_array, [0.5 * k for k in range(upto)], [5] * upto, [0.5] * AXES, [-2.0] * AXES, [2.0] * AXES, 29, folder, interval=2)
+
+
+@query(None)
+def g08_anneal(spark, d):
+    return rounded(runs.anneal_stats(_anneal(spark, d, shared_dir(spark), 7), 2), "mean", "err", "logz", "pr", "acceptance")
+
+
+@query(None)
+def g09_replica_exchange(spark, d):
+    betas = [1.0 / (k + 1) for k in range(4)]
+    r = runs.replica_exchange(_starts(spark, d, "group"), obj.rosenbrock_array, betas, 6, 5, [0.2] * AXES, [-2.0] * AXES, [2.0] * AXES, 31, shared_dir(spark))
+    s = ch.fx_moments(r.where(F.col("step") > 5)).join(r.groupBy("t_index").agg(F.try_divide(F.sum("naccepted"), F.sum("ntrial")).alias("acceptance"), F.min("best_fx").alias("best_fx")), "t_index")
+    return rounded(s, "mean", "stderr", "acceptance", "best_fx")
+
+
+@query(None)
+def g10_continue_run(spark, d):
+    """The run of g08 in two parts: the same rows."""
+    folder = shared_dir(spark)
+    _anneal(spark, d, folder, 4)
+    return rounded(runs.anneal_stats(_anneal(spark, d, folder, 7), 2), "mean", "err", "logz", "pr", "acceptance")
+
+
+@query(None)
+def g11_multistart_simplex(spark, d):
+    s = searches.multistart_simplex(_starts(spark, d, "id"), obj.rosenbrock_array, [0.25] * AXES, [-5.0] * AXES, [5.0] * AXES)
+    return rounded(s.select("id", "fx", "iterations", "evaluations", "converged", *[F.col("x")[k].alias(f"x{k + 1}") for k in range(AXES)]), "fx", *[f"x{k + 1}" for k in range(AXES)])
+
+
+@query(None)
+def g12_score_candidates(spark, d):
+    """Every hundredth point is observed, all others are scored."""
+    p = v.points(spark, d, AXES)
+    seen = p.where("id % 100 = 0").select("id", obj.rosenbrock(F.col("x")).alias("fx"))
+    return rounded(searches.score_candidates(p, seen, "EI"), "mean", "std", "score")
+
+
+@query(None)
+def g03_sweep_log(spark, d):
+    """Trial and result rows of ten steps of all walkers."""
+    w = runs.start_walkers(_starts(spark, d), obj.quadratics_array, 1.0)
+    m = runs.sweep(w, obj.quadratics_array, [0.3] * AXES, 37, range(1, 11), [-2.0] * AXES, [2.0] * AXES, every=True)
+    return rounded(m.select("walker", "step", "fx", "trial_fx", "accepted", "naccepted"), "fx", "trial_fx")

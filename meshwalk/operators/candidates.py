@@ -108,17 +108,64 @@ def in_box(x: Column, mins: list[float], maxs: list[float], strict: bool = False
     return out
 
 
-def evaluate(df: DataFrame, objective, mapping=None, allowed=None) -> DataFrame:
-    """Adds fx: infinity where x, before mapping, is not allowed; else the objective of the mapped x."""
+def evaluate(df: DataFrame, objective, mapping=None, allowed=None, ignore_error: bool = False) -> DataFrame:
+    """Adds fx: infinity where x, before mapping, is not allowed; else the objective of the mapped x. ``objective`` is a
+    function of columns, or one of arrays in :func:`user_objective`; an error in it ends the job, or with ``ignore_error``
+    gives NaN to its row (functions of arrays, wrapped here; those of columns give null instead of an error, hence NaN)."""
     x = F.col("x")
     fx = objective(mapping(x) if mapping else x)
+    if ignore_error:
+        fx = F.coalesce(fx, F.lit(float("nan")))
     return df.withColumn("fx", F.when(allowed(x), fx).otherwise(F.lit(float("inf"))) if allowed else fx)
 
 
-def user_objective(fn):
-    """Column function from ``fn``, which gets a batch of points as an n by d matrix and returns n values."""
+def user_objective(fn, ignore_error: bool = False):
+    """Column function from ``fn``, which gets a batch of points as an n by d matrix and returns n values. With
+    ``ignore_error`` a batch that fails is tried row by row, and failing rows get NaN."""
     @F.pandas_udf("double")
     def run(x: pd.Series) -> pd.Series:
-        return pd.Series(np.asarray(fn(np.stack(x.to_numpy())), float)) if len(x) else pd.Series([], dtype=float)
+        if not len(x):
+            return pd.Series([], dtype=float)
+        m = np.stack(x.to_numpy())
+        try:
+            return pd.Series(np.asarray(fn(m), float))
+        except Exception:
+            if not ignore_error:
+                raise
+        out = np.full(len(m), np.nan)
+        for k in range(len(m)):
+            try:
+                out[k] = np.asarray(fn(m[k : k + 1]), float)[0]
+            except Exception:
+                continue
+        return pd.Series(out)
 
     return run
+
+
+def standardize(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Adds z_<col>, a_<col> and s_<col>: (value - mean) / population standard deviation of all rows; 0 for a constant column."""
+    m = df.agg(*[F.avg(c).alias(f"a_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols])
+    z = lambda c: F.when(F.col(f"s_{c}") > 0, F.try_divide(F.col(c) - F.col(f"a_{c}"), F.col(f"s_{c}"))).otherwise(0.0)
+    return df.join(F.broadcast(m)).withColumns({f"z_{c}": z(c) for c in cols})  # one row
+
+
+def unstandardize(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The inverse: <col> from z_<col>, a_<col> and s_<col>."""
+    return df.withColumns({c: F.col(f"z_{c}") * F.col(f"s_{c}") + F.col(f"a_{c}") for c in cols})
+
+
+def train_test_split(df: DataFrame, u: Column, key: str, train: float, test: float) -> DataFrame:
+    """(key, part): the rows of the smallest u are train, the next ones test, in the given shares of the rows, rounded down.
+    Both cuts are order statistics of (u, key), found without numbering the rows."""
+    p = df.select(key, u.alias("u"))
+    n = p.count()
+    a, b = int(n * train), int(n * train) + int(n * test)
+    low = p.orderBy("u", key).limit(b)
+    first = low.orderBy("u", key).limit(a).select(key, F.lit("train").alias("part"))
+    return first.unionByName(low.join(first.select(key), key, "left_anti").select(key, F.lit("test").alias("part")))
+
+
+def design_matrix(df: DataFrame, x: str, degree: int) -> DataFrame:
+    """Adds p0 ... p<degree>: the powers of x."""
+    return df.withColumns({f"p{k}": F.pow(x, F.lit(float(k))) if k else F.lit(1.0) for k in range(degree + 1)})

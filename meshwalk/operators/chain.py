@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshwalk.functions.shared import cut
+
 ORDER = ["step"]
 CHUNK = 100_000
 
 
+def finite(c: Column) -> Column:
+    return ~F.isnan(c) & (F.abs(c) != float("inf"))
+
+
+def few(df: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """``df`` marked for broadcast only if its counted rows (of a few numbers each) stay under ``limit``; ``df`` should be
+    cut, or cheap to make twice."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def thin(chain: DataFrame, every: int) -> DataFrame:
     return chain.where(F.col("step") % every == 0)
 
@@ -22,24 +36,40 @@ def global_walker(chain: DataFrame, n_per_rank: int) -> DataFrame:
 
 
 def fx_moments(chain: DataFrame, by: str = "t_index") -> DataFrame:
-    """n, mean and standard error of finite fx in each group."""
-    c = chain.where(~F.isnan("fx") & (F.abs("fx") != float("inf")))
-    return c.groupBy(by).agg(F.count("fx").alias("n"), F.avg("fx").alias("mean"), F.sqrt(F.var_pop("fx") / (F.count("fx") - 1)).alias("stderr"))
+    """n, mean and standard error of finite fx in each group; one row has a null error."""
+    c = chain.where(finite(F.col("fx")))
+    return c.groupBy(by).agg(F.count("fx").alias("n"), F.avg("fx").alias("mean"), F.sqrt(F.try_divide(F.var_pop("fx"), F.count("fx") - 1)).alias("stderr"))
 
 
 def _close(x: Column, old: Column) -> Column:
     return F.forall(F.zip_with(x, old, lambda a, b: F.abs(a - b) <= 1e-8 + 1e-5 * F.abs(b)), lambda v: v)
 
 
-def with_previous(chain: DataFrame, order: list[str], chunk: int = CHUNK) -> DataFrame:
-    """Adds ``old``: x of the row before in the same temperature. Rows are dealt by (temperature, chunk of steps), so that
-    few temperatures still fill many tasks; the last row of a chunk is handed to the next one by a small join."""
-    c = chain.withColumn("chunk", F.floor(F.col("step") / chunk))
-    w = Window.partitionBy("t_index", "chunk").orderBy(*order)
-    c = c.withColumn("old", F.lag("x").over(w)).withColumn("first", F.row_number().over(w) == 1)
-    ends = c.groupBy("t_index", "chunk").agg(F.max_by("x", F.struct(*order)).alias("end"))
-    ends = ends.select("t_index", "chunk", F.lag("end").over(Window.partitionBy("t_index").orderBy("chunk")).alias("before"))
-    return c.join(ends, ["t_index", "chunk"]).withColumn("old", F.when(F.col("first"), F.col("before")).otherwise(F.col("old"))).drop("chunk", "first", "before")
+def _chunked(df: DataFrame, keys: list[str], position: Column, chunk: float) -> tuple[DataFrame, list[str]]:
+    """``df`` dealt by (keys, chunk of the position), so that few keys still fill many tasks."""
+    return df.withColumn("chunk", F.floor(position / chunk)), [*keys, "chunk"]
+
+
+def with_previous(df: DataFrame, order: list[str], chunk: float = CHUNK, keys: tuple[str, ...] = ("t_index",), value: str = "x") -> DataFrame:
+    """Adds ``old``: the value of the row before under the same keys. Rows are dealt by (keys, chunk of the first order
+    column); the last row of a chunk is handed to the next one by a join of one row a chunk."""
+    c, by = _chunked(df, list(keys), F.col(order[0]), chunk)
+    w = Window.partitionBy(*by).orderBy(*order)
+    c = c.withColumn("old", F.lag(value).over(w)).withColumn("first", F.row_number().over(w) == 1)
+    ends = c.groupBy(*by).agg(F.max_by(F.struct(value), F.struct(*order)).alias("end"))
+    ends = ends.select(*by, F.lag(f"end.{value}").over(Window.partitionBy(*keys).orderBy("chunk")).alias("before"))
+    return c.join(ends, by).withColumn("old", F.when(F.col("first"), F.col("before")).otherwise(F.col("old"))).drop("chunk", "first", "before")
+
+
+def running_sum(df: DataFrame, value: Column, order: list[str], name: str, chunk: float = CHUNK, keys: tuple[str, ...] = ("t_index",)) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over the rows up to this one, and ``name``_all over all rows, under the same keys;
+    summed by chunks, whose totals (one row each) are added up apart."""
+    c, by = _chunked(df.withColumn("value", value), list(keys), F.col(order[0]), chunk)
+    part = c.groupBy(*by).agg(F.sum("value").alias("part"))
+    own = Window.partitionBy(*keys)
+    part = part.select(*by, F.coalesce(F.sum("part").over(own.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("part").over(own).alias(f"{name}_all"))
+    inside = F.sum("value").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return c.withColumn("inside", inside).join(part, by).withColumn(name, F.col("base") + F.col("inside")).drop("value", "chunk", "inside", "base")
 
 
 def move_ratio(chain: DataFrame, order: list[str], from_step: float = 0, chunk: int = CHUNK) -> DataFrame:
@@ -52,9 +82,8 @@ def move_ratio(chain: DataFrame, order: list[str], from_step: float = 0, chunk:
 def log_z_steps(chain: DataFrame, schedule: DataFrame) -> DataFrame:
     """log mean exp(-(beta of the next colder temperature - beta) f) of each temperature, shifted by its maximum."""
     nxt = schedule.select("t_index", "beta", (F.lead("beta").over(Window.orderBy("beta")) - F.col("beta")).alias("db"))
-    v = chain.select("t_index", "fx").join(F.broadcast(nxt), "t_index").where("db is not null").withColumn("v", -F.col("db") * F.col("fx"))
-    top = v.groupBy("t_index").agg(F.max("v").alias("top"))
-    return v.join(F.broadcast(top), "t_index").groupBy("t_index").agg((F.log(F.sum(F.exp(F.col("v") - F.col("top"))) / F.count("v")) + F.first("top")).alias("dlogz"))
+    v = chain.select("t_index", "fx").join(few(nxt), "t_index").where("db is not null").withColumn("v", -F.col("db") * F.col("fx"))
+    return _log_mean_exp(v, "t_index", "v", "dlogz")
 
 
 def log_z(chain: DataFrame, schedule: DataFrame) -> DataFrame:
@@ -65,9 +94,10 @@ def log_z(chain: DataFrame, schedule: DataFrame) -> DataFrame:
 
 
 def exchange_stats(chain: DataFrame, schedule: DataFrame, from_step: float, order: list[str]) -> DataFrame:
-    """beta, mean, stderr, n, logz, acceptance of each temperature after burn-in."""
+    """beta, mean, stderr, n, logz, acceptance of each temperature after burn-in: one pass for the sums over fx, one for the
+    moves."""
     late = chain.where(F.col("step") >= from_step)
-    return fx_moments(late).join(log_z(late, schedule), "t_index").join(move_ratio(chain, order, from_step), "t_index").select("t_index", "beta", "mean", "stderr", "n", "logz", "acceptance")
+    return fx_moments(late).join(log_z(late, schedule), "t_index").join(move_ratio(chain.select("t_index", "x", *order), order, from_step), "t_index").select("t_index", "beta", "mean", "stderr", "n", "logz", "acceptance")
 
 
 def best_row(df: DataFrame, ties: list[str], columns: list[str]) -> DataFrame:
@@ -82,14 +112,15 @@ def top_k(df: DataFrame, k: int, ties: list[str]) -> DataFrame:
 def separate_by_temperature(chain: DataFrame, schedule: DataFrame, n_per_rank: int) -> DataFrame:
     """Exact temperature to index, one numbering of walkers, ready to be written by temperature."""
     s = schedule.select("temp", F.col("t_index").alias("k"))
-    return global_walker(chain.join(F.broadcast(s), "temp"), n_per_rank).select(F.col("k").alias("t_index"), "step", "gwalker", "fx", "x")
+    return global_walker(chain.join(few(s), "temp"), n_per_rank).select(F.col("k").alias("t_index"), "step", "gwalker", "fx", "x")
 
 
-def temperature_runs(chain: DataFrame, order: list[str]) -> DataFrame:
-    """A number that grows whenever the temperature changes along each rank's log."""
-    w = Window.partitionBy("rank").orderBy(*order)
-    new = F.coalesce((F.col("temp") != F.lag("temp").over(w)).cast("int"), F.lit(0))
-    return chain.withColumn("new", new).withColumn("run_index", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+def temperature_runs(chain: DataFrame, order: list[str], chunk: float = CHUNK) -> DataFrame:
+    """A number that grows whenever the temperature changes along each rank's log; by chunks of steps, so that few ranks
+    fill many tasks."""
+    c = with_previous(chain, order, chunk, ("rank",), "temp")
+    new = F.coalesce((F.col("temp") != F.col("old")).cast("long"), F.lit(0).cast("long"))
+    return running_sum(c, new, order, "run_index", chunk, ("rank",)).drop("old", "run_index_all")
 
 
 def running_best(history: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -102,11 +133,12 @@ def running_best(history: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return best.select("run", "step", "id", "fx", F.col("best.fx").alias("best_fx"), F.col("best.step").alias("best_step"), F.col("best.id").alias("best_id"))
 
 
-def call_profile(calls: DataFrame) -> DataFrame:
-    """Number, seconds since the last call and since the first one, of each rank's calls (t in seconds)."""
-    w = Window.partitionBy("rank").orderBy("t", "call")
-    first = F.first("t").over(w)
-    return calls.select("rank", "call", F.row_number().over(w).alias("num_calls"), F.coalesce(F.col("t") - F.lag("t").over(w), F.lit(0.0)).alias("elapsed_last"), (F.col("t") - first).alias("elapsed_start"))
+def call_profile(calls: DataFrame, chunk: float = CHUNK) -> DataFrame:
+    """Number, seconds since the last call and since the first one, of each rank's calls (t in seconds), by chunks of time."""
+    c = with_previous(calls.select("rank", "call", "t"), ["t", "call"], chunk, ("rank",), "t")
+    c = running_sum(c, F.lit(1).cast("long"), ["t", "call"], "num_calls", chunk, ("rank",))
+    first = calls.groupBy("rank").agg(F.min("t").alias("first"))
+    return c.join(first, "rank").select("rank", "call", F.col("num_calls").cast("int").alias("num_calls"), F.coalesce(F.col("t") - F.col("old"), F.lit(0.0)).alias("elapsed_last"), (F.col("t") - F.col("first")).alias("elapsed_start"))
 
 
 def last_snapshot(chain: DataFrame, n: int | None = None, order: list[str] | None = None) -> DataFrame:
@@ -118,15 +150,15 @@ def last_snapshot(chain: DataFrame, n: int | None = None, order: list[str] | Non
     return chain.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n).drop("k")
 
 
-def trim_path(df: DataFrame, skip: int, order: list[str]) -> DataFrame:
-    """Without the first ``skip`` rows and the last row of each run."""
-    w = Window.partitionBy("run").orderBy(*order)
-    d = df.withColumns({"k": F.row_number().over(w), "n": F.count(F.lit(1)).over(Window.partitionBy("run"))})
-    return d.where((F.col("k") > skip) & (F.col("k") < F.col("n"))).drop("k", "n")
+def trim_path(df: DataFrame, skip: int, order: list[str], chunk: float = CHUNK) -> DataFrame:
+    """Without the first ``skip`` rows and the last row of each run; rows are numbered by chunks."""
+    d = running_sum(df, F.lit(1).cast("long"), order, "k", chunk, ("run",))
+    return d.where((F.col("k") > skip) & (F.col("k") < F.col("k_all"))).drop("k", "k_all")
 
 
 def acceptance_counts(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("t_index").agg((F.sum("accepted") / F.sum("tried")).alias("acceptance"))
+    """Accepted moves of those tried; null where none was tried."""
+    return counts.groupBy("t_index").agg(F.try_divide(F.sum("accepted"), F.sum("tried")).alias("acceptance"))
 
 
 def trial_result_accept(trial: DataFrame, result: DataFrame) -> DataFrame:
@@ -136,32 +168,68 @@ def trial_result_accept(trial: DataFrame, result: DataFrame) -> DataFrame:
     return j.groupBy("t_index").agg(F.sum((F.col("x") == F.col("tx")).cast("long")).alias("accepted"), F.count(F.lit(1)).alias("tried"))
 
 
-def hist1d(df: DataFrame, cols: list[str], bins: int, ranges: list[tuple[float, float]], by: str = "t_index", weight: str | None = None) -> DataFrame:
-    """(by, col, bin, w): weighted histograms; weights are divided by the group's total before rows outside are dropped;
-    the last bin is closed. Bins are found by arithmetic and put right against the edges."""
+def data_ranges(df: DataFrame, cols: list[str]) -> list[tuple[float, float]]:
+    """Smallest and largest value of each column over all rows; half a unit to each side where they are equal."""
+    row = df.agg(*[f(F.col(c).cast("double")).alias(f"{c}{k}") for c in cols for k, f in enumerate((F.min, F.max))]).first()
+    pairs = [(row[f"{c}0"], row[f"{c}1"]) for c in cols]
+    return [(a - 0.5, b + 0.5) if a == b else (a, b) for a, b in [(0.0, 1.0) if p[0] is None else p for p in pairs]]
+
+
+def _ranges(df: DataFrame, cols: list[str], ranges) -> list[tuple[float, float]]:
+    """ranges: None (that of the data), one pair for all columns, or one pair a column."""
+    if ranges is None:
+        return data_ranges(df, cols)
+    return [tuple(ranges)] * len(cols) if not isinstance(ranges[0], list | tuple) else list(ranges)
+
+
+def _bin_of(v: Column, lo: Column, hi: Column, bins: int) -> Column:
+    """Bin of a value in [lo, hi], found by arithmetic and put right against the edges; the last bin is closed."""
+    step = (hi - lo) / bins
+    edge = lambda k: F.when(k == bins, hi).otherwise(lo + k * step)
+    k = F.least(F.floor((v - lo) / step), F.lit(bins - 1))
+    return F.when(v < edge(k), k - 1).when((v >= edge(k + 1)) & (k + 1 < bins), k + 1).otherwise(k).cast("int")
+
+
+def hist1d(df: DataFrame, cols: list[str], bins: int = 60, ranges=None, by: str = "t_index", weight: str | None = None) -> DataFrame:
+    """(by, col, bin, w): weighted histograms; weights are divided by the group's total before rows outside are dropped.
+    ``ranges`` is None (smallest and largest value of the data), one pair, or one pair a column. A total weight of 0 gives
+    null."""
+    ranges = _ranges(df, cols, ranges)
     w = F.col(weight) if weight else F.lit(1.0)
     d = df.select(by, w.alias("w"), F.posexplode(F.array(*[F.col(c).cast("double") for c in cols])).alias("col", "v"))
     total = df.groupBy(by).agg(F.sum(w).alias("total"))
     lo, hi = (F.element_at(F.array(*[F.lit(float(r[i])) for r in ranges]), F.col("col") + 1) for i in (0, 1))
-    step = (hi - lo) / bins
-    edge = lambda k: F.when(k == bins, hi).otherwise(lo + k * step)
-    k = F.least(F.floor((F.col("v") - lo) / step), F.lit(bins - 1))
-    k = F.when(F.col("v") < edge(k), k - 1).when((F.col("v") >= edge(k + 1)) & (k + 1 < bins), k + 1).otherwise(k)
-    d = d.where((F.col("v") >= lo) & (F.col("v") <= hi)).withColumn("bin", k.cast("int"))
-    return d.groupBy(by, "col", "bin").agg(F.sum("w").alias("s")).join(F.broadcast(total), by).select(by, "col", "bin", (F.col("s") / F.col("total")).alias("w"))
+    d = d.where((F.col("v") >= lo) & (F.col("v") <= hi)).withColumn("bin", _bin_of(F.col("v"), lo, hi, bins))
+    return d.groupBy(by, "col", "bin").agg(F.sum("w").alias("s")).join(total, by).select(by, "col", "bin", F.try_divide("s", "total").alias("w"))
 
 
-def hist2d(df: DataFrame, a: str, b: str, bins: int, ranges: list[tuple[float, float]], by: str = "t_index", weight: str | None = None) -> DataFrame:
+def hist2d(df: DataFrame, a: str, b: str, bins: int, ranges=None, by: str = "t_index", weight: str | None = None) -> DataFrame:
     """(by, bin_a, bin_b, w) of one pair of columns, as in :func:`hist1d`."""
+    return hist2d_pairs(df, [a, b], bins, ranges, by, weight).drop("a", "b")
+
+
+def hist2d_pairs(df: DataFrame, cols: list[str], bins: int = 60, ranges=None, by: str = "t_index", weight: str | None = None, empty: float | None = None) -> DataFrame:
+    """(by, a, b, bin_a, bin_b, w) for every pair a < b of the columns' positions, in one pass over the rows. With ``empty``
+    all bins * bins cells of each pair and group stand, those without weight with that value."""
+    ranges = _ranges(df, cols, ranges)
     w = F.col(weight) if weight else F.lit(1.0)
-    d, total = df, df.groupBy(by).agg(F.sum(w).alias("total"))
-    for c, (lo, hi) in ((a, ranges[0]), (b, ranges[1])):
-        step, v = (hi - lo) / bins, F.col(c).cast("double")
-        edge = lambda k, lo=lo, hi=hi, step=step: F.when(k == bins, F.lit(float(hi))).otherwise(F.lit(float(lo)) + k * F.lit(step))
-        k = F.least(F.floor((v - lo) / step), F.lit(bins - 1))
-        k = F.when(v < edge(k), k - 1).when((v >= edge(k + 1)) & (k + 1 < bins), k + 1).otherwise(k)
-        d = d.where((v >= lo) & (v <= hi)).withColumn(f"bin_{c}", k.cast("int"))
-    return d.groupBy(by, f"bin_{a}", f"bin_{b}").agg(F.sum(w).alias("s")).join(F.broadcast(total), by).select(by, F.col(f"bin_{a}").alias("bin_a"), F.col(f"bin_{b}").alias("bin_b"), (F.col("s") / F.col("total")).alias("w"))
+    total = df.groupBy(by).agg(F.sum(w).alias("total"))
+    at = []
+    for c, (lo, hi) in zip(cols, ranges, strict=True):
+        v = F.col(c).cast("double")
+        at.append(F.when((v >= lo) & (v <= hi), _bin_of(v, F.lit(float(lo)), F.lit(float(hi)), bins)))
+    pairs = [(i, k) for i in range(len(cols)) for k in range(i + 1, len(cols))]
+    d = df.select(by, w.alias("w"), *[x.alias(f"bin{i}") for i, x in enumerate(at)])
+    d = d.select(by, "w", F.inline(F.array(*[F.struct(F.lit(i).alias("a"), F.lit(k).alias("b"), F.col(f"bin{i}").alias("bin_a"), F.col(f"bin{k}").alias("bin_b")) for i, k in pairs])))
+    d = d.where("bin_a is not null and bin_b is not null").groupBy(by, "a", "b", "bin_a", "bin_b").agg(F.sum("w").alias("s"))
+    d = d.join(total, by).select(by, "a", "b", "bin_a", "bin_b", F.try_divide("s", "total").alias("w"))
+    if empty is None:
+        return d
+    # groups times pairs times cells: one row each in the result, made without a join
+    cell = F.explode(F.sequence(F.lit(0), F.lit(bins * bins - 1)))
+    every = total.select(by, F.inline(F.array(*[F.struct(F.lit(i).alias("a"), F.lit(k).alias("b")) for i, k in pairs]))).withColumn("cell", cell)
+    every = every.select(by, "a", "b", F.floor(F.col("cell") / bins).cast("int").alias("bin_a"), (F.col("cell") % bins).cast("int").alias("bin_b"))
+    return every.join(d, [by, "a", "b", "bin_a", "bin_b"], "left").withColumn("w", F.when(F.col("w") > 0, F.col("w")).otherwise(F.lit(float(empty))))
 
 
 def neal_weights(population: DataFrame, interval: int) -> DataFrame:
@@ -173,22 +241,25 @@ def neal_weights(population: DataFrame, interval: int) -> DataFrame:
 
 
 def _shifted(p: DataFrame) -> DataFrame:
+    """Adds w: the weight over the largest of its temperature."""
     top = p.groupBy("t_index").agg(F.max("lw").alias("top"))
-    return p.join(F.broadcast(top), "t_index").withColumn("w", F.exp(F.col("lw") - F.col("top")))
+    return p.join(few(top), "t_index").withColumn("w", F.exp(F.col("lw") - F.col("top")))
 
 
 def participation_ratio(p: DataFrame) -> DataFrame:
     return _shifted(p).groupBy("t_index").agg((F.sum("w") * F.sum("w") / F.sum(F.col("w") * F.col("w"))).alias("pr"))
 
 
-def weighted_jackknife(p: DataFrame) -> DataFrame:
+def weighted_jackknife(p: DataFrame, is_cut: bool = False) -> DataFrame:
     """Bias-corrected mean and error by leave-one-out means, in closed form: with m = F / W, a walker's mean is
-    m - (f - m) w / (W - w), so two grouped passes are enough."""
-    p = _shifted(p)
+    m - (f - m) w / (W - w), so two grouped passes are enough. Where leaving a walker out leaves no weight (one walker, or
+    one with all of it), the mean is not corrected and the error is null. ``p`` is cut once, for all passes, unless it is."""
+    p = _shifted(p if is_cut else cut(p.select("t_index", "fx", "lw"), "weights"))
     t = p.groupBy("t_index").agg(F.sum("w").alias("tw"), (F.sum(F.col("w") * F.col("fx")) / F.sum("w")).alias("m"), F.count(F.lit(1)).alias("n"))
-    e = p.join(F.broadcast(t), "t_index").withColumn("e", -(F.col("fx") - F.col("m")) * F.col("w") / (F.col("tw") - F.col("w")))
-    g = e.groupBy("t_index").agg(F.first("m").alias("m"), F.first("n").alias("n"), F.avg("e").alias("ae"), F.var_pop("e").alias("ve"))
-    return g.select("t_index", (F.col("m") - (F.col("n") - 1) * F.col("ae")).alias("mean"), F.sqrt((F.col("n") - 1) * F.col("ve")).alias("err"))
+    e = p.join(few(t), "t_index").withColumn("e", F.try_divide(-(F.col("fx") - F.col("m")) * F.col("w"), F.col("tw") - F.col("w")))
+    g = e.groupBy("t_index").agg(F.first("m").alias("m"), F.first("n").alias("n"), F.count("e").alias("k"), F.avg("e").alias("ae"), F.var_pop("e").alias("ve"))
+    whole = F.col("k") == F.col("n")
+    return g.select("t_index", F.when(whole, F.col("m") - (F.col("n") - 1) * F.col("ae")).otherwise(F.col("m")).alias("mean"), F.when(whole, F.sqrt((F.col("n") - 1) * F.col("ve"))).alias("err"))
 
 
 def reweight(p: DataFrame, dbeta: float) -> DataFrame:
@@ -216,8 +287,13 @@ def swap_temperatures(replicas: DataFrame, offset: int, u) -> DataFrame:
 
 
 def _log_mean_exp(df: DataFrame, by: str, v: str, name: str) -> DataFrame:
-    top = df.groupBy(by).agg(F.max(v).alias("top"))
-    return df.join(F.broadcast(top), by).groupBy(by).agg((F.log(F.sum(F.exp(F.col(v) - F.col("top"))) / F.count(v)) + F.first("top")).alias(name))
+    """log of the mean of exp(v) in each group, in one pass: sums of exp(v - top) for blocks of v a few units high are put
+    together under the highest."""
+    level = F.ceil(F.col(v) / 64.0).cast("double")
+    part = df.where(F.col(v).isNotNull()).groupBy(by, level.alias("level")).agg(F.sum(F.exp(F.col(v) - level * 64.0)).alias("s"), F.count(F.lit(1)).alias("c"))
+    top = F.max("level").over(Window.partitionBy(by))
+    part = part.withColumn("top", top)  # a few rows a group
+    return part.groupBy(by).agg((F.log(F.sum(F.col("s") * F.exp((F.col("level") - F.col("top")) * 64.0)) / F.sum("c")) + F.first("top") * 64.0).alias(name))
 
 
 def population_log_z(p: DataFrame, schedule: DataFrame) -> DataFrame:
@@ -225,7 +301,7 @@ def population_log_z(p: DataFrame, schedule: DataFrame) -> DataFrame:
     to block the sum of what the earlier blocks gained."""
     s = schedule.select("t_index", (F.lead("beta").over(Window.orderBy("t_index")) - F.col("beta")).alias("db"))
     ends = p.groupBy("block").agg(F.max("t_index").alias("t_index"))
-    last = p.drop("db").join(F.broadcast(ends), ["block", "t_index"]).join(F.broadcast(s), "t_index").where("db is not null")
+    last = p.drop("db").join(few(ends), ["block", "t_index"]).join(few(s), "t_index").where("db is not null")
     gain = _log_mean_exp(last.withColumn("v", F.col("lw") - F.col("db") * F.col("fx")), "block", "v", "gain")
     # tables of one row a temperature or block
     at = _log_mean_exp(p, "t_index", "lw", "inner").join(p.groupBy("t_index").agg(F.first("block").alias("block")), "t_index")
@@ -235,24 +311,69 @@ def population_log_z(p: DataFrame, schedule: DataFrame) -> DataFrame:
 
 
 def population_stats(p: DataFrame, schedule: DataFrame) -> DataFrame:
-    """mean, err, n, logz and pr of each temperature of a population with lw and block."""
-    n = p.groupBy("t_index").agg(F.count(F.lit(1)).alias("n"))
-    return weighted_jackknife(p).join(n, "t_index").join(population_log_z(p, schedule), "t_index").join(participation_ratio(p), "t_index").select("t_index", "mean", "err", "n", "logz", "pr")
+    """mean, err, n, logz and pr of each temperature of a population with lw and block, which is cut once for all of them."""
+    p = cut(p.select("t_index", "block", "fx", "lw"), "population")
+    n = _shifted(p).groupBy("t_index").agg(F.count(F.lit(1)).alias("n"), (F.sum("w") * F.sum("w") / F.sum(F.col("w") * F.col("w"))).alias("pr"))
+    return weighted_jackknife(p, is_cut=True).join(n, "t_index").join(population_log_z(p, schedule), "t_index").select("t_index", "mean", "err", "n", "logz", "pr")
 
 
 def optimal_noise(evidence: DataFrame) -> DataFrame:
-    """beta of the largest finite evidence (beta, evidence), and sigma = 1 / sqrt(2 beta)."""
-    e = evidence.where(~F.isnan("evidence") & (F.abs("evidence") < float("inf")))
-    return e.agg(F.max_by("beta", F.struct("evidence", "beta")).alias("beta")).select("beta", (1 / F.sqrt(2 * F.col("beta"))).alias("sigma"))
+    """beta of the largest finite evidence (beta, evidence), and sigma = 1 / sqrt(2 beta), infinite at beta 0."""
+    e = evidence.where(finite(F.col("evidence")))
+    sigma = F.when(F.col("beta") == 0, F.lit(float("inf"))).otherwise(F.try_divide(F.lit(1.0), F.sqrt(2 * F.col("beta"))))
+    return e.agg(F.max_by("beta", F.struct("evidence", "beta")).alias("beta")).select("beta", sigma.alias("sigma"))
+
+
+def model_evidence(tstats: DataFrame, volume: float, n_mu: list[float] | None = None, w_mu: list[float] | None = None) -> DataFrame:
+    """Adds evidence: logz - log V + (n/2) log beta + sum of (n_mu/2) log w_mu - (n/2) log pi, of data sets with n_mu points
+    and weights w_mu, which are divided by their sum; n is the sum of n_mu. Without them, n is the table's own column.
+    Null at beta 0, where the logarithm has no value."""
+    w = [x / sum(w_mu) for x in w_mu] if w_mu else []
+    half = F.lit(sum(n_mu) / 2.0) if n_mu else F.col("n") / 2.0
+    data = sum(n / 2.0 * math.log(x) for n, x in zip(n_mu or [], w, strict=True)) if w else 0.0
+    return tstats.withColumn("evidence", F.col("logz") - F.log(F.lit(float(volume))) + half * F.log("beta") + F.lit(data) - half * F.log(F.pi()))
+
+
+def evidence_over_runs(values: DataFrame, value: str = "evidence") -> DataFrame:
+    """(t_index, mean, std) over runs: one row a run and temperature comes in."""
+    return values.groupBy("t_index").agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+
+
+def fit_quality(fits: DataFrame, by: str = "dataset") -> DataFrame:
+    """(by, ss_res, ss_tot, r2) of predictions p of y; r2 is 0 where all y are equal."""
+    m = fits.groupBy(by).agg(F.avg("y").alias("a"))
+    g = fits.join(few(m), by).groupBy(by).agg(F.sum(F.pow(F.col("y") - F.col("p"), 2)).alias("ss_res"), F.sum(F.pow(F.col("y") - F.col("a"), 2)).alias("ss_tot"))
+    return g.withColumn("r2", F.when(F.col("ss_tot") == 0, 0.0).otherwise(1 - F.try_divide("ss_res", "ss_tot")))
+
+
+def prediction_error(fits: DataFrame, by: str = "dataset") -> DataFrame:
+    """(by, mse, nmse): mean squared error of p against y, and the same over the variance of y."""
+    mse = F.avg(F.pow(F.col("y") - F.col("p"), 2))
+    return fits.groupBy(by).agg(mse.alias("mse"), (mse / (F.var_pop("y") + 1e-12)).alias("nmse"))
+
+
+def grid_minimum(colormap: DataFrame) -> DataFrame:
+    """The (id, fx) of the smallest fx; NaN is left out, ties go to the smallest id."""
+    return best_row(colormap, ["id"], ["id", "fx"])
 
 
-def distinct_temperatures(chain: DataFrame) -> DataFrame:
+def distinct_temperatures(chain: DataFrame, parts: int = 64) -> DataFrame:
     """(value, n): distinct temperatures, those close to the one before (1e-8 + 1e-5 of it) taken together under the
-    smallest. Only the distinct values, one row each, are ordered."""
-    d = chain.groupBy("temp").agg(F.count(F.lit(1)).alias("n"))
-    old = F.lag("temp").over(Window.orderBy("temp"))
-    d = d.withColumn("new", F.when(F.col("temp") - old <= 1e-8 + 1e-5 * F.abs(old), 0).otherwise(1))
-    return d.withColumn("g", F.sum("new").over(Window.orderBy("temp"))).groupBy("g").agg(F.min("temp").alias("value"), F.sum("n").alias("n")).drop("g")
+    smallest. The distinct values are numbered range by range, the ranges' ends handed over, so that no task has them all."""
+    d = cut(chain.groupBy("temp").agg(F.count(F.lit(1)).alias("n")), "temperatures")
+    bounds = sorted(set(d.approxQuantile("temp", [k / parts for k in range(1, parts)] or [0.0], 0.01)))
+    chunk = sum(((F.col("temp") >= F.lit(b)).cast("int") for b in bounds), F.lit(0))
+    w = Window.partitionBy("range").orderBy("temp")
+    d = d.withColumn("range", chunk)
+    ends = d.groupBy("range").agg(F.max("temp").alias("end"))
+    ends = ends.select("range", F.lag("end").over(Window.orderBy("range")).alias("before"))  # one row a range
+    d = d.join(few(ends), "range").withColumn("old", F.coalesce(F.lag("temp").over(w), "before"))
+    d = d.withColumn("new", F.when(F.col("temp") - F.col("old") <= 1e-8 + 1e-5 * F.abs("old"), 0).otherwise(1)).drop("before")
+    d = cut(d, "numbered")
+    base = d.groupBy("range").agg(F.sum("new").alias("s"))
+    base = base.select("range", F.coalesce(F.sum("s").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    g = F.col("base") + F.sum("new").over(w)
+    return d.join(few(base), "range").withColumn("g", g).groupBy("g").agg(F.min("temp").alias("value"), F.sum("n").alias("n")).drop("g")
 
 
 def union_ranks(tables: list[DataFrame], order: list[str], chunk: int = CHUNK) -> DataFrame:

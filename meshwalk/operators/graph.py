@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwalk.functions.shared import cut
+from meshwalk.functions.shared import Scratch, cut
+from meshwalk.operators.chain import few
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(id, component)`` for every id of ``nodes`` and ``edges``; component is the smallest id reachable.
 
     Large-star / small-star rounds over the edges alone: each round moves every node to the smallest id it sees, stars
-    merge in a logarithmic number of rounds, and each round's edges are cut to a table in the shared folder. A hub of
-    any degree is only ever grouped by a minimum, never gathered.
+    merge in a logarithmic number of rounds, and each round's edges are cut to a table in the shared folder, which the
+    next round's replaces. A hub of any degree is only ever grouped by a minimum, never gathered.
     """
+    tables = Scratch(edges.sparkSession)
     e = edges.select(F.col(edges.columns[0]).alias("src"), F.col(edges.columns[1]).alias("dst")).where("src != dst")
     e = e.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
-    e = cut(e, "edges")
+    e = tables.cut(e, "edges")
     before = None
     for _ in range(max_rounds):
         both = e.unionAll(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -26,7 +30,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
         down = large.where("src > dst")
         low = down.groupBy("src").agg(F.min("dst").alias("low"))
         small = down.join(low, "src").where("dst != low").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
-        e = cut(small.unionAll(low.select("src", F.col("low").alias("dst"))).where("src != dst").distinct(), "edges")
+        e = tables.cut(small.unionAll(low.select("src", F.col("low").alias("dst"))).where("src != dst").distinct(), "edges")
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -37,20 +41,51 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
     return ids.join(e.select(F.col("src").alias("id"), F.col("dst").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def radius_neighbors(points: DataFrame, radius: float, dim: int) -> DataFrame:
-    """Directed pairs (src, dst), src != dst, at most ``radius`` apart; points are (id, x).
+#: Points of one cell that meet in one task; a fuller cell is split.
+CELL_POINTS = 2_000
+
+
+def radius_neighbors(points: DataFrame, radius: float, dim: int, unit: list[float] | None = None, self_loop: bool = False, cell_points: int = CELL_POINTS) -> DataFrame:
+    """Directed pairs (src, dst) at most ``radius`` apart, coordinates first divided by ``unit``; points are (id, x). A point
+    is its own neighbour only with ``self_loop``.
 
-    Points fall into cells a little wider than the radius; one side goes to its 3^d neighbouring cells (of three axes at
-    most), the sides meet on the cell, and the distance decides.
+    Points fall into cells a little wider than the radius (on three axes at most). Each pair is made once: one side goes to
+    its own cell and the 13 (in one and two dimensions 1 and 4) after it, the sides meet on the cell, the distance decides,
+    and the pairs are mirrored. In cells with more than ``cell_points`` points the other side is dealt to several parts, and
+    the first side goes to all of them.
     """
     axes, width = min(dim, 3), 1.001 * radius
-    p = points.select("id", "x", *[F.floor(F.col("x")[k] / width).alias(f"c{k}") for k in range(axes)])
-    near = p
-    for k in range(axes):
-        near = near.withColumn(f"c{k}", F.explode(F.array(*[F.col(f"c{k}") + d for d in (-1, 0, 1)])))
-    a, b = near.select(F.col("id").alias("src"), F.col("x").alias("xa"), *[f"c{k}" for k in range(axes)]), p.select(F.col("id").alias("dst"), F.col("x").alias("xb"), *[f"c{k}" for k in range(axes)])
+    x = F.array(*[F.col("x")[k] / F.lit(float(unit[k])) for k in range(dim)]) if unit else F.col("x")
+    c = [f"c{k}" for k in range(axes)]
+    p = points.select("id", x.alias("x")).select("id", "x", *[F.floor(F.col("x")[k] / width).alias(f"c{k}") for k in range(axes)])
+    steps = [s for s in itertools.product((-1, 0, 1), repeat=axes) if s >= (0,) * axes]
+    cells = F.array(*[F.struct(*[(F.col(n) + d).alias(n) for n, d in zip(c, s, strict=True)], F.lit(not any(s)).alias("own")) for s in steps])
+    full = p.groupBy(*c).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell_points).select(*c, F.ceil(F.col("n") / cell_points).cast("int").alias("parts"))
+    full = few(cut(full, "full"))
+    a = p.select(F.col("id").alias("src"), F.col("x").alias("xa"), F.inline(cells)).join(full, c, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    b = p.select(F.col("id").alias("dst"), F.col("x").alias("xb"), *c).join(full, c, "left").withColumn("part", F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     d2 = sum(((F.col("xa")[k] - F.col("xb")[k]) * (F.col("xa")[k] - F.col("xb")[k]) for k in range(dim)), F.lit(0.0))
-    return a.join(b, [f"c{k}" for k in range(axes)]).where((F.col("src") != F.col("dst")) & (F.sqrt(d2) <= radius)).select("src", "dst")
+    once = a.join(b, [*c, "part"]).where((~F.col("own") | (F.col("src") < F.col("dst"))) & (F.sqrt(d2) <= radius))
+    both = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    pairs = once.select(F.inline(both))
+    return pairs.unionByName(p.select(F.col("id").alias("src"), F.col("id").alias("dst"))) if self_loop else pairs
+
+
+def validate_mesh_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(connected, bidirectional, nodes, components, one_way): whether random walks over the mesh reach every node and may
+    go back. :func:`require_mesh_graph` raises instead."""
+    one_way = edges.select("src", "dst").distinct()
+    one_way = missing_reverse(one_way).agg(F.count(F.lit(1)).alias("one_way"))
+    comp = connected_components(nodes.select("id"), edges).agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("component").alias("components"))
+    return comp.join(F.broadcast(one_way)).select((F.col("components") <= 1).alias("connected"), (F.col("one_way") == 0).alias("bidirectional"), "nodes", "components", "one_way")  # one row each
+
+
+def require_mesh_graph(nodes: DataFrame, edges: DataFrame) -> None:
+    r = validate_mesh_graph(nodes, edges).first()
+    if not r["connected"]:
+        raise ValueError(f"the graph of neighbours has {r['components']} parts")
+    if not r["bidirectional"]:
+        raise ValueError(f"{r['one_way']} edges lack their reverse")
 
 
 def missing_reverse(edges: DataFrame) -> DataFrame:

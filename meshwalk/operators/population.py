@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshwalk.functions.rng import normal, uniform
+from meshwalk.functions.shared import cut
 from meshwalk.operators.candidates import in_box
 from meshwalk.operators.chain import metropolis_accept
 
@@ -44,20 +45,55 @@ def prefix_sums(population: DataFrame, block: int = BLOCK) -> tuple[DataFrame, D
     return p.withColumn("below", F.coalesce(F.sum("w").over(before), F.lit(0.0))), mass.withColumn("base", base)
 
 
-def resample_fixed(population: DataFrame, draws: DataFrame, block: int = BLOCK) -> DataFrame:
+#: Cells that one row is dealt to at a time.
+SPAN = 4096
+
+
+def resample_fixed(population: DataFrame, draws: DataFrame, block: int = BLOCK, span: int = SPAN) -> DataFrame:
     """(draw, ancestor): each of ``draws`` (draw, u in [0, 1)) picks a walker with probability proportional to w, with
-    replacement. Draws and prefix sums are merged by order inside each block, so the work is linear in both."""
+    replacement.
+
+    The axis of cumulated weights is cut into as many cells as there are walkers; a walker stands in all cells that its
+    part of the axis touches (twice the walkers at most in all, however the weight is spread), a draw in one. Both meet by
+    cell, so that a heavy walker's draws spread over its cells. A walker with more than ``span`` cells is dealt to them in
+    two steps, so that no row grows with the population.
+    """
+    population = cut(population.where("w > 0").select("walker", "w"), "weights")
     p, blocks = prefix_sums(population, block)
-    total = blocks.agg(F.sum("mass").alias("total"))
-    # one entry for each block of walkers, a ten-thousandth of the population: a larger block keeps it small
-    at = draws.join(F.broadcast(total)).select("draw", (F.col("u") * F.col("total")).alias("at"))
-    groups = blocks.agg(F.sort_array(F.collect_list(F.struct("base", "block"))).alias("bs"))
-    found = F.element_at(F.filter("bs", lambda b: b["base"] <= F.col("at")), -1)
-    at = at.join(F.broadcast(groups)).withColumn("b", found).select("draw", F.col("b.block").alias("block"), (F.col("at") - F.col("b.base")).alias("pos"))
-    rows = p.where("w > 0").select("block", F.col("below").alias("pos"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("draw"), "walker")
-    rows = rows.unionByName(at.select("block", "pos", F.lit(1).alias("kind"), "draw", F.lit(None).cast("long").alias("walker")))
-    w = Window.partitionBy("block").orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("ancestor", F.last("walker", ignorenulls=True).over(w)).where("kind = 1").select("draw", "ancestor")
+    total, n = blocks.agg(F.sum("mass")).first()[0], population.count()
+    if not total:
+        return draws.select("draw", F.lit(None).cast("long").alias("ancestor")).where(F.lit(False))
+    cell = total / n
+    w = p.join(blocks.select("block", "base"), "block").select("walker", (F.col("base") + F.col("below")).alias("lo"), "w")
+    # a little wider than the weight says: the sums of neighbours are rounded apart
+    a, b = F.floor(F.col("lo") / cell * (1 - 1e-9)), F.floor((F.col("lo") + F.col("w")) / cell * (1 + 1e-9))
+    w = w.withColumns({"a": a, "b": b})
+    wide = F.col("b") - F.col("a") >= span
+    far = w.where(wide).withColumn("s", F.explode(F.sequence(F.floor(F.col("a") / span), F.floor(F.col("b") / span)))).repartition("walker", "s")
+    far = far.withColumns({"a": F.greatest("a", F.col("s") * span), "b": F.least("b", F.col("s") * span + span - 1)}).drop("s")
+    w = w.where(~wide).unionByName(far).select("walker", "lo", F.explode(F.sequence("a", "b")).alias("cell"))
+    at = draws.select("draw", (F.col("u") * F.lit(total)).alias("at")).withColumn("cell", F.floor(F.col("at") / cell))
+    # the last walker that begins at or before the draw's place
+    return at.join(w, "cell").where("lo <= at").groupBy("draw").agg(F.max_by("walker", F.struct("lo", "walker")).alias("ancestor"))
+
+
+def fixed_population(population: DataFrame, seed: int, step: int, block: int = BLOCK) -> DataFrame:
+    """A population (walker, x, fx, lw, ancestor) drawn anew to its own size: walkers keep their numbers and take state and
+    ancestor of the walker they draw; weights start again."""
+    p = population.withColumn("w", _weights(population))
+    d = p.select(F.col("walker").alias("draw"), uniform(seed, F.col("walker"), step, "resample").alias("u"))
+    return _take(resample_fixed(p.select("walker", "w"), d, block), p)
+
+
+def _weights(population: DataFrame) -> Column:
+    top = population.agg(F.max("lw")).first()[0]
+    return F.exp(F.col("lw") - F.lit(float(top if top is not None else 0.0)))
+
+
+def _take(chosen: DataFrame, p: DataFrame) -> DataFrame:
+    own = p.select(F.col("walker").alias("parent"), "x", "fx", "ancestor")
+    j = chosen.select(F.col("draw").alias("walker"), F.col("ancestor").alias("parent")).join(own, "parent")
+    return j.select("walker", "x", "fx", F.lit(0.0).alias("lw"), "ancestor", "parent")
 
 
 def poisson(lam: Column, u: Column, plain: float = 500.0) -> Column:
@@ -90,3 +126,17 @@ def resample_varied(population: DataFrame, n0: int, seed: int) -> DataFrame:
     table with 0. ``n0`` is the size the population keeps about, whatever it has now."""
     total = population.agg(F.sum("w").alias("total"))
     return population.join(F.broadcast(total)).withColumn("copies", poisson(n0 * F.col("w") / F.col("total"), uniform(seed, F.col("walker")))).drop("total")
+
+
+def varied_population(population: DataFrame, n0: int, seed: int, step: int, block: int = BLOCK, span: int = SPAN) -> DataFrame:
+    """A population (walker, x, fx, lw, ancestor) in which each walker stands as often as :func:`resample_varied` says, under
+    new dense numbers in the order of the old ones; parent is the old number, ancestor is kept, weights start again. A
+    walker with very many copies is dealt out in two steps."""
+    p = population.withColumn("w", _weights(population))
+    total = p.agg(F.sum("w")).first()[0] or 1.0
+    c = p.withColumn("copies", poisson(n0 * F.col("w") / F.lit(total), uniform(seed, F.col("walker"), step, "resample"))).where("copies > 0")
+    c, blocks = prefix_sums(c.drop("w").withColumn("w", F.col("copies").cast("double")), block)
+    c = c.join(blocks.select("block", "base"), "block").withColumn("first", (F.col("base") + F.col("below")).cast("long"))
+    c = c.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / span)))).repartition("walker", "s")
+    k = F.explode(F.sequence(F.col("s") * span, F.least("copies", (F.col("s") + 1) * span) - 1))
+    return c.withColumn("k", k).select((F.col("first") + F.col("k")).alias("new"), "x", "fx", F.lit(0.0).alias("lw"), "ancestor", F.col("walker").alias("parent")).withColumnRenamed("new", "walker")

@@ -6,19 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwalk.functions.shared import shared_dir
+from meshwalk.operators.chain import finite
 
 
-def stream_fx_moments(spark: SparkSession, stream: DataFrame, by: str = "t_index") -> DataFrame:
-    """n, mean, standard error and smallest fx of each group over all that ``stream`` holds now. State and results live in
-    the shared folder, so a lost executor only costs its tasks; state is one row a group."""
-    out = shared_dir(spark)
+def stream_fx_moments(spark: SparkSession, stream: DataFrame, by: str = "t_index", folder: str | None = None) -> DataFrame:
+    """n, mean, standard error and smallest fx of each group over all finite values that ``stream`` has held so far.
+
+    State and results live in ``folder`` (a new one in the shared folder by default): a later call with the same folder
+    reads only what the source has gained since, and adds it. State is one row a group: count, sums and the smallest
+    value. A group of one row has a null error. A batch that is repeated after a failure replaces its own result.
+    """
+    out = folder or shared_dir(spark)
     f = F.col("fx")
-    stats = stream.groupBy(by).agg(F.count("fx").alias("n"), F.avg("fx").alias("mean"), F.sqrt(F.var_pop("fx") / (F.count("fx") - 1)).alias("stderr"), F.min(f).alias("best"))
+    stats = stream.where(finite(f)).groupBy(by).agg(F.count(f).alias("n"), F.avg(f).alias("mean"), F.sqrt(F.try_divide(F.var_pop(f), F.count(f) - 1)).alias("stderr"), F.min(f).alias("best"))
 
     def keep(batch: DataFrame, k: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={k}")
+        batch.write.mode("overwrite").parquet(f"{out}/result/batch={k}")
 
-    stats.writeStream.outputMode("complete").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    every = spark.read.parquet(out)
+    stats.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    every = spark.read.parquet(f"{out}/result")
     last = every.agg(F.max("batch").alias("batch"))
-    return every.join(F.broadcast(last), "batch").drop("batch")
+    return every.join(F.broadcast(last), "batch").drop("batch")  # one row
