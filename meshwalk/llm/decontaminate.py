@@ -1,10 +1,11 @@
-"""Benchmark decontamination: MinHash containment search with sketches sized by item, then exact shingle containment."""
+"""Benchmark decontamination: MinHash containment search parted by the items' sizes, then exact shingle containment."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshwalk.functions.shared import cut
 from meshwalk.llm.common import BROADCAST_ROWS, grams, keep_or_drop, lower_ascii, maybe_broadcast, table, words
 
 SHINGLE = 5
@@ -19,6 +20,13 @@ def _with_shingles(df: DataFrame, of) -> DataFrame:
     return d.withColumn("s", F.array_distinct(F.coalesce(grams(w, SHINGLE, of), few))).drop("w")
 
 
+def _hashes(docs: DataFrame) -> DataFrame:
+    """(doc_id, token): the hashes of all shingles of each text, repeated ones too."""
+    d = docs.withColumn("w", words(lower_ascii(F.col("text"))))
+    few = F.when(F.size("w") > 0, F.array(_hash([F.array_join("w", " ")])))
+    return d.select("doc_id", F.explode(F.coalesce(grams(F.col("w"), SHINGLE, _hash), few)).alias("token"))
+
+
 def _hash(ws: list[Column]) -> Column:
     return F.xxhash64(*ws)
 
@@ -31,14 +39,13 @@ def item_sketches(items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``(item_id, text)`` to ``(size_class, item_id, token)``: the bottom-k MinHash values of each item.
 
     An item of m shingles that a document holds to ``percent`` lacks at most m - ceil(m * percent / 100) of them, so among
-    its k = that number + 1 smallest hashes one is always shared: the search misses nothing. size_class
-    (powers of two) only bounds the rows from which :func:`contained_items` takes one threshold for all items, the largest
-    value of any sketch; the search itself is not partitioned by size.
+    its k = that number + 1 smallest hashes one is always shared: the search misses nothing. size_class (powers of eight)
+    parts the search: the larger the items of a class, the more nearly its sketches end at the same hash value, its top.
     """
     d = _with_shingles(items, _hash).where(F.col("s").isNotNull())
     m = F.size("s")
     k = (m - F.ceil(m * percent / F.lit(100)) + 1).cast("int")
-    return d.select(F.floor(F.log2(m)).cast("int").alias("size_class"), "item_id", F.explode(F.slice(F.sort_array("s"), F.lit(1), k)).alias("token"))
+    return d.select(F.floor(F.log2(m) / 3).cast("int").alias("size_class"), "item_id", F.explode(F.slice(F.sort_array("s"), F.lit(1), k)).alias("token"))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -48,15 +55,24 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT, b
     null ids are kept as ids; repeated rows (and rows that share an id) give a pair once, with the most shared; empty
     tables give an empty result; other columns are ignored. Item sketches, candidates and item shingles are broadcast
     only if they have at most ``broadcast_rows`` rows, else joined by shuffle.
+
+    The search is parted by the items' sizes: a document's hash goes to the classes of sizes whose top it does not exceed,
+    and meets there the sketches of that class alone. One small item, whose only hash may be any, opens its own class to
+    all hashes and no other. Candidates are cut to a table, the one pass over all texts; the exact step reads those alone.
     """
     docs, items = docs.select("doc_id", "text"), items.select("item_id", "text").distinct()
     sketch = item_sketches(items, percent)
-    per_class = sketch.groupBy("size_class").agg(F.max("token").alias("top"), F.count(F.lit(1)).alias("n")).collect()  # 64 rows at most
-    top = max((r["top"] for r in per_class), default=None)
-    if top is None:
-        return docs.select("doc_id").crossJoin(items.select("item_id")).where(F.lit(False)).select("doc_id", "item_id", F.lit(0).cast("long").alias("n_item"), F.lit(0).cast("long").alias("n_shared"))
-    token = _with_shingles(docs, _hash).select("doc_id", F.explode(F.filter("s", lambda x: x <= F.lit(top))).alias("token"))
-    found = token.join(maybe_broadcast(sketch, sum(r["n"] for r in per_class), broadcast_rows), "token").select("doc_id", "item_id").distinct()
+    per_class = sketch.groupBy("size_class").agg(F.max("token").alias("top"), F.count(F.lit(1)).alias("n")).collect()  # one row a class, 11 at most
+    per_class.sort(key=lambda r: (-r["top"], r["size_class"]))
+    if not per_class:
+        kinds = dict(docs.dtypes) | dict(items.dtypes)
+        return docs.sparkSession.createDataFrame([], f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, n_item long, n_shared long")
+    # classes in the order of their tops: those open to a hash are the first ones
+    opened = sum(((F.col("token") <= F.lit(r["top"])).cast("int") for r in per_class), F.lit(0))
+    classes = F.array(*[F.lit(r["size_class"]) for r in per_class])
+    token = _hashes(docs).where(F.col("token") <= F.lit(per_class[0]["top"])).select("doc_id", "token", F.explode(F.slice(classes, F.lit(1), opened)).alias("size_class"))
+    found = token.join(maybe_broadcast(sketch, sum(r["n"] for r in per_class), broadcast_rows), ["size_class", "token"]).select("doc_id", "item_id").distinct()
+    found = cut(found, "candidates")
     # exact step: shingles as words, of candidate documents alone
     per_doc = found.groupBy(F.col("doc_id").alias("d")).agg(F.collect_set("item_id").alias("ids"))  # no more than there are items
     per_doc = maybe_broadcast(per_doc, limit=broadcast_rows // 8)
