@@ -7,11 +7,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshwalk.llm.common import table, words
+from meshwalk.functions.shared import cut
+from meshwalk.llm.common import table
 
 MOST = 3  # copies of a document, and a target's multiple of its source
 BLOCK = 256  # units folded one after another; residuals of blocks go up the tree
 EPS = 1e-9
+SPAN = 4096  # numbers that one row of equal ones is given at a time
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -19,7 +22,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     repeating; a target stops at ``MOST`` times its source and the excess is shared again by weight.
 
     That fixed point is a water level: with sources in the order of cap / weight, those before the first k whose cap
-    reaches the level of the rest are full. One row a source; an empty table gives an empty one.
+    reaches the level of the rest are full. One row a source; an empty table gives an empty one. Windows over all sources
+    run in one task, one small row each: sources are to be names that people keep, at most some millions.
     """
     by_name, all_rows = Window.orderBy(F.col("source").asc_nulls_last()), Window.partitionBy()
     s = sizes.withColumn("weight", ((F.row_number().over(by_name) - 1) % 3 + 1).cast("double")).withColumn("cap", F.lit(float(MOST)) * F.col("source_size"))
@@ -98,10 +102,16 @@ def mix(docs: DataFrame, seed: int = 7, block: int = BLOCK) -> DataFrame:
     repeated rows are dealt with each by itself; null doc_ids are kept; an empty table gives an empty result; other
     columns are ignored. The same input gives the same result, however it is partitioned.
     """
-    d = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
+    # the one pass over the texts
+    d = docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
     # copies of a row are told apart by their number; equal rows are interchangeable
-    d = d.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("times"))
-    d = d.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("nth"))
+    d = cut(d.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("times")), "sizes")
+    one, several = d.where("times = 1").select("doc_id", "source", "size", F.col("times").alias("nth")), d.where("times > 1")
+    # a row repeated very often is numbered in stretches, by several tasks
+    several = several.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / SPAN))))
+    several = several.repartition("doc_id", "source", "size", "s") if not several.isEmpty() else several
+    several = several.select("doc_id", "source", "size", F.explode(F.sequence(F.col("s") * SPAN + 1, F.least("times", (F.col("s") + 1) * SPAN))).alias("nth"))
+    d = one.unionByName(several)
     t = source_targets(d.groupBy("source").agg(F.sum("size").alias("source_size")))
     t = t.select(F.col("source").alias("group"), "source_size", "target")
     d = d.join(F.broadcast(t) if t.count() <= 100_000 else t, F.col("source").eqNullSafe(F.col("group")))
