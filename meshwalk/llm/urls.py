@@ -97,14 +97,22 @@ def host_tokens(hosts: DataFrame, counts: DataFrame) -> DataFrame:
     return j.groupBy("host").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "words"))), inner)).alias("host_tokens"))
 
 
-def judge_urls(pages: DataFrame, rules=RULES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def rule_tokens(rules=RULES) -> list[str]:
+    """Path tokens that the rules themselves are made of: they would only repeat what the rules say."""
+    return sorted({t for _, _, p in rules for t in path_tokens(p)})
+
+
+def judge_urls(pages: DataFrame, rules=RULES, broadcast_rows: int = BROADCAST_ROWS, rule_parts: bool = True) -> DataFrame:
     """page_id, host, path, rule, verdict, score for every page (url, html).
 
     The longest fitting rule decides. The rest is judged by multinomial naive Bayes over segmented host and path tokens
     (Laplace smoothing), learnt from the pages that rules decide; score is its log odds of block, and ties, pages without
     known tokens and tables without such pages or with one verdict alone are allowed by even odds (score 0).
     Every word and every token counts: their counts are tables, joined (tokens of hosts and weights are broadcast where
-    they have at most ``broadcast_rows`` counted rows), and the driver sees sums alone.
+    they have at most ``broadcast_rows`` counted rows), and the driver sees sums alone. With ``rule_parts=False`` the path
+    tokens that the rules are made of are no features, so that hosts and the other parts of paths decide.
+    Words of more than LONGEST letters are not words to split by, in names of any length; very long urls and pages are
+    one row's work.
 
     A null url, or one without "://", has empty host and path and no tokens. Rows are judged one by one: null ids and
     repeated rows stay; an empty table gives an empty result; other columns are ignored.
@@ -116,9 +124,11 @@ def judge_urls(pages: DataFrame, rules=RULES, broadcast_rows: int = BROADCAST_RO
     counts = cut(word_counts(pages), "words")
     hosts = cut(host_tokens(d.select("host").distinct(), counts), "hosts")
 
+    left_out = set() if rule_parts else set(rule_tokens(rules))
+
     def paths(batches):
         for b in batches:
-            tokens = [path_tokens(p) for p in b.column(2).to_pylist()]
+            tokens = [[t for t in path_tokens(p) if t not in left_out] for p in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tokens, pa.list_(pa.string()))], ["page_id", "host", "path", "rule", "ruled", "path_tokens"])
 
     d = d.mapInArrow(paths, "page_id long, host string, path string, rule string, ruled string, path_tokens array<string>")
@@ -145,4 +155,4 @@ def judge_urls(pages: DataFrame, rules=RULES, broadcast_rows: int = BROADCAST_RO
 
 
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:
-    return judge_urls(table(spark, sf_dir, "pages"))
+    return judge_urls(table(spark, sf_dir, "pages"), rule_parts=False)
