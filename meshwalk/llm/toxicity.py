@@ -291,28 +291,33 @@ def score_texts(docs: DataFrame, model: dict, codes: np.ndarray = _TABLE) -> Dat
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(text, toxic): up to ``rows`` labelled texts of each label outside the held-out fold, chosen by a hash of the id."""
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> DataFrame:
+    """(text, toxic): the bounded sample to learn from. Up to ``rows`` labelled ids of each label outside the held-out fold,
+    chosen by a hash of the id; of them those with a text of at most ``chars`` characters, one text an id, so that at most
+    2 * rows * chars characters come together on the driver."""
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
     lab = labels.select("doc_id", "toxic").where("doc_id is not null and toxic is not null").where(fold != 2).distinct()
     pick = lambda y: lab.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     chosen = F.broadcast(pick(1).unionAll(pick(0)))  # 2 * rows ids at most
-    return docs.where(F.length("text") <= TRAIN_CHARS).join(chosen, "doc_id").select("text", "toxic")
+    # rows that share an id stand for one text, the first of theirs
+    return docs.where(F.length("text") <= chars).join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> DataFrame:
     """doc_id, held_out, score, predicted for every text.
 
     Words are compared by triples of letters in order, close but not adjacent, pairs of neighbours by both their words;
     landmarks are words and pairs of the training texts; a linear SVM in the Nystroem map of the sharpened kernel, trained
     on the labels of texts by their highest windows (``fit``), becomes one weight a landmark.
     A text's score comes from its highest window and the number of windows over the margin. Learnt from at most ``rows``
-    labelled texts of each label whose crc32(doc_id) mod 4 is not 2; nothing but the text enters a score.
+    labelled texts of each label, of at most ``chars`` characters, whose crc32(doc_id) mod 4 is not 2; nothing but the text
+    enters a score. Texts of any length are scored whole.
 
-    Null and empty texts get the lowest score. Null ids are not held out; repeated rows are scored each; without usable
+    Null and empty texts get the lowest score. Null ids are not held out; repeated rows are scored each and learnt from
+    once; of equal training texts with different labels the larger label counts; without usable
     labels all scores are low; an empty table gives an empty result; other columns are ignored.
     """
-    train = training_rows(docs, labels, rows).toPandas()
+    train = training_rows(docs, labels, rows, chars).toPandas()
     train = train.sort_values(["toxic", "text"])
     model = fit(train["text"].tolist(), train["toxic"].tolist())
     s = score_texts(docs, model)
