@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwalk.functions.shared import shared_dir
+from meshwalk.functions.shared import cut, shared_dir
 from meshwalk.llm.common import maybe_broadcast, table
 from meshwalk.llm.hashing import slices
 
@@ -118,7 +118,7 @@ def write_monoliths(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTE
     p = p.withColumn("sha", F.sha1("html"))
     light = p.select("page_id", "sha", F.octet_length("html").alias("size")).where(F.col("size") >= least_bytes)
     groups = light.groupBy("sha", "size").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1 and last is not null")
-    again = light.join(groups.select("sha", "last"), "sha").where("page_id is null or page_id < last").select(F.col("page_id").alias("id"), F.col("sha").alias("s"), "last").distinct()
+    again = light.join(maybe_broadcast(cut(groups.select("sha", "last"), "groups")), "sha").where("page_id is null or page_id < last").select(F.col("page_id").alias("id"), F.col("sha").alias("s"), "last").distinct()
     p = p.join(maybe_broadcast(again), F.col("page_id").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("s")), "left").select("page_id", "url", "html", "sha", "last")
 
     def run(batches):
@@ -204,14 +204,16 @@ def archive(pages: DataFrame, folder: str | None = None, least_bytes: int = LEAS
 
     A null html is an empty payload; a null url has no target line. A null page_id is an empty record id: such a row
     revisits an equal payload that has an id, else is a response. Rows repeated with the largest id of their payload are
-    all responses. No rows give no files and an empty result. Further columns are ignored, whatever their names.
+    all responses (ties are broken by nothing else). A page of any length is one record, held by one task. No rows give no
+    files and an empty result. Further columns are ignored, whatever their names.
     """
     spark, folder = pages.sparkSession, folder or f"{shared_dir(pages.sparkSession)}/warc"
-    files = [r["path"] for r in write_monoliths(pages, folder, least_bytes).select("path").toLocalIterator()]
-    if not files:
+    # all archives at once, one a task; their paths stand in a table, not on the driver
+    files = cut(write_monoliths(pages, folder, least_bytes).select("path"), "archives")
+    n = files.count()
+    if not n:
         return spark.createDataFrame([], "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    paths = spark.range(0, len(files), 1, len(files)).select(F.element_at(F.array(*map(F.lit, files)), (F.col("id") + 1).cast("int")).alias("path")) if len(files) <= 200 else spark.createDataFrame([(f,) for f in files], "path string").repartition(len(files))
-    normalise(paths, folder).write.format("noop").mode("overwrite").save()
+    cut(normalise(files.repartition(n), folder), "normalised")
     return read_members(spark, folder)
 
 
