@@ -40,7 +40,7 @@ def split_segments(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str],
     offsets -= offsets[0]
     coded = lists.flatten().dictionary_encode()
     words = coded.dictionary
-    index, unique = coded.indices.to_numpy(), words.to_numpy(zero_copy_only=False).tolist()
+    index, unique = coded.indices.to_numpy().copy(), words.to_numpy(zero_copy_only=False).tolist()
     empty = pc.equal(pc.binary_length(words), 0)
     edge = lambda trim: pc.or_(empty, pc.not_equal(trim(words), words)).to_numpy(zero_copy_only=False)
     left, right = edge(pc.utf8_ltrim_whitespace)[index], edge(pc.utf8_rtrim_whitespace)[index]
@@ -129,17 +129,42 @@ class PrefixCounter:
         return sum(self.piece(p)[-1] for p in self.pattern.findall(text))
 
     def by_segment(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens of every text, and of its segments (one entry, the first, for a text that can't be split at its
-        spaces; the rest of its entries are 0) with the offsets of the texts in them."""
+        """Tokens of every text, and of its segments (what each adds to the prefix that ends with it) with the offsets of the
+        texts in them."""
         offsets, index, unique, odd = split_segments(texts)
         got = np.array(self._resolve(unique), np.int64)
         counts, heads = got[index], offsets[:-1]
         counts[heads] = [self.total(unique[i]) if unique[i] else 0 for i in index[heads].tolist()]
         for k in odd.tolist():
-            counts[offsets[k] : offsets[k + 1]] = 0
-            counts[offsets[k]] = self.total(texts[k].as_py())
+            text = texts[k].as_py()
+            counts[offsets[k] : offsets[k + 1]] = np.diff(self.segment_prefixes(text), prepend=0)
         return np.add.reduceat(counts, heads) if len(heads) else heads, counts, offsets
 
+    def segment_prefixes(self, text: str) -> list[int]:
+        """Tokens of the prefixes of a text that end before each space, and of all of it. White space that a prefix ends
+        with is one piece, whatever follows it in the text; else the pieces up to there are the text's own."""
+        if self.split_special and any(x in text for x in self.special):
+            at = self.prefixes(text)
+            return [int(at[k]) for k, c in enumerate(text) if c == " "] + [int(at[-1])]
+        out, before, at = [], 0, 0
+        run = (0, 0)  # where the latest stretch of white space begins, and the tokens before it
+        for p in self.pattern.findall(text):
+            counts, blank = self.piece(p), p.isspace()
+            if not (blank and at and text[at - 1].isspace()):
+                run = (at, before)
+            if " " in p:
+                if not blank and len(p) > 1:  # a space before a word: what stands before it counts as a whole
+                    out.append(self._closed(text, at, run, before))
+                else:
+                    out += [self._closed(text, at + k, run, before) for k, c in enumerate(p) if c == " "]
+            at, before = at + len(p), before + counts[-1]
+        return [*out, before]
+
+    def _closed(self, text: str, at: int, run: tuple[int, int], before: int) -> int:
+        """Tokens of text[:at], where only the white space at its end can be cut otherwise than in the whole text."""
+        begin, base = run
+        return before if begin >= at or not text[begin:at].isspace() else base + self.total(text[begin:at])
+
     def _resolve(self, unique: list[str]) -> list[int]:
         """Tokens of " " + each segment."""
         known = self.segments
@@ -186,12 +211,24 @@ def longest_prefix(counts: np.ndarray, budget: int) -> int:
     return int(np.flatnonzero(counts <= budget)[-1]) if budget >= 0 else 0
 
 
-def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_tokens (long), word_counts (binary: int32 tokens of each segment, so that the count at every
-    word prefix is a running sum and only the segment in which a budget ends needs its own prefix counts).
+def cut_to_budget(text: str, word_counts: bytes, budget: int, counter: PrefixCounter) -> str:
+    """The longest prefix of ``text``, by characters, of at most ``budget`` tokens. The stored counts say after which segment
+    the budget is spent for good; characters are counted up to there alone, and nothing is encoded."""
+    ends = np.cumsum(np.frombuffer(word_counts, "<i4"))
+    if not len(ends) or ends[-1] <= budget:
+        return text
+    k = int(np.flatnonzero(ends <= budget)[-1]) if (ends <= budget).any() else -1
+    near = " ".join(text.split(" ", k + 2)[: k + 2])
+    return near[: longest_prefix(counter.prefixes(near), budget)]
+
+
+def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
+    """doc_id, n_bytes, n_tokens (long), word_counts (binary: int32 for each space-separated segment, what it adds: the
+    tokens of the prefix that ends with a segment are the running sum, as if that prefix stood alone), fit_segments (long:
+    segments of the longest such prefix of at most ``limit`` tokens). :func:`cut_to_budget` answers for any budget.
 
-    Null and empty texts have 0 bytes and tokens. Rows are counted one by one: null ids, repeated rows and ties stay;
-    an empty table gives an empty result; other columns are ignored.
+    Null and empty texts have 0 bytes and tokens. Texts of any length are counted whole. Rows are counted one by one: null
+    ids, repeated rows and ties stay; an empty table gives an empty result; other columns are ignored.
     """
     path = path or default_path()
 
@@ -202,11 +239,16 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
             totals, counts, offsets = counter.by_segment(text)
             raw = pa.py_buffer(counts.astype("<i4").tobytes())
             words = pa.Array.from_buffers(pa.large_binary(), len(text), [None, pa.py_buffer((offsets * 4).astype(np.int64).tobytes()), raw])
+            # running sums inside each text; the last one within the limit, as prefixes that end with white space may count less
+            sums = np.cumsum(counts)
+            sums -= np.repeat((sums - counts)[offsets[:-1]], np.diff(offsets))
+            place = np.arange(len(counts)) - np.repeat(offsets[:-1], np.diff(offsets)) + 1
+            fit = np.maximum.reduceat(np.where(sums <= limit, place, 0), offsets[:-1]) if len(text) else offsets[:0]
             yield pa.RecordBatch.from_arrays([
-                part.column(0), pc.fill_null(pc.cast(pc.binary_length(text), pa.int64()), 0), pa.array(totals, pa.int64()), words.cast(pa.binary()),
-            ], ["doc_id", "n_bytes", "n_tokens", "word_counts"])
+                part.column(0), pc.fill_null(pc.cast(pc.binary_length(text), pa.int64()), 0), pa.array(totals, pa.int64()), words.cast(pa.binary()), pa.array(fit, pa.int64()),
+            ], ["doc_id", "n_bytes", "n_tokens", "word_counts", "fit_segments"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, word_counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, word_counts binary, fit_segments long")
 
 
 def prefix_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -223,4 +265,4 @@ def prefix_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:
     r = count_tokens(table(spark, sf_dir, "documents"))
-    return r.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
+    return r.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"), "fit_segments", "word_counts")
