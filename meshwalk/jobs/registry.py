@@ -693,12 +693,12 @@ def d05_validate_mesh_graph(spark, d):
 WHOLE = "SELECT CAST(vec_id AS BIGINT) AS id, embedding::DOUBLE[] AS x FROM embeddings"
 
 
-@query(f"SELECT a.id AS src, b.id AS dst FROM ({WHOLE}) a JOIN ({WHOLE}) b ON sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda z: pow(z[1] / 2.0 - z[2] / 2.0, 2)))) <= 0.42")
+@query(f"SELECT a.id AS src, b.id AS dst FROM ({WHOLE}) a JOIN ({WHOLE}) b ON sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda z: pow(z[1] / 2.0 - z[2] / 2.0, 2)))) <= 0.55")
 def d01_radius_neighbors_all_axes(spark, d):
     """All components, in units of 2, with every point as its own neighbour."""
     p = v.table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
     dim = len(p.select("x").first()[0])
-    return gr.radius_neighbors(p, 0.42, dim, [2.0] * dim, self_loop=True)
+    return gr.radius_neighbors(p, 0.55, dim, [2.0] * dim, self_loop=True)
 
 
 def _objective_of_all(name, f, sql):

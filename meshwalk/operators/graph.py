@@ -129,4 +129,4 @@ def rfactor2(pred: DataFrame, obs: DataFrame, weights: DataFrame) -> DataFrame:
     i, p), obs (dataset, i, o), weights (dataset, w), one row a dataset."""
     w = weights.join(F.broadcast(weights.agg(F.sum("w").alias("total")))).select("dataset", (F.col("w") / F.col("total")).alias("w"))
     d = pred.join(obs, ["dataset", "i"]).groupBy("candidate", "dataset").agg(F.sum(F.pow(F.col("o") - F.col("p"), 2)).alias("ss"))
-    return d.join(F.broadcast(w), "dataset").groupBy("candidate").agg(F.sum(F.col("w") * F.col("ss")).alias("r2"))
+    return d.join(few(w), "dataset").groupBy("candidate").agg(F.sum(F.col("w") * F.col("ss")).alias("r2"))
