@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwalk.functions.shared import cut
+from meshwalk.functions.shared import Scratch, scope, shared_dir
 from meshwalk.llm.common import table
 from meshwalk.llm.decontaminate import decontaminate
 from meshwalk.llm.jaccard import keep_one
@@ -68,9 +68,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES):
-            docs = cut(docs, name)
-    return docs
+    """Rows of the last stage. Each stage's result is written before the next one starts; what a stage cut for itself, and
+    its predecessor's result, go then."""
+    docs, tables = table(spark, sf_dir, "documents"), Scratch(spark)
+    for name, stage in STAGES[:-1]:
+        out = f"{shared_dir(spark)}/{name}"
+        with scope(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(out)
+        before = list(tables.paths)
+        tables.paths[name] = out
+        tables.drop(*before)
+        docs = spark.read.schema(made.schema).parquet(out)
+    return STAGES[-1][1](spark, docs, sf_dir)
