@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from meshwalk.functions.shared import cut, discard, shared_dir
 from meshwalk.llm.common import maybe_broadcast, table
 from meshwalk.llm.hashing import ODD, mix64, per_process, slices
-from meshwalk.llm.tokens import CACHE, PATTERN, default_path, split_segments
+from meshwalk.llm.tokens import PATTERN, default_path, split_segments
 
 END = 2
 ROLL = 16  # ids in the rolling hash
@@ -26,7 +26,12 @@ MEAN_BITS, LEAST, MOST = 9, 128, 2048  # chunks of 512 ids on average
 DIGEST = 16
 LEAF, NODE = b"\x00", b"\x01"
 SPACE = "\u0120"  # a space in the byte-level alphabet
-GROUP = 1000  # segments split into pieces in one call
+CACHE = 300_000  # entries a task keeps of each kind and generation
+FAN = 512  # nodes below one of a manifest's tree
+TOP = 100  # chunks of most copies that are looked for
+HOT = 100_000  # places at which one chunk stands, of which one task rebuilds documents
+STRETCH = 1 << 15  # segments whose ids are gathered at a time, so that the places fit into a core's cache
+GROUP = 1000  # new segments encoded in one call
 
 
 class Encoder:
@@ -43,7 +48,11 @@ class Encoder:
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.pattern = regex.compile(PATTERN)
-        self.segments: dict = {}
+        # tokens that begin with a space: in joined segments each begins one
+        self.spaced = np.zeros(max(self.tok.get_vocab().values()) + 1, bool)
+        self.spaced[[i for t, i in self.tok.get_vocab().items() if t.startswith(SPACE)]] = True
+        # two generations: what the older one has and nobody asks for again goes with it
+        self.segments, self.older = {}, {}
         self.pieces: dict = {}
 
     def _piece(self, piece: str) -> bytes:
@@ -62,26 +71,26 @@ class Encoder:
         return b"".join([self.pieces.get(p) or self._piece(p) for p in self.pattern.findall(text)])
 
     def _group(self, group: list[str]) -> list[bytes]:
-        """Ids of each segment with a space before it: pieces of all, parted where one begins with a space."""
+        """Ids of each segment with a space before it, from one call for all: they are parted where a token begins with one."""
         text = " " + " ".join(group)
         if not any(s in text for s in self.special):
-            found = self.pattern.findall(text)
-            starts = [k for k, p in enumerate(found) if p[0] == " "]
-            if len(starts) == len(group):
-                known, make = self.pieces.get, self._piece
-                ids = [known(p) or make(p) for p in found]
-                return [ids[a] if b - a == 1 else b"".join(ids[a:b]) for a, b in zip(starts, [*starts[1:], len(ids)], strict=True)]
+            ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+            cuts = np.flatnonzero(self.spaced[ids])
+            if len(cuts) == len(group):
+                raw, cuts = ids.tobytes(), (cuts * self.kind.itemsize).tolist()
+                return [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
         return [self._text(" " + s) for s in group]
 
-    def _encode(self, segments: list[str]) -> None:
+    def _encode(self, segments: list[str]) -> list[bytes]:
         # segments with white space at an end stand only in texts that are encoded whole, or at an end of one
         col = pa.array(segments, pa.large_string())
         plain = pc.and_(pc.equal(pc.utf8_trim_whitespace(col), col), pc.greater(pc.binary_length(col), 0)).to_numpy(zero_copy_only=False)
-        self.segments.update((segments[k], self._text(" " + segments[k])) for k in np.flatnonzero(~plain).tolist())
         joined = segments if plain.all() else [segments[k] for k in np.flatnonzero(plain).tolist()]
-        for a in range(0, len(joined), GROUP):
-            group = joined[a : a + GROUP]
-            self.segments.update(zip(group, self._group(group), strict=True))
+        made = [x for a in range(0, len(joined), GROUP) for x in self._group(joined[a : a + GROUP])]
+        if len(made) < len(segments):
+            made, at = iter(made), plain.tolist()
+            made = [next(made) if p else self._text(" " + s) for s, p in zip(segments, at, strict=True)]
+        return made
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by END, in one array, and the texts' offsets in it."""
@@ -89,27 +98,36 @@ class Encoder:
         known = self.segments
         got = list(map(known.get, unique))
         if None in got:
-            self._encode([s for s, g in zip(unique, got, strict=True) if g is None])
-            got = list(map(known.get, unique))
+            missing = [k for k, g in enumerate(got) if g is None]
+            names = [unique[k] for k in missing]
+            made = list(map(self.older.get, names))
+            new = [k for k, g in enumerate(made) if g is None]
+            for k, g in zip(new, self._encode([names[k] for k in new]), strict=True):
+                made[k] = g
+            known.update(zip(names, made, strict=True))
+            for k, g in zip(missing, made, strict=True):
+                got[k] = g
         if len(known) > CACHE:
-            self.segments = dict(zip(unique, got, strict=True))
+            self.segments, self.older = {}, known
         whole = set(odd.tolist())
         # a first segment has no space before it; odd texts stand whole in place of theirs
         own = [self._text(texts[k].as_py() if k in whole else unique[i]) for k, i in enumerate(index[offsets[:-1]].tolist())]
-        index, n = index.astype(np.int64), len(unique)
+        n = len(unique)
         index[offsets[:-1]] = n + np.arange(len(own))
         index = np.insert(index, offsets[1:], n + len(own))
         offsets = offsets + np.arange(len(offsets))
-        table = [*got, *own, np.array([END], self.kind).tobytes()]
-        size = np.fromiter(map(len, table), np.int64, len(table)) // self.kind.itemsize
-        begin, flat = np.cumsum(size) - size, np.frombuffer(b"".join(table), self.kind)
-        length = size[index]
         for k in odd.tolist():
-            length[offsets[k] + 1 : offsets[k + 1] - 1] = 0
-        ends, parts = np.concatenate([[0], np.cumsum(length)]), []
-        for a in range(0, len(index), 1 << 20):
-            b = min(a + (1 << 20), len(index))
-            parts.append(flat[np.repeat(begin[index[a:b]] - ends[a:b] + ends[a], length[a:b]) + np.arange(ends[b] - ends[a])])
+            index[offsets[k] + 1 : offsets[k + 1] - 1] = n + len(own) + 1  # nothing
+        table = [*got, *own, np.array([END], self.kind).tobytes(), b""]
+        size = np.fromiter(map(len, table), np.int32, len(table)) // np.int32(self.kind.itemsize)
+        begin, flat = np.cumsum(size, dtype=np.int64) - size, np.frombuffer(b"".join(table), self.kind)
+        length = size[index]
+        ends, parts = np.concatenate([[0], np.cumsum(length, dtype=np.int64)]), []
+        for a in range(0, len(index), STRETCH):
+            b = min(a + STRETCH, len(index))
+            at = np.repeat(begin[index[a:b]] - (ends[a:b] - ends[a]), length[a:b])
+            at += np.arange(len(at))
+            parts.append(flat[at])
         return np.concatenate(parts) if parts else np.empty(0, self.kind), ends[offsets]
 
 
@@ -174,6 +192,8 @@ def crc_after(n_bytes: int) -> int:
     return out
 
 
+RECIPES = "doc_id long, n_tokens long, chunks array<binary>, root binary, part int, local_start long, local_row long"
+MANIFEST = "part int, start long, documents long, tokens long, root string"
 STAGED = "doc_id long, n_tokens long, chunks array<binary>, root binary, digest binary, n int, payload binary, row long"
 
 
@@ -222,13 +242,39 @@ def unplanes(raw: bytes, width: int) -> bytes:
 
 
 def _number(batches):
-    """Running start inside one sorted part."""
-    at = 0
+    """Running start and number inside one sorted part."""
+    at = row = 0
     for b in batches:
         n = b.column(b.schema.get_field_index("n_tokens")).to_numpy()
-        starts = at + np.cumsum(n) - n
-        at += int(n.sum())
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(starts, pa.int64())], [*b.schema.names, "local_start"])
+        starts, rows = at + np.cumsum(n) - n, np.arange(row, row + len(n))
+        at, row = at + int(n.sum()), row + len(n)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(starts, pa.int64()), pa.array(rows, pa.int64())], [*b.schema.names, "local_start", "local_row"])
+
+
+def merkle_parts(recipes: DataFrame) -> DataFrame:
+    """(part, documents, tokens, root) of the recipes' parts. root is that of a Merkle tree over the documents' roots in
+    order, each node over FAN nodes below it, built level by level: no group has more than FAN members."""
+    node = F.unhex(F.sha2(F.concat(F.lit(NODE), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "root"))), lambda x: F.hex(x["root"])), "").cast("binary")), 256))
+    own = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("n_tokens").cast("string")).cast("binary")
+    t = recipes.select("part", F.col("local_row").alias("at"), F.unhex(F.sha2(F.concat(F.lit(LEAF), F.col("root"), own), 256)).alias("root"), F.lit(1).cast("long").alias("documents"), F.col("n_tokens").alias("tokens"))
+    most = recipes.agg(F.max("local_row")).first()[0]
+    while most is not None:
+        t = t.groupBy("part", F.floor(F.col("at") / FAN).alias("up")).agg(node.alias("root"), F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).withColumnRenamed("up", "at")
+        if most < FAN:
+            break
+        most //= FAN
+    return t.select("part", "documents", "tokens", F.lower(F.hex("root")).alias("root"))
+
+
+def check_manifest(spark, folder: str) -> None:
+    """Compares every part of the manifest with the recipes that are there; raises if one lacks, or differs in documents,
+    tokens or root."""
+    m = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+    r = merkle_parts(spark.read.schema(RECIPES).parquet(f"{folder}/recipes")).select(F.col("part").alias("p"), F.struct("documents", "tokens", "root").alias("got"))
+    bad = m.withColumn("want", F.struct("documents", "tokens", "root")).join(r, F.col("part") == F.col("p"), "full").where(~F.col("want").eqNullSafe(F.col("got")))
+    bad = sorted(x[0] for x in bad.select(F.coalesce("part", "p")).limit(10).collect())
+    if bad:
+        raise ValueError(f"parts {bad} of {folder} do not fit its manifest")
 
 
 def write_store(docs: DataFrame, folder: str, path: str | None = None, parts: int | None = None) -> None:
@@ -236,12 +282,12 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None, parts: in
 
     chunks: digest (BLAKE2b of the ids' bytes), n, payload (ids, low bytes first; the column is compressed), each digest once. recipes: the documents in
     ascending doc_id order (null first, repeated ids by their content), part by part: doc_id, n_tokens, chunks (digests
-    in order), root (Merkle root of these), local_start, part. manifest: one row a part: part, start of its first
-    document, documents, tokens, root over its documents' roots.
+    in order), root (Merkle root of these), local_start, local_row, part. manifest: one row a part: part, start of its
+    first document, documents, tokens, root of the tree over its documents (:func:`merkle_parts`).
     """
     path, docs = path or default_path(), docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark, staging = docs.sparkSession, f"{shared_dir(docs.sparkSession)}/staged"
-    docs.mapInArrow(_stage(path), STAGED).write.option("compression", "zstd").mode("overwrite").parquet(staging)
+    docs.mapInArrow(_stage(path), STAGED).write.option("compression", "none").mode("overwrite").parquet(staging)
     staged = spark.read.schema(STAGED).parquet(staging)
     # of equal chunks that several tasks have met, all rows but the first go; payloads are shuffled only if those are many
     chunks = staged.where("digest is not null")
@@ -250,22 +296,16 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None, parts: in
     chunks.join(maybe_broadcast(extra), "row", "left_anti").select("digest", "n", "payload").write.option("compression", "zstd").mode("overwrite").parquet(f"{folder}/chunks")
     r = cut(staged.where("digest is null").select("doc_id", "n_tokens", "chunks", "root"), "recipes")
     discard(spark, staging)
-    parts = parts or max(1, r.rdd.getNumPartitions())
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     r = r.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "root").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root")
     r = r.withColumn("part", F.spark_partition_id())
-    r.mapInArrow(_number, "doc_id long, n_tokens long, chunks array<binary>, root binary, part int, local_start long").write.mode("overwrite").parquet(f"{folder}/recipes")
-    read = docs.sparkSession.read.parquet(f"{folder}/recipes")
-    # a part's documents are summed and their roots hashed in order, block by block, so that no part is gathered whole
-    blocks = read.groupBy("part", F.floor(F.col("local_start") / 1_000_000).alias("block")).agg(
-        F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"),
-        F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("local_start", "root"))), lambda x: F.hex(x["root"])), ""), 256).alias("root"))
-    m = blocks.groupBy("part").agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"),
-                                   F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "root"))), lambda x: x["root"]), ""), 256).alias("root"))
+    r.mapInArrow(_number, RECIPES).write.mode("overwrite").parquet(f"{folder}/recipes")
+    m = merkle_parts(spark.read.schema(RECIPES).parquet(f"{folder}/recipes")).collect()  # one row a part
     rows, at = [], 0
-    for x in sorted(m.collect(), key=lambda x: x["part"]):  # one row a part
+    for x in sorted(m, key=lambda x: x["part"]):
         rows.append((x["part"], at, x["documents"], x["tokens"], x["root"]))
         at += x["tokens"]
-    docs.sparkSession.createDataFrame(rows, "part int, start long, documents long, tokens long, root string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
 
 
 def _verified(crc_only: bool):
@@ -285,57 +325,73 @@ def _verified(crc_only: bool):
     return run
 
 
-def _parts(spark, folder: str, crc_only: bool) -> DataFrame:
+def _parts(spark, folder: str, crc_only: bool, most: int) -> DataFrame:
     """doc_id, start, n_tokens, root and got: (seq, digest, n, value) of each chunk in order."""
     chunks = spark.read.parquet(f"{folder}/chunks").select("digest", "n", "payload")
     chunks = chunks.mapInArrow(_verified(crc_only), f"digest binary, n int, value {'long' if crc_only else 'array<long>'}")
-    m = spark.read.parquet(f"{folder}/manifest").select("part", F.col("start").alias("base"))
-    r = spark.read.parquet(f"{folder}/recipes").join(F.broadcast(m), "part")  # one row a part
+    m = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").select("part", F.col("start").alias("base"))
+    r = spark.read.schema(RECIPES).parquet(f"{folder}/recipes")
+    # a chunk of very many copies is dealt to several tasks; a sketch of the most frequent ones says which
+    top = r.select(F.explode("chunks").alias("digest")).agg(F.expr(f"approx_top_k(xxhash64(digest), {TOP}, {TOP * 100})").alias("top")).first()["top"]
+    top = [(x["item"], -(-x["count"] // most)) for x in top or [] if x["count"] > most]
+    r = r.join(F.broadcast(m), "part")  # one row a part
     r = r.select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "root", F.posexplode("chunks").alias("seq", "digest"))
-    r = r.join(chunks, "digest", "left")
+    if top:
+        h = F.xxhash64("digest")
+        salts = F.coalesce(*[F.when(h == k, F.lit(n)) for k, n in top], F.lit(1))
+        r = r.withColumn("salt", F.pmod(F.xxhash64("start"), salts).cast("int"))
+        chunks = chunks.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    r = r.join(chunks, ["digest", "salt"] if top else ["digest"], "left")
     # a document's start is its own: every document has its end id at least
     return r.groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.first("root").alias("root"),
                                   F.sort_array(F.collect_list(F.struct("seq", "digest", "n", "value"))).alias("got"))
 
 
-def _check(row: dict) -> None:
-    got = row["got"]
-    if any(g["value"] is None for g in got) or merkle_root([g["digest"] for g in got]) != row["root"] or sum(g["n"] for g in got) != row["n_tokens"]:
-        raise ValueError(f"document at {row['start']} can't be rebuilt from its recipe")
+def _documents(batch: pa.RecordBatch):
+    """(digests, sizes, values) of each document of a batch of :func:`_parts`, checked against its root and length."""
+    got = batch.column(batch.schema.get_field_index("got"))
+    ends = (np.asarray(got.offsets) - got.offsets[0].as_py()).tolist()
+    flat = got.flatten()
+    digests, ns, values = (flat.field(k).to_pylist() for k in ("digest", "n", "value"))
+    starts, totals, roots = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("start", "n_tokens", "root"))
+    for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        d, n, v = digests[a:b], ns[a:b], values[a:b]
+        if None in v or (merkle_root(d) if b - a != 1 else d[0]) != roots[k] or sum(n) != totals[k]:
+            raise ValueError(f"document at {starts[k]} can't be rebuilt from its recipe")
+        yield n, v
 
 
-def read_ids(spark, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids: every document rebuilt from its recipe and checked against its Merkle root."""
-
+def _read(spark, folder: str, crc_only: bool, hot: int, name: str, kind: str, make) -> DataFrame:
     def run(batches):
         for b in batches:
-            rows = b.to_pylist()
-            for x in rows:
-                _check(x)
-            yield pa.RecordBatch.from_arrays([pa.array([x["doc_id"] for x in rows], pa.int64()), pa.array([x["start"] for x in rows], pa.int64()), pa.array([x["n_tokens"] for x in rows], pa.int64()), pa.array([[i for g in x["got"] for i in g["value"]] for x in rows], pa.list_(pa.int64()))], ["doc_id", "start", "n_tokens", "ids"])
+            own = [b.column(b.schema.get_field_index(c)) for c in ("doc_id", "start", "n_tokens")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([make(n, v) for n, v in _documents(b)], pa.int64() if crc_only else pa.list_(pa.int64()))], ["doc_id", "start", "n_tokens", name])
 
-    return _parts(spark, folder, False).mapInArrow(run, "doc_id long, start long, n_tokens long, ids array<long>")
+    check_manifest(spark, folder)
+    return _parts(spark, folder, crc_only, hot).mapInArrow(run, f"doc_id long, start long, n_tokens long, {name} {kind}")
 
 
-def read_digests(spark, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 from the files alone. Each stored chunk is read, inflated and checked once; a
-    document's CRC is that of its chunks put together, so that no ids are shuffled."""
+def read_ids(spark, folder: str, hot: int = HOT) -> DataFrame:
+    """doc_id, start, n_tokens, ids: every document rebuilt from its recipe and checked against its Merkle root, after the
+    recipes have been checked against the manifest."""
+    return _read(spark, folder, False, hot, "ids", "array<long>", lambda n, v: [i for x in v for i in x])
 
-    def run(batches):
-        factor: dict = {}
-        for b in batches:
-            rows, crcs = b.to_pylist(), []
-            for x in rows:
-                _check(x)
-                crc = 0
-                for g in x["got"]:
-                    if g["n"] not in factor:
-                        factor[g["n"]] = crc_after(4 * g["n"])
-                    crc = _shift(crc, factor[g["n"]]) ^ g["value"]
-                crcs.append(crc)
-            yield pa.RecordBatch.from_arrays([pa.array([x["doc_id"] for x in rows], pa.int64()), pa.array([x["start"] for x in rows], pa.int64()), pa.array([x["n_tokens"] for x in rows], pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return _parts(spark, folder, True).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+def read_digests(spark, folder: str, hot: int = HOT) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 from the files alone. Each stored chunk is read, inflated and checked once; a
+    document's CRC is that of its chunks put together, so that no ids are shuffled. The recipes are checked against the
+    manifest first."""
+    factor: dict = {}
+
+    def crc(n: list[int], v: list[int]) -> int:
+        out = v[0]
+        for size, value in zip(n[1:], v[1:], strict=True):
+            if size not in factor:
+                factor[size] = crc_after(4 * size)
+            out = _shift(out, factor[size]) ^ value
+        return out
+
+    return _read(spark, folder, True, hot, "ids_crc32", "long", crc)
 
 
 def store_tokens(docs: DataFrame, path: str | None = None, folder: str | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from meshwalk.llm import decontaminate, jaccard, mixing, quality, substring, tokens, tokenstore, toxicity, urls, warc
 
@@ -218,6 +219,42 @@ def test_store(spark, tmp_path):
     chunks = spark.read.parquet(f"{folder}/chunks")
     assert chunks.count() == chunks.select("digest").distinct().count()
     assert tokenstore.store_tokens(docs.limit(0), folder=str(tmp_path / "none")).count() == 0
+    assert sorted(map(tuple, tokenstore.read_digests(spark, folder, hot=1).collect()), key=lambda x: x[1]) == got
+
+
+def test_a_manifest_is_held_against_the_recipes(spark, tmp_path):
+    import shutil
+
+    rows = [(k, f"text {k} " * (k % 9)) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = str(tmp_path / "whole")
+    tokenstore.store_tokens(docs, folder=whole)
+    schema, n = tokenstore.MANIFEST, 0
+    for change in ("tokens = tokens + 1", "documents = documents - 1", "root = reverse(root)"):
+        bad = str(tmp_path / f"bad{n}")
+        n += 1
+        shutil.copytree(whole, bad)
+        name, value = change.split(" = ")
+        m = spark.createDataFrame(spark.read.schema(schema).parquet(f"{whole}/manifest").selectExpr("part", "start", *[f"{value} AS {c}" if c == name else c for c in ("documents", "tokens", "root")]).collect(), schema)
+        m.write.mode("overwrite").parquet(f"{bad}/manifest")
+        with pytest.raises(ValueError, match="manifest"):
+            tokenstore.read_digests(spark, bad)
+    lost = str(tmp_path / "lost")
+    shutil.copytree(whole, lost)
+    spark.read.schema(tokenstore.RECIPES).parquet(f"{whole}/recipes").where("doc_id != 7").write.mode("overwrite").parquet(f"{lost}/recipes")
+    with pytest.raises(ValueError, match="manifest"):
+        tokenstore.read_ids(spark, lost)
+
+
+def test_the_tree_over_many_documents(spark):
+    r = spark.range(1500).select("id", F.lit(3).cast("long").alias("n_tokens"), F.unhex(F.md5(F.col("id").cast("string"))).alias("root"))
+    r = r.select(F.col("id").alias("doc_id"), "n_tokens", "root", F.lit(0).alias("part"), F.col("id").alias("local_row"))
+    got = tokenstore.merkle_parts(r).first()
+    sha = lambda b: hashlib.sha256(b).digest()
+    level = [sha(b"\x00" + hashlib.md5(str(k).encode()).digest() + f"{k}:3".encode()) for k in range(1500)]
+    while len(level) > 1:
+        level = [sha(b"\x01" + "".join(x.hex().upper() for x in level[a : a + tokenstore.FAN]).encode()) for a in range(0, len(level), tokenstore.FAN)]
+    assert (got.documents, got.tokens, got.root) == (1500, 4500, level[0].hex())
 
 
 def test_urls(spark):
