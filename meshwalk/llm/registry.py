@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meshwalk.llm import decontaminate, jaccard, mixing, quality, substring, tokens, tokenstore, toxicity, urls, warc
+from meshwalk.llm import decontaminate, hardneg, jaccard, lexical, mixing, quality, substring, tokens, tokenstore, toxicity, urls, warc
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_token_store": tokenstore.op8_token_store,
     "op9_url_filter": urls.op9_url_filter,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op12_ranked_search": lexical.op12_ranked_search,
+    "op13_hard_negatives": hardneg.op13_hard_negatives,
 }
 
 ORACLE_SQL = {
@@ -22,4 +24,6 @@ ORACLE_SQL = {
     "op4_line_quality": quality.OP4_SQL,
     "op5_warc_archives": warc.OP5_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
+    "op12_ranked_search": lexical.OP12_SQL,
+    "op13_hard_negatives": hardneg.OP13_SQL,
 }
