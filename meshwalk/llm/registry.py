@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meshwalk.llm import decontaminate, hardneg, jaccard, lexical, mixing, quality, substring, tokens, tokenstore, toxicity, urls, warc
+from meshwalk.llm import decontaminate, hardneg, jaccard, lexical, mixing, personal, quality, substring, tokens, tokenstore, toxicity, urls, warc
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_store": tokenstore.op8_token_store,
     "op9_url_filter": urls.op9_url_filter,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_personal_data": personal.op11_personal_data,
     "op12_ranked_search": lexical.op12_ranked_search,
     "op13_hard_negatives": hardneg.op13_hard_negatives,
 }
