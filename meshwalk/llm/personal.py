@@ -15,6 +15,22 @@ KINDS = ["email", "ip", "card", "phone", "iban", "ssn"]
 EMAIL, IP, CARD, PHONE, IBAN, SSN = range(6)
 MARK, OTHER = "\x01", "\x02"
 
+#: Gazetteers and context words (fixed values): parts of the labelers.
+TLD = "com|org|net|edu|gov|mil|int|info|biz|name|io|co|me|app|dev|uk|de|fr|es|it|nl|be|ch|at|pt|pl|se|no|dk|fi|ie|cz|ru|us|ca|mx|br|ar|cl|au|nz|jp|cn|in|kr|za|eu"
+CALLING = "1|7|20|27|30|31|32|33|34|36|39|40|41|43|44|45|46|47|48|49|51|52|54|55|56|57|60|61|62|63|64|65|66|81|82|84|86|90|91|92|351|352|353|354|358|370|371|372|380|385|386|420|421|971|972"
+ISSUER = "4|5[1-5]|2[2-7]|3[0-9]|6"
+PRIVATE = r"0*(?:10|127|0)\.|192\.168\.|169\.254\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|2(?:2[4-9]|[3-5][0-9])\."
+COUNTRY = "AD|AE|AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IL|IT|LT|LU|LV|MC|MT|NL|NO|PL|PT|RO|SA|SE|SI|SK|TR"
+CONTEXT = [
+    "e-?mail|mail|contact|write|reach|correo|kontakt|courriel|adresse|contacto",
+    "ip|host|server|client|address|from|dirección|adresse|serveur",
+    "card|visa|mastercard|amex|credit|pay|paid|payment|tarjeta|karte|kreditkarte|carte",
+    "phone|tel|telephone|call|mobile|cell|fax|whatsapp|sms|text|teléfono|móvil|telefon|handy|téléphone|portable",
+    "iban|account|bank|konto|cuenta|compte|banque|banco",
+    "ssn|social|security|taxpayer",
+]
+AGAINST = "version|release|build|order|invoice|isbn|issn|chapter|section|figure|page|serial|model|part|ticket|price|seite|kapitel|rechnung|página|factura|pedido|facture|commande|rev|doi"
+
 #: Base patterns. Those of the contract, written so that a search never walks a run of characters twice: a match starts where
 #: a run starts, or where the last match ended, and gives no character back.
 BASE = [
@@ -25,7 +41,7 @@ BASE = [
 ]
 #: Further candidates: written around filters, without the international prefix, in other notations.
 LOOSE = [
-    (EMAIL, r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\[at\]|\(at\)|\{at\}|<at>|\bat\b|@) ?[A-Za-z0-9-]++(?: ?(?:\[dot\]|\(dot\)|\{dot\}|<dot>|\bdot\b) ?[A-Za-z0-9-]++){1,5}+"),
+    (EMAIL, rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: ?(?:\[at\]|\(at\)|\{{at\}}|<at>) ?[A-Za-z0-9-]++(?: ?(?:\[dot\]|\(dot\)|\{{dot\}}|<dot>|\.) ?[A-Za-z0-9-]++){{1,5}}+| at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++){{0,4}} dot (?:{TLD})(?![A-Za-z0-9-]))"),
     (IP, r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"),
     (CARD, r"(?<![0-9.])[0-9]{4}[._/][0-9]{4}[._/][0-9]{4}[._/][0-9]{4}(?![0-9.])"),
     (PHONE, r"(?<![0-9A-Za-z+.-])(?<![0-9] )(?:00[1-9][0-9]{0,2}[ .-]?)?(?:\([0-9]{2,4}\) ?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])|[0-9]{2,4}[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z]|[ .-][0-9]))|(?<=\+[0-9]{1,3} )\([0-9]{2,4}\) ?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])"),
@@ -34,22 +50,6 @@ LOOSE = [
 ]
 PATTERNS = [*BASE, *LOOSE]
 
-#: Gazetteers and context words (fixed values): parts of the labelers.
-TLD = "com|org|net|edu|gov|mil|int|info|biz|name|io|co|me|app|dev|uk|de|fr|es|it|nl|be|ch|at|pt|pl|se|no|dk|fi|ie|cz|ru|us|ca|mx|br|ar|cl|au|nz|jp|cn|in|kr|za|eu"
-CALLING = "1|7|20|27|30|31|32|33|34|36|39|40|41|43|44|45|46|47|48|49|51|52|54|55|56|57|60|61|62|63|64|65|66|81|82|84|86|90|91|92|351|352|353|354|358|370|371|372|380|385|386|420|421|971|972"
-ISSUER = "4|5[1-5]|2[2-7]|3[0-9]|6"
-PRIVATE = r"0*(?:10|127|0)\.|192\.168\.|169\.254\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|2(?:2[4-9]|[3-5][0-9])\."
-COUNTRY = "AD|AE|AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IL|IT|LT|LU|LV|MC|MT|NL|NO|PL|PT|RO|SA|SE|SI|SK|TR"
-CONTEXT = [
-    "e-?mail|mail|contact|write|reach|correo|kontakt|courriel|adresse|contacto",
-    "ip|host|server|client|address|from|dirección|adresse|serveur",
-    "card|visa|mastercard|amex|credit|pay|paid|payment|tarjeta|karte|kreditkarte|carte",
-    "phone|tel|telephone|call|mobile|cell|fax|whatsapp|sms|text|teléfono|móvil|telefon|handy|téléphone|portable",
-    "iban|account|bank|konto|cuenta|compte|banque|banco",
-    "ssn|social|security|taxpayer",
-]
-AGAINST = "version|release|build|order|invoice|isbn|issn|chapter|section|figure|page|serial|model|part|ticket|price|seite|kapitel|rechnung|página|factura|pedido|facture|commande|rev|doi"
-
 NEAR = 32  # characters before a span that are looked at
 VOTES = 5
 ROUNDS = 60
