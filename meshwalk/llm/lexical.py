@@ -19,8 +19,9 @@ from meshwalk.llm.hashing import text_slices
 #: Fixed values of the score: impact scale, length normalisation in percent.
 SCALE, PERCENT, NORM = 1_000_000_000, 100, 90
 TOP = 10
-DOCS = 4096  # columns of a grid
-POSTINGS = 1 << 20  # cells of a grid with something in them, about
+DOCS = 2048  # columns of a grid
+POSTINGS = 1 << 18  # cells of a grid with something in them, about
+UNIT = 1 << 12  # in which bounds above the lowest level are stored, rounded up
 ITEMS, ITEM_BYTES = 4096, 16 << 20  # items that are searched for at a time, and the bytes of their texts, about
 FIRST_GRIDS = 4  # grids of the highest bounds that every item is looked for first
 WIDE = 256  # document ranges that are split at a time
@@ -48,7 +49,7 @@ def postings(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
     """(doc_id, n, t, tf) of every document with a term: its number of terms, and those in the vocabulary with their counts."""
 
     def run(batches):
-        for part, texts in text_slices(batches, limit=8 << 20):
+        for part, texts in text_slices(batches):
             n, t, tf = [], [], []
             for text in texts:
                 own = terms(text)
@@ -87,14 +88,15 @@ def _spread(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def build_treap(rows: np.ndarray, cols: np.ndarray, value: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Levels from the root down: of each quarter that is not empty the mask of its quarters (but for the lowest level) and
-    its largest value. Nodes of a level stand in Morton order, so that children are found by counting bits."""
+def build_treap(rows: np.ndarray, cols: np.ndarray, value: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Levels from the root down, but for the lowest: of each quarter that is not empty the mask of its quarters and its
+    largest value; and the order of the cells. Nodes of a level stand in Morton order, so that children are found by
+    counting bits."""
     height = max(1, int(max(rows.max(initial=0), cols.max(initial=0))).bit_length())
     code = (_spread(rows) << np.uint64(1)) | _spread(cols)
     order = np.argsort(code)
     code, top = code[order], value[order]
-    masks, tops = [], [top]
+    masks, tops = [], []
     for _ in range(height):
         parent = code >> np.uint64(2)
         start = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]]))
@@ -102,23 +104,24 @@ def build_treap(rows: np.ndarray, cols: np.ndarray, value: np.ndarray) -> tuple[
         top = np.maximum.reduceat(top, start)
         tops.append(top)
         code = parent[start]
-    return masks[::-1], tops[::-1]
+    return masks[::-1], tops[::-1], order
 
 
 class Treap:
-    """A grid ready to be searched: an absent node has number -1, mask 0 and maximum 0."""
+    """A grid ready to be searched: masks and maxima (in UNITs) of its levels, values of its cells, which a row's weight
+    multiplies. An absent node has number -1, mask 0, maximum and value 0."""
 
-    def __init__(self, masks: list[np.ndarray], tops: list[np.ndarray]):
+    def __init__(self, masks: list[np.ndarray], tops: list[np.ndarray], cells: np.ndarray):
         self.masks = [np.concatenate([m, np.zeros(1, np.uint8)]) for m in masks]
-        self.tops = [np.concatenate([t, np.zeros(1, np.int64)]) for t in tops]
+        self.tops = [np.concatenate([t, np.zeros(1, t.dtype)]) for t in [*tops, cells]]
         self.first = [(np.cumsum(_ONES[m], dtype=np.int64) - _ONES[m]).astype(np.int32) for m in self.masks]
         self.height = len(masks)
 
-    def search(self, rows: np.ndarray, most: np.ndarray, least: int, ids: np.ndarray, k: int = TOP) -> list[tuple[int, int]]:
+    def search(self, rows: np.ndarray, weight: np.ndarray, most: np.ndarray, least: int, ids: np.ndarray, k: int = TOP) -> list[tuple[int, int]]:
         """(score, column) of the ``k`` best columns with a sum over ``rows`` of at least ``least`` and above 0.
 
         All rows' paths go down together over one range of columns: its bound is the sum of the rows' cells, each at most
-        the row's own maximum ``most``. The ranges with the highest bounds are split first, many at a time; the search ends
+        the row's own maximum ``most``; a column's sum takes cells times ``weight``. The ranges with the highest bounds are split first, many at a time; the search ends
         when no range left can reach the k-th best column found. Ties go by ``ids``.
         """
         # of every level: the ranges that wait to be split (first column, the rows' nodes, bound)
@@ -146,7 +149,7 @@ class Treap:
             for side in (0, 1):
                 quarter = 2 * down + np.uint8(side)
                 child = np.where((mask >> quarter) & 1, first + _ONES[mask & ((np.uint8(1) << quarter) - np.uint8(1))], -1)
-                sums = np.minimum(self.tops[level + 1][child], most).sum(axis=1)
+                sums = np.minimum(self.tops[level + 1][child].astype(np.int64) * (UNIT if level + 1 < self.height else weight), most).sum(axis=1)
                 ok = sums >= least
                 if not ok.any():
                     continue
@@ -165,7 +168,7 @@ class Treap:
 
 
 def build_grids(post: DataFrame, weights: np.ndarray, docs: int, length: int) -> DataFrame:
-    """(grid, doc_id, t, most, masks, tops): quadtrees over the impacts of ``DOCS`` documents each, or of fewer when they
+    """(grid, doc_id, t, most, masks, tops, cells): quadtrees over the impacts of ``DOCS`` documents each, or of fewer when they
     have many postings. Rows are terms by falling weight, columns documents by their length, so that cells are even;
     ``t`` and ``most`` are the rows' terms and largest impacts."""
 
@@ -175,9 +178,10 @@ def build_grids(post: DataFrame, weights: np.ndarray, docs: int, length: int) ->
         col = np.repeat(np.argsort(order), count)
         term, f = np.frombuffer(b"".join(t), np.int32), np.frombuffer(b"".join(tf), np.int32).astype(np.int64)
         m = PERCENT - NORM + (NORM * n * docs) // length
-        impact = weights[term] * ((SCALE * f) // (1000 * f + 8 * np.repeat(m, count)))
+        cell = (SCALE * f) // (1000 * f + 8 * np.repeat(m, count))  # at most SCALE / 1000
+        impact = weights[term] * cell
         hit = impact > 0
-        term, col, impact = term[hit], col[hit], impact[hit]
+        term, col, impact, cell = term[hit], col[hit], impact[hit], cell[hit]
         have = np.unique(term)
         have = have[np.lexsort((have, -weights[have]))]
         place = np.zeros(len(weights), np.int64)
@@ -185,10 +189,10 @@ def build_grids(post: DataFrame, weights: np.ndarray, docs: int, length: int) ->
         row = place[term]
         most = np.zeros(len(have), np.int64)
         np.maximum.at(most, row, impact)
-        masks, tops = build_treap(row, col, impact) if len(row) else ([], [])
-        return {"grid": number, "doc_id": [ids[k] for k in order], "t": have.astype(np.int32).tobytes(), "most": most.tobytes(), "masks": [m.tobytes() for m in masks], "tops": [x.tobytes() for x in tops]}
+        masks, tops, by = build_treap(row, col, -(-impact // UNIT)) if len(row) else ([], [], np.empty(0, int))
+        return {"grid": number, "doc_id": [ids[k] for k in order], "t": have.astype(np.int32).tobytes(), "most": most.tobytes(), "masks": [m.tobytes() for m in masks], "tops": [x.astype(np.uint32).tobytes() for x in tops], "cells": cell[by].astype(np.uint32).tobytes()}
 
-    schema = pa.schema([("grid", pa.string()), ("doc_id", pa.list_(pa.int64())), ("t", pa.binary()), ("most", pa.binary()), ("masks", pa.list_(pa.binary())), ("tops", pa.list_(pa.binary()))])
+    schema = pa.schema([("grid", pa.string()), ("doc_id", pa.list_(pa.int64())), ("t", pa.binary()), ("most", pa.binary()), ("masks", pa.list_(pa.binary())), ("tops", pa.list_(pa.binary())), ("cells", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
@@ -205,7 +209,7 @@ def build_grids(post: DataFrame, weights: np.ndarray, docs: int, length: int) ->
         if ids:
             yield flush()
 
-    return post.select("doc_id", "n", "t", "tf").mapInArrow(run, "grid string, doc_id array<long>, t binary, most binary, masks array<binary>, tops array<binary>")
+    return post.select("doc_id", "n", "t", "tf").mapInArrow(run, "grid string, doc_id array<long>, t binary, most binary, masks array<binary>, tops array<binary>, cells binary")
 
 
 def _rows_of(r: dict, wanted: list[np.ndarray], size: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -217,25 +221,26 @@ def _rows_of(r: dict, wanted: list[np.ndarray], size: int) -> tuple[np.ndarray,
     return np.frombuffer(r["most"], np.int64), [w[w >= 0] for w in own]
 
 
-def search_grids(grids: DataFrame, wanted: list[np.ndarray], size: int, least: list[int], only: dict[str, list[int]] | None = None, but: dict[str, list[int]] | None = None) -> DataFrame:
+def search_grids(grids: DataFrame, wanted: list[np.ndarray], weights: np.ndarray, least: list[int], only: dict[str, list[int]] | None = None, but: dict[str, list[int]] | None = None) -> DataFrame:
     """(item, doc_id, score): the best documents of every grid for the items (numbers into ``wanted``) whose bound there
     reaches ``least``: of ``only`` these pairs of grids and items, or of all ``but`` these."""
 
     def run(batches):
         for b in batches:
             out = [[], [], []]
-            for r in b.to_pylist():
+            for r in (b.slice(k, 1).to_pylist()[0] for k in range(b.num_rows)):
                 if not r["masks"]:
                     continue
-                most, rows = _rows_of(r, wanted, size)
+                most, rows = _rows_of(r, wanted, len(weights))
                 done = set((but or {}).get(r["grid"], ()))
                 todo = [k for k in (only[r["grid"]] if only is not None else range(len(wanted))) if k not in done and len(rows[k]) and most[rows[k]].sum() >= max(1, least[k])]
                 if not todo:
                     continue
-                treap = Treap([np.frombuffer(m, np.uint8) for m in r["masks"]], [np.frombuffer(x, np.int64) for x in r["tops"]])
+                treap = Treap([np.frombuffer(m, np.uint8) for m in r["masks"]], [np.frombuffer(x, np.uint32) for x in r["tops"]], np.frombuffer(r["cells"], np.uint32))
+                weight = weights[np.frombuffer(r["t"], np.int32)]
                 ids = np.array([-(2**63) if i is None else i for i in r["doc_id"]], np.int64)  # null stands first
                 for k in todo:
-                    for score, col in treap.search(rows[k], most[rows[k]], least[k], ids):
+                    for score, col in treap.search(rows[k], weight[rows[k]], most[rows[k]], least[k], ids):
                         out[0].append(k), out[1].append(r["doc_id"][col]), out[2].append(score)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], ["item", "doc_id", "score"])
 
@@ -279,11 +284,11 @@ def _search_group(docs: DataFrame, own: list[tuple], tables: Scratch, name: str)
         only.setdefault(r["grid"], []).append(r["item"])
     best = Window.partitionBy("item").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_first())
     ranked = lambda d: d.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= TOP)
-    met = tables.cut(ranked(search_grids(grids.where(F.col("grid").isin(list(only))), wanted, size, [1] * len(own), only)).drop("rank"), f"{name}first")
+    met = tables.cut(ranked(search_grids(grids.where(F.col("grid").isin(list(only))), wanted, weights, [1] * len(own), only)).drop("rank"), f"{name}first")
     least = [1] * len(own)
     for r in met.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("last")).where(F.col("n") == TOP).collect():
         least[r["item"]] = r["last"]
-    rest = search_grids(grids, wanted, size, least, but=only)
+    rest = search_grids(grids, wanted, weights, least, but=only)
     out = tables.cut(ranked(met.unionByName(rest)), f"{name}ranked")
     tables.drop(f"{name}grids", f"{name}first")
     names = F.broadcast(spark.createDataFrame([(k, i) for k, (i, _) in enumerate(own)], "item int, item_id long"))  # about ITEMS rows

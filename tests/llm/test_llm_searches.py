@@ -146,16 +146,18 @@ def test_treap_gives_the_best_columns(shape):
     rows, cols, value = cell // c, cell % c, rng.integers(1, 50, len(cell)).astype(np.int64)
     grid = np.zeros((r, c), np.int64)
     grid[rows, cols] = value
-    masks, tops = lexical.build_treap(rows, cols, value)
+    weight = rng.integers(1, 9000, r)
+    grid *= weight[:, None]
+    masks, tops, by = lexical.build_treap(rows, cols, -(-value * weight[rows] // lexical.UNIT))
     ids = rng.permutation(c).astype(np.int64)
-    t = lexical.Treap(masks, tops)
+    t = lexical.Treap(masks, tops, value[by])
     for _ in range(10):
         q = np.unique(rng.integers(0, r, 6))
         s = grid[q].sum(axis=0)
         want = [(int(s[k]), int(k)) for k in np.lexsort((ids, -s))[:10] if s[k] > 0]
-        assert sorted(t.search(q, grid[q].max(axis=1), 1, ids)) == sorted(want)
+        assert sorted(t.search(q, weight[q], grid[q].max(axis=1), 1, ids)) == sorted(want)
         floor = int(np.median(s))
-        assert sorted(t.search(q, grid[q].max(axis=1), floor, ids)) == sorted(x for x in want if x[0] >= floor)
+        assert sorted(t.search(q, weight[q], grid[q].max(axis=1), floor, ids)) == sorted(x for x in want if x[0] >= floor)
 
 
 # --- hard negatives
