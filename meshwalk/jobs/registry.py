@@ -391,11 +391,17 @@ def e22_last_snapshot(spark, d):
     return ch.last_snapshot(v.chain(spark, d)).select(*KEY)
 
 
+@query(f"SELECT {K}, {s6('fx')} AS fx FROM (SELECT *, row_number() OVER (PARTITION BY rank, t_index ORDER BY {', '.join(c + ' DESC' for c in v.TIES)}) AS k FROM ({C})) WHERE k <= 50")
+def e22_last_rows(spark, d):
+    """The last 50 rows of every rank and temperature."""
+    return ch.last_snapshot(v.chain(spark, d), 50, v.TIES).select(*KEY, r6("fx").alias("fx"))
+
+
 # --- windows, order, sets
 @query(f"""SELECT run, step, id, {s6('fx')} AS fx, {s6('b.fx')} AS best_fx, b.step AS best_step, b.id AS best_id FROM
 (SELECT *, min(struct_pack(fx := fx, step := step, id := id)) OVER (PARTITION BY run ORDER BY step) AS b FROM ({H}))""")
 def f01_running_best(spark, d):
-    return rounded(ch.running_best(v.history(spark, d), 10_000), "fx", "best_fx")
+    return rounded(ch.running_best(v.history(spark, d)), "fx", "best_fx")
 
 
 CALLS = "SELECT CAST(user_id AS BIGINT) AS rank, CAST(event_id AS BIGINT) AS call, epoch_us(ts) / 1e6 AS t FROM events"

@@ -8,21 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshwalk.functions.shared import cut
-
-ORDER = ["step"]
-CHUNK = 100_000
-
+from meshwalk.operators.ordered import Ordered, few
 
 def finite(c: Column) -> Column:
     return ~F.isnan(c) & (F.abs(c) != float("inf"))
 
 
-def few(df: DataFrame, limit: int = 1_000_000) -> DataFrame:
-    """``df`` marked for broadcast only if its counted rows (of a few numbers each) stay under ``limit``; ``df`` should be
-    cut, or cheap to make twice."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def thin(chain: DataFrame, every: int) -> DataFrame:
     return chain.where(F.col("step") % every == 0)
 
@@ -45,36 +36,11 @@ def _close(x: Column, old: Column) -> Column:
     return F.forall(F.zip_with(x, old, lambda a, b: F.abs(a - b) <= 1e-8 + 1e-5 * F.abs(b)), lambda v: v)
 
 
-def _chunked(df: DataFrame, keys: list[str], position: Column, chunk: float) -> tuple[DataFrame, list[str]]:
-    """``df`` dealt by (keys, chunk of the position), so that few keys still fill many tasks."""
-    return df.withColumn("chunk", F.floor(position / chunk)), [*keys, "chunk"]
-
-
-def with_previous(df: DataFrame, order: list[str], chunk: float = CHUNK, keys: tuple[str, ...] = ("t_index",), value: str = "x") -> DataFrame:
-    """Adds ``old``: the value of the row before under the same keys. Rows are dealt by (keys, chunk of the first order
-    column); the last row of a chunk is handed to the next one by a join of one row a chunk."""
-    c, by = _chunked(df, list(keys), F.col(order[0]), chunk)
-    w = Window.partitionBy(*by).orderBy(*order)
-    c = c.withColumn("old", F.lag(value).over(w)).withColumn("first", F.row_number().over(w) == 1)
-    ends = c.groupBy(*by).agg(F.max_by(F.struct(value), F.struct(*order)).alias("end"))
-    ends = ends.select(*by, F.lag(f"end.{value}").over(Window.partitionBy(*keys).orderBy("chunk")).alias("before"))
-    return c.join(ends, by).withColumn("old", F.when(F.col("first"), F.col("before")).otherwise(F.col("old"))).drop("chunk", "first", "before")
-
-
-def running_sum(df: DataFrame, value: Column, order: list[str], name: str, chunk: float = CHUNK, keys: tuple[str, ...] = ("t_index",)) -> DataFrame:
-    """Adds ``name``: the sum of ``value`` over the rows up to this one, and ``name``_all over all rows, under the same keys;
-    summed by chunks, whose totals (one row each) are added up apart."""
-    c, by = _chunked(df.withColumn("value", value), list(keys), F.col(order[0]), chunk)
-    part = c.groupBy(*by).agg(F.sum("value").alias("part"))
-    own = Window.partitionBy(*keys)
-    part = part.select(*by, F.coalesce(F.sum("part").over(own.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("part").over(own).alias(f"{name}_all"))
-    inside = F.sum("value").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return c.withColumn("inside", inside).join(part, by).withColumn(name, F.col("base") + F.col("inside")).drop("value", "chunk", "inside", "base")
-
-
-def move_ratio(chain: DataFrame, order: list[str], from_step: float = 0, chunk: int = CHUNK) -> DataFrame:
-    """Share of rows from ``from_step`` on that differ from the row before; a row with none before is not a move."""
-    c = with_previous(chain, order, chunk).where(F.col("step") >= from_step)
+def move_ratio(chain: DataFrame, order: list[str], from_step: float = 0, rows: int | None = None) -> DataFrame:
+    """Share of rows from ``from_step`` on that differ from the row before at their temperature; a row with none before is
+    not a move. ``rows``: what one task takes at a time (:class:`Ordered`)."""
+    c = chain.select(*dict.fromkeys(["t_index", "step", "x", *order]))
+    c = Ordered(c, ["t_index"], order, rows).previous("x", "old").df.where(F.col("step") >= from_step)
     moved = F.when(F.col("old").isNull(), False).otherwise(~_close(F.col("x"), F.col("old")))
     return c.groupBy("t_index").agg(F.avg(moved.cast("double")).alias("acceptance"))
 
@@ -115,44 +81,49 @@ def separate_by_temperature(chain: DataFrame, schedule: DataFrame, n_per_rank: i
     return global_walker(chain.join(few(s), "temp"), n_per_rank).select(F.col("k").alias("t_index"), "step", "gwalker", "fx", "x")
 
 
-def temperature_runs(chain: DataFrame, order: list[str], chunk: float = CHUNK) -> DataFrame:
-    """A number that grows whenever the temperature changes along each rank's log; by chunks of steps, so that few ranks
-    fill many tasks."""
-    c = with_previous(chain, order, chunk, ("rank",), "temp")
-    new = F.coalesce((F.col("temp") != F.col("old")).cast("long"), F.lit(0).cast("long"))
-    return running_sum(c, new, order, "run_index", chunk, ("rank",)).drop("old", "run_index_all")
+def temperature_runs(chain: DataFrame, order: list[str], rows: int | None = None) -> DataFrame:
+    """A number that grows whenever the temperature changes along each rank's log."""
+    c = Ordered(chain, ["rank"], order, rows).previous("temp", "old")
+    return c.running_sum(F.coalesce((F.col("temp") != F.col("old")).cast("long"), F.lit(0).cast("long")), "run_index").df.drop("old", "run_index_all")
 
 
-def running_best(history: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Best fx so far, with its step and id, at every step of each run; in two levels, so that a long run fills many tasks."""
-    h = history.withColumn("chunk", F.floor(F.col("step") / chunk)).withColumn("me", F.when(~F.isnan("fx"), F.struct("fx", "step", "id")))
-    low = h.groupBy("run", "chunk").agg(F.min("me").alias("low"))
-    low = low.select("run", "chunk", F.min("low").over(Window.partitionBy("run").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
-    w = Window.partitionBy("run", "chunk").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    best = h.join(low, ["run", "chunk"]).withColumn("inside", F.min("me").over(w)).withColumn("best", F.least("before", "inside"))
+def running_best(history: DataFrame, rows: int | None = None) -> DataFrame:
+    """Best fx so far, with its step and id, at every step of each run."""
+    h = history.select("run", "step", "id", "fx").withColumn("me", F.when(~F.isnan("fx"), F.struct("fx", "step", "id")))
+    best = Ordered(h, ["run"], ["step", "id"], rows).running_min("me", "best").df
     return best.select("run", "step", "id", "fx", F.col("best.fx").alias("best_fx"), F.col("best.step").alias("best_step"), F.col("best.id").alias("best_id"))
 
 
-def call_profile(calls: DataFrame, chunk: float = CHUNK) -> DataFrame:
-    """Number, seconds since the last call and since the first one, of each rank's calls (t in seconds), by chunks of time."""
-    c = with_previous(calls.select("rank", "call", "t"), ["t", "call"], chunk, ("rank",), "t")
-    c = running_sum(c, F.lit(1).cast("long"), ["t", "call"], "num_calls", chunk, ("rank",))
-    first = calls.groupBy("rank").agg(F.min("t").alias("first"))
+def call_profile(calls: DataFrame, rows: int | None = None) -> DataFrame:
+    """Number, seconds since the last call and since the first one, of each rank's calls (t in seconds)."""
+    c = Ordered(calls.select("rank", "call", "t"), ["rank"], ["t", "call"], rows).previous("t", "old").running_sum(F.lit(1).cast("long"), "num_calls").df
+    first = few(calls.groupBy("rank").agg(F.min("t").alias("first")))
     return c.join(first, "rank").select("rank", "call", F.col("num_calls").cast("int").alias("num_calls"), F.coalesce(F.col("t") - F.col("old"), F.lit(0.0)).alias("elapsed_last"), (F.col("t") - F.col("first")).alias("elapsed_start"))
 
 
-def last_snapshot(chain: DataFrame, n: int | None = None, order: list[str] | None = None) -> DataFrame:
-    """Rows of the last step of every (rank, temperature), or its last n rows."""
-    if n is None:
-        last = chain.groupBy("rank", "t_index").agg(F.max("step").alias("step"))
-        return chain.join(last, ["rank", "t_index", "step"])
-    w = Window.partitionBy("rank", "t_index").orderBy(*[F.desc(c) for c in order])
-    return chain.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n).drop("k")
+#: Last rows of a group up to which every task keeps its own candidates, before they meet.
+KEPT = 1000
+
 
+def last_snapshot(chain: DataFrame, n: int | None = None, order: list[str] | None = None, rows: int | None = None) -> DataFrame:
+    """Rows of the last step of every (rank, temperature), or its last n rows along ``order``.
 
-def trim_path(df: DataFrame, skip: int, order: list[str], chunk: float = CHUNK) -> DataFrame:
-    """Without the first ``skip`` rows and the last row of each run; rows are numbered by chunks."""
-    d = running_sum(df, F.lit(1).cast("long"), order, "k", chunk, ("run",))
+    Up to ``KEPT`` rows, every task keeps the last n of each group that it has (Spark's limit below the window), and only
+    those meet; beyond, rows are counted along the order, so that a group of any size fills many tasks."""
+    keys = ["rank", "t_index"]
+    if n is None:
+        last = few(chain.groupBy(*keys).agg(F.max("step").alias("step")))
+        return chain.join(last, [*keys, "step"])
+    if n <= KEPT:
+        w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+        return chain.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n).drop("k")
+    c = Ordered(chain, keys, order, rows).running_sum(F.lit(1).cast("long"), "k").df
+    return c.where(F.col("k") > F.col("k_all") - n).drop("k", "k_all")
+
+
+def trim_path(df: DataFrame, skip: int, order: list[str], rows: int | None = None) -> DataFrame:
+    """Without the first ``skip`` rows and the last row of each run."""
+    d = Ordered(df, ["run"], order, rows).running_sum(F.lit(1).cast("long"), "k").df
     return d.where((F.col("k") > skip) & (F.col("k") < F.col("k_all"))).drop("k", "k_all")
 
 
@@ -376,17 +347,12 @@ def distinct_temperatures(chain: DataFrame, parts: int = 64) -> DataFrame:
     return d.join(few(base), "range").withColumn("g", g).groupBy("g").agg(F.min("temp").alias("value"), F.sum("n").alias("n")).drop("g")
 
 
-def union_ranks(tables: list[DataFrame], order: list[str], chunk: int = CHUNK) -> DataFrame:
-    """All ranks' rows under dense ids, in order of rank and ``order`` (whose first is step). Numbered by chunks of steps,
-    with the chunks' counts added up apart, so that no rank meets in one task."""
+def union_ranks(tables: list[DataFrame], order: list[str], rows: int | None = None) -> DataFrame:
+    """All ranks' rows under dense ids, in order of rank and ``order``."""
     u = tables[0]
     for t in tables[1:]:
         u = u.unionByName(t)
-    u = u.withColumn("part", F.floor(F.col("step") / chunk))
-    n = u.groupBy("rank", "part").agg(F.count(F.lit(1)).alias("n"))
-    n = n.select("rank", "part", F.coalesce(F.sum("n").over(Window.orderBy("rank", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    k = F.row_number().over(Window.partitionBy("rank", "part").orderBy(*order))
-    return u.withColumn("k", k).join(n, ["rank", "part"]).withColumn("id", F.col("base") + F.col("k") - 1).drop("k", "part", "base")
+    return Ordered(u, [], ["rank", *order], rows).running_sum(F.lit(1).cast("long"), "id").df.withColumn("id", F.col("id") - 1).drop("id_all")
 
 
 def continue_schedule(before: DataFrame, after: DataFrame) -> DataFrame:
