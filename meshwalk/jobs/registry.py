@@ -19,6 +19,7 @@ from meshwalk.operators import chain as ch
 from meshwalk.operators import graph as gr
 from meshwalk.operators import population as pop
 from meshwalk.operators import runs, searches
+from meshwalk.operators.mesh import Mesh, anneal_mesh, exchange_mesh
 from meshwalk.sources import text
 from meshwalk.streaming.chain_stats import stream_fx_moments
 
@@ -777,6 +778,28 @@ def g10_continue_run(spark, d):
     return rounded(runs.anneal_stats(_anneal(spark, d, folder, 7), 2), "mean", "err", "logz", "pr", "acceptance")
 
 
+def _mesh(spark, d):
+    """The neighbour graph of the points, with 10 (x1^2 + x2^2 + x3^2) as objective."""
+    p = v.points(spark, d)
+    return p, Mesh(p, gr.radius_neighbors(p, 0.1, 3), lambda x: 10 * (x * x).sum(axis=1))
+
+
+@query(None)
+def g08_anneal_mesh(spark, d):
+    """A walker on every node, annealed over the graph of neighbours."""
+    p, mesh = _mesh(spark, d)
+    r = anneal_mesh(p.select(F.col("id").alias("walker"), F.col("id").alias("x")), mesh, [0.5 * k for k in range(5)], [10] * 5, 41, shared_dir(spark), interval=2)
+    return rounded(runs.anneal_stats(r, 2), "mean", "err", "logz", "pr", "acceptance")
+
+
+@query(None)
+def g09_exchange_mesh(spark, d):
+    """Three replicas from every node, exchanged over the graph of neighbours: where they are after every round."""
+    p, mesh = _mesh(spark, d)
+    r = exchange_mesh(p.select(F.col("id").alias("group"), F.col("id").alias("x")), mesh, [4.0, 2.0, 1.0], 4, 5, 43, shared_dir(spark))
+    return rounded(r.select("walker", "step", "t_index", F.col("x.node").alias("node"), "fx", F.col("best_x.node").alias("best_node"), "best_fx", "naccepted"), "fx", "best_fx")
+
+
 @query(None)
 def g11_multistart_simplex(spark, d):
     s = searches.multistart_simplex(_starts(spark, d, "id"), obj.rosenbrock_array, [0.25] * AXES, [-5.0] * AXES, [5.0] * AXES)

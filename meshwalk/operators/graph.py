@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshwalk.functions.shared import Scratch, cut
-from meshwalk.operators.chain import few
+from meshwalk.operators.ordered import Ordered, few
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -106,11 +106,13 @@ def pending(mesh: DataFrame, done: DataFrame) -> DataFrame:
 def propose_discrete(walkers: DataFrame, edges: DataFrame, mesh: DataFrame, u) -> DataFrame:
     """(walker, node, new_node, new_x, hastings): a uniform neighbour of each walker's node, with the ratio of the old
     and new numbers of neighbours; walkers on a node without neighbours are left out. ``u(walker)`` is in [0, 1)."""
-    nbrs = edges.groupBy(F.col("src").alias("node")).agg(F.sort_array(F.collect_list("dst")).alias("nbrs"))
-    deg = nbrs.select(F.col("node").alias("new_node"), F.size("nbrs").alias("new_degree"))
-    w = walkers.select("walker", "node").join(nbrs, "node").withColumn("degree", F.size("nbrs"))
-    w = w.withColumn("new_node", F.element_at("nbrs", (F.floor(u(F.col("walker")) * F.col("degree")) + 1).cast("int"))).drop("nbrs")
-    w = w.join(deg, "new_node").join(mesh.select(F.col("id").alias("new_node"), F.col("x").alias("new_x")), "new_node")
+    # neighbours are numbered, not gathered: a node of any degree spreads over its edges
+    e = Ordered(edges.select("src", "dst"), ["src"], ["dst"]).running_sum(F.lit(1).cast("long"), "slot").df
+    e = e.select(F.col("src").alias("node"), (F.col("slot") - 1).alias("slot"), F.col("dst").alias("new_node"), F.col("slot_all").alias("degree"))
+    deg = cut(edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree")), "degrees")
+    w = walkers.select("walker", "node").join(few(deg), "node")
+    w = w.select("walker", "node", F.floor(u(F.col("walker")) * F.col("degree")).alias("slot")).join(e, ["node", "slot"])
+    w = w.join(few(deg.select(F.col("node").alias("new_node"), F.col("degree").alias("new_degree"))), "new_node").join(mesh.select(F.col("id").alias("new_node"), F.col("x").alias("new_x")), "new_node")
     return w.select("walker", "node", "new_node", "new_x", (F.col("degree") / F.col("new_degree")).alias("hastings"))
 
 

@@ -42,6 +42,11 @@ class Ordered:
     def df(self) -> DataFrame:
         return self._df.drop("__range")
 
+    @property
+    def ranged(self) -> DataFrame:
+        """The rows with the number of their range as __range."""
+        return self._df
+
     def _inside(self):
         return Window.partitionBy(*self.keys, "__range").orderBy(*self.order)
 
