@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,38 +64,87 @@ def _fold(units: Column, seed: Column) -> Column:
     return F.aggregate(F.slice(units, 2, F.greatest(F.size(units) - 1, F.lit(0))), first, step)
 
 
-def pivotal_copies(units: DataFrame, seed: int = 7, block: int = BLOCK, rows: int | None = None) -> DataFrame:
-    """``units``: group, row (struct), size double, p in (0, 1). Returns group, row, take 0 or 1; in every group the sum of
-    size * take differs from that of size * p by less than one unit's size.
+def _spread(units: DataFrame, block: int) -> DataFrame:
+    """``units`` with key, and spread: the number of blocks of its group, of about ``block`` units each."""
+    n = cut(units.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / block).alias("spread")), "groups").withColumnRenamed("group", "g")
+    return units.join(_small_side(n), F.col("group").eqNullSafe(F.col("g"))).drop("g")
+
+
+def pivotal_copies(units: DataFrame, seed: int = 7, block: int = BLOCK, room: DataFrame | None = None) -> DataFrame:
+    """``units``: group, row (struct), size double, p in (0, 1). Returns group, row and take 0 or 1; in every group
+    the sum of size * take differs from that of size * p by less than one unit's size.
 
-    Level by level: units are dealt to blocks by a hash (a group of any size spreads over all blocks), each block is
-    folded by itself, large units first so that a small one is left over, and passes at most one fractional unit up. The
-    levels are known from the row count.
+    Level by level: a group's units are dealt to its own number of blocks by a hash (a group of any size spreads over many,
+    one of a few hundred units is folded at once), each block is folded by itself and passes at most one fractional unit
+    up, until the group has one block. Its last unit is rounded by chance, with its probability; where ``room`` (r, down, up)
+    tells how much other units can give less or more than their share, it is rounded so that they can make it good.
     """
-    n = units.count() if rows is None else rows
-    spread = max(1, math.ceil(n / block))
-    key = F.xxhash64(F.lit(seed), F.col("row"))
-    level, out, depth = units.withColumn("key", key).withColumn("b", F.pmod(F.col("key"), F.lit(spread))), None, 0
+    level, out, depth = _spread(units.withColumn("key", F.xxhash64(F.lit(seed), F.col("row"))), block), None, 0
     while True:
+        b = F.pmod(F.xxhash64(F.lit(depth), F.col("key")), F.col("spread"))
         folded = (
-            level.groupBy("group", "b").agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("down"), "key", "size", "row", "p"))).alias("u"))
+            level.withColumn("b", b).groupBy("group", "b", "spread").agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("down"), "key", "size", "row", "p"))).alias("u"))
             .withColumn("u", F.transform("u", lambda x: F.struct(x["row"].alias("row"), x["size"].alias("size"), x["key"].alias("key"), x["p"].alias("p"))))
             .withColumn("f", _fold(F.col("u"), F.lit(seed + depth)))
         )
+        # a carried unit of a group's only block is the last one
+        folded = cut(folded.select("group", "spread", "f"), "folded")
         done = folded.select("group", F.explode("f.done").alias("x")).select("group", "x.row", F.col("x.p").cast("int").alias("take"))
-        rest = folded.select("group", "b", "f.carry.*")
-        out = done if out is None else out.unionAll(done)
-        if spread == 1:
-            last = rest.select("group", "row", (_uniform(F.lit(seed), F.lit("last"), F.col("key")) < F.col("p")).cast("int").alias("take"))
-            return out.unionAll(last)
-        spread, depth = max(1, math.ceil(spread / block)), depth + 1
-        level = rest.withColumn("b", F.pmod(F.xxhash64(F.lit(depth), F.col("key")), F.lit(spread)))
+        last = folded.where("spread = 1").select("group", "f.carry.*")
+        last = last.join(_small_side(room), F.col("group").eqNullSafe(F.col("r")), "left") if room is not None else last.withColumns({"down": F.lit(None).cast("double"), "up": F.lit(None).cast("double")})
+        rise, fall = F.coalesce(F.col("size") * (1 - F.col("p")) <= F.col("down"), F.lit(False)), F.coalesce(F.col("size") * F.col("p") <= F.col("up"), F.lit(False))
+        chance = _uniform(F.lit(seed), F.lit("last"), F.col("key")) < F.col("p")
+        whole = (F.col("p") <= EPS) | (F.col("p") >= 1 - EPS)
+        near = F.when(F.lit(room is None) | whole | (rise & fall), chance).when(rise, True).when(fall, False).otherwise(F.col("p") >= 0.5)
+        last = last.select("group", "row", near.cast("int").alias("take"))
+        out = done.unionAll(last) if out is None else out.unionAll(done).unionAll(last)
+        level = folded.where("spread > 1").select("group", "f.carry.*", F.ceil(F.col("spread") / block).alias("spread"))
+        depth += 1
+        if level.isEmpty():
+            return out
+
+
+def _small_side(df: DataFrame) -> DataFrame:
+    """One row a group: broadcast if they are few."""
+    return F.broadcast(df) if df.count() <= 100_000 else df
+
+
+def _given(taken: DataFrame, units: DataFrame) -> DataFrame:
+    """(g, over): by how much a group's taken sizes exceed what was asked for."""
+    got = taken.groupBy("group").agg(F.sum(F.col("take") * F.col("row.words")).alias("got"))
+    want = units.groupBy(F.col("group").alias("g")).agg(F.sum(F.col("size") * F.col("p")).alias("want"))
+    return cut(want.join(got, F.col("g").eqNullSafe(F.col("group"))).select("g", (F.col("got") - F.col("want")).alias("over")), "over")
+
+
+def settled_copies(units: DataFrame, seed: int = 7, block: int = BLOCK) -> DataFrame:
+    """:func:`pivotal_copies` in two trees: units larger than their group's median first; what their last one, which is
+    rounded by chance, gives too much or too little, the others' probabilities make good before they are dealt. So a group's
+    sum ends within a unit of about the median size, as long as its smaller units have that much to give."""
+    mid = cut(units.groupBy(F.col("group").alias("g")).agg(F.percentile_approx("size", 0.5, 1000).alias("mid")), "medians")
+    d = units.join(_small_side(mid), F.col("group").eqNullSafe(F.col("g"))).drop("g")
+    large = cut(d.where("size > mid").drop("mid"), "large")
+    small = d.where("size <= mid").drop("mid")
+    room = small.groupBy(F.col("group").alias("r")).agg(F.sum(F.col("size") * F.col("p")).alias("down"), F.sum(F.col("size") * (1 - F.col("p"))).alias("up"))
+    room = cut(room, "room")
+    first = pivotal_copies(large, seed, block, room)
+    over = cut(_given(first, large).join(room, F.col("g").eqNullSafe(F.col("r"))).drop("r"), "over")
+    small = small.join(_small_side(over), F.col("group").eqNullSafe(F.col("g")), "left")
+    less = F.col("p") * (1 - F.least(F.lit(1.0), F.try_divide("over", "down")))
+    more = F.col("p") + (1 - F.col("p")) * F.least(F.lit(1.0), F.try_divide(-F.col("over"), F.col("up")))
+    p = F.when(F.coalesce("over", F.lit(0.0)) == 0, F.col("p")).when(F.col("over") > 0, less).otherwise(more)
+    small = cut(small.select("group", "row", "size", p.alias("p")), "small")
+    whole = (F.col("p") <= EPS) | (F.col("p") >= 1 - EPS)
+    sure = small.where(whole).select("group", "row", F.round("p").cast("int").alias("take"))
+    return first.unionAll(pivotal_copies(small.where(~whole), seed + 1000, block)).unionAll(sure)
 
 
 def mix(docs: DataFrame, seed: int = 7, block: int = BLOCK) -> DataFrame:
     """Copies of every document such that each source's words meet its target.
 
     Returns one row per input row: doc_id, source, size (words), source_size, target, copies (0 to MOST), taken.
+    Documents larger than their source's median are settled first, the others make good what those leave
+    (:func:`settled_copies`). A text of any length counts whole; a source whose target one huge document decides can miss it
+    by as much as its smaller documents cannot make good.
     Null texts and texts without words have size 0 and are never taken; a null source is a source of its own, last;
     repeated rows are dealt with each by itself; null doc_ids are kept; an empty table gives an empty result; other
     columns are ignored. The same input gives the same result, however it is partitioned.
@@ -119,8 +166,7 @@ def mix(docs: DataFrame, seed: int = 7, block: int = BLOCK) -> DataFrame:
     d = d.withColumn("base", F.floor(want + EPS)).withColumn("p", F.greatest(want - F.col("base"), F.lit(0.0)))
     fractional = F.col("p") > EPS
     row = F.struct("doc_id", "source", "nth", "base", F.col("size").alias("words"), "source_size", "target")
-    rows = d.count()
-    taken = pivotal_copies(d.where(fractional).select("group", row.alias("row"), F.col("size").cast("double").alias("size"), "p"), seed, block, rows)
+    taken = settled_copies(d.where(fractional).select("group", row.alias("row"), F.col("size").cast("double").alias("size"), "p"), seed, block)
     sure = d.where(~fractional).select("group", row.alias("row"), F.lit(0).alias("take"))
     copies = (F.col("row.base") + F.col("take")).cast("int")
     return taken.unionAll(sure).select(

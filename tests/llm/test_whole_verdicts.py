@@ -107,3 +107,21 @@ def test_clashing_columns_ties_and_long_texts(spark):
     assert urls.judge_urls(pages).where("rule = 'net/'").count() == 7
     s = toxicity.score_toxicity(docs, labels).collect()
     assert len(s) == 7 and len({round(r.score, 9) for r in s if r.doc_id in (0, 1)}) == 1
+
+
+def test_every_source_meets_its_target(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    rows = [(k, " ".join(["w"] * int(rng.integers(5, 60))), f"s{k % 300:03d}") for k in range(9000)]
+    rows += [(9000, "w " * 20_000, "s007"), (9001, "w " * 900, "s008"), (9002, "w " * 900, "s008")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    by: dict = {}
+    for r in got.collect():
+        by.setdefault(r.source, [r.target, 0, []])
+        by[r.source][1] += r.taken
+        by[r.source][2].append(r.size)
+    off = {s: abs(t - k) / np.median(z) for s, (t, k, z) in by.items()}
+    assert len(off) == 300 and max(v for s, v in off.items() if s != "s007") <= 1.0
+    # one document holds nearly all of its source: its target is met within what the others can make good
+    assert abs(by["s007"][0] - by["s007"][1]) <= 20_000 / 2
