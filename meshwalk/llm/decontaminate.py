@@ -48,13 +48,20 @@ def item_sketches(items: DataFrame, percent: int = PERCENT) -> DataFrame:
     return d.select(F.floor(F.log2(m) / 3).cast("int").alias("size_class"), "item_id", F.explode(F.slice(F.sort_array("s"), F.lit(1), k)).alias("token"))
 
 
+def _small(df: DataFrame, size, broadcast_rows: int) -> DataFrame:
+    """``df`` marked for broadcast if its rows' bytes, summed, stay under 32 for each of ``broadcast_rows``."""
+    total = df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= 32 * broadcast_rows else df
+
+
 def contained_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Every (document, item) where the document holds at least ``percent`` of the item's distinct 5-word shingles.
 
     Returns doc_id, item_id, n_item, n_shared (long), one row a pair. Null or wordless texts and items match nothing;
     null ids are kept as ids; repeated rows (and rows that share an id) give a pair once, with the most shared; empty
     tables give an empty result; other columns are ignored. Item sketches, candidates and item shingles are broadcast
-    only if they have at most ``broadcast_rows`` rows, else joined by shuffle.
+    only if they have at most ``broadcast_rows`` rows of a few numbers, or as many bytes as 32 for each, else joined by
+    shuffle.
 
     The search is parted by the items' sizes: a document's hash goes to the classes of sizes whose top it does not exceed,
     and meets there the sketches of that class alone. One small item, whose only hash may be any, opens its own class to
@@ -75,10 +82,11 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT, b
     found = cut(found, "candidates")
     # exact step: shingles as words, of candidate documents alone
     per_doc = found.groupBy(F.col("doc_id").alias("d")).agg(F.collect_set("item_id").alias("ids"))  # no more than there are items
-    per_doc = maybe_broadcast(per_doc, limit=broadcast_rows // 8)
+    per_doc = _small(cut(per_doc, "documents"), F.size("ids") * 8 + 16, broadcast_rows)
     pairs = _with_shingles(docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("d"))), _join).select("doc_id", "s", F.explode("ids").alias("i"))
     own = _with_shingles(items, _join).where(F.col("s").isNotNull()).select("item_id", F.col("s").alias("item"))
-    pairs = pairs.join(maybe_broadcast(own, limit=broadcast_rows // 64), F.col("i").eqNullSafe(F.col("item_id")))
+    own = _small(cut(own, "items"), F.aggregate("item", F.lit(16).cast("long"), lambda a, x: a + F.octet_length(x) + 24), broadcast_rows)
+    pairs = pairs.join(own, F.col("i").eqNullSafe(F.col("item_id")))
     pairs = pairs.select("doc_id", "item_id", F.size("item").cast("long").alias("n_item"), F.size(F.array_intersect("s", "item")).cast("long").alias("n_shared"))
     return pairs.where(100 * F.col("n_shared") >= percent * F.col("n_item")).groupBy("doc_id", "item_id").agg(
         F.max_by("n_item", "n_shared").alias("n_item"), F.max("n_shared").alias("n_shared"))
