@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ SPACE = CODES**3
 TRAIN_ROWS = 4000  # labelled texts of each label to learn from, at most
 TRAIN_CHARS = 20_000  # longer texts are not learnt from
 SHARPNESS = 6.0
+SPEAKS = 15.0  # evidence (likelihood ratio) from which a window is learnt as toxic in every toxic text that holds it
 LANDMARKS = 192
 PAIRS = 32  # landmarks that are two words
 CLEAN_WORDS = 10_000
@@ -28,6 +30,7 @@ ROUNDS = 5
 THRESHOLD = 0.3
 CACHE = 150_000
 
+REPEATED = re.compile(r"(.)\1+")
 _TABLE = np.zeros(0x110000, np.uint8)
 for _c in range(0x110000):
     if (_s := chr(_c)).isalpha():
@@ -56,6 +59,7 @@ def candidates(text: str) -> list[str]:
 def kernel_features(words: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Gap-weighted triples of every word as (word number, triple, value), of norm 1: a triple counts DECAY to the power
     of the characters it spans, so that inserted characters lower a match without ending it. Both ends count as characters."""
+    words = [REPEATED.sub(r"\1", w) for w in words]  # a doubled letter is read as one
     size = np.array([len(w) + 2 for w in words])
     flat = codes[np.frombuffer("".join([f" {w} " for w in words]).encode("utf-32-le"), np.uint32)].astype(np.int64)
     row = np.repeat(np.arange(len(words)), size)
@@ -114,10 +118,16 @@ def fit(texts: list[str], toxic: list[int], codes: np.ndarray = _TABLE) -> dict:
     """A support vector machine on labelled texts, each a bag of windows: its words and its pairs of neighbouring words.
 
     A text's value is that of its highest window. Clean texts want all windows under -1, toxic texts one over 1: the
-    machine is trained on the best window of every toxic text and windows of clean ones, then the best windows are chosen
-    anew (multiple-instance learning). Frequencies by label only choose landmarks and the first windows; none is left out
-    by a test. A pair's kernel is the product of its words'. A logistic regression turns the highest value and the number
-    of windows over 0 into a probability.
+    machine is trained on the best window of every toxic text, and those of its windows that speak for toxicity by
+    themselves (``SPEAKS``; a text shares one vote among them), and windows of clean ones, then the best windows are chosen
+    anew (multiple-instance learning). A clean window weighs less the more often toxic texts have it. A pair's kernel is the
+    product of its words'. A logistic regression turns the highest value and the number of windows over 0 into a
+    probability.
+
+    What bounds the machine, whatever the texts: landmarks are chosen from the 400 words that speak most for toxicity and
+    the 400 most frequent words of clean texts; the clean side begins with ``CLEAN_WORDS`` words (half of them the most
+    frequent, half by a hash) and half as many pairs, and each round adds the ``HARD_WORDS`` highest of all other words and
+    pairs of clean texts, so that none of them is out of its reach.
     """
     empty = {"count": 1, "words": 1, "starts": np.zeros(SPACE + 1, np.int32), "mark": np.empty(0, np.int16), "value": np.empty(0, np.float32), "weights": np.zeros(1), "bias": -1.0, "pairs": np.zeros(0, np.float32), "pair_bias": -1.0, "doc": (1.0, 0.0, -3.0)}
     texts, toxic = zip(*sorted(dict(zip(texts, toxic, strict=True)).items()), strict=True) if texts else ((), ())  # copies say nothing new
@@ -176,16 +186,19 @@ def fit(texts: list[str], toxic: list[int], codes: np.ndarray = _TABLE) -> dict:
     clean_p = clean_pairs[pb_[clean_pairs] > 0]
     value, value_p, seen = g, gp, None
     for _ in range(ROUNDS):
-        best = []
+        best, vote = [], []
         for k in np.flatnonzero(y):
             w, q = own[k], pair_own[k]
             i, j = (int(w[np.argmax(value[w])]) if len(w) else -1), (int(q[np.argmax(value_p[q])]) if len(q) else -1)
-            if i >= 0:
-                best.append(size + j if j >= 0 and value_p[j] > value[i] else i)
+            mine = {size + j if j >= 0 and value_p[j] > value[i] else i} if i >= 0 else set()
+            mine |= set(w[g[w] > SPEAKS].tolist()) | set((size + q[gp[q] > SPEAKS]).tolist())
+            best.extend(sorted(mine))
+            vote.extend([1 / len(mine)] * len(mine) if mine else [])
         if best == seen:
             break
         seen = best
-        win, times = np.unique(best, return_counts=True)
+        win, place = np.unique(best, return_inverse=True)
+        times = np.bincount(place, vote)
         up_w, up_p = win[win < size], win[win >= size] - size
         if not len(win) or not len(clean_w):
             return empty
@@ -198,6 +211,9 @@ def fit(texts: list[str], toxic: list[int], codes: np.ndarray = _TABLE) -> dict:
         sign = np.concatenate([np.ones(len(up_w)), -np.ones(len(clean_w)), np.ones(len(up_p)), -np.ones(len(clean_p))])
         weight = np.ones(len(x))
         weight[sign > 0] = times  # a toxic text, a vote
+        # a window that toxic texts have far more often than clean ones says little as a clean one
+        weight[len(up_w) : len(wk)] = b[clean_w] / n0 / (b[clean_w] / n0 + a[clean_w] / n1)
+        weight[len(wk) + len(up_p) :] = pb_[clean_p] / n0 / (pb_[clean_p] / n0 + pa_[clean_p] / n1)
         for side in (1, -1):
             weight[sign == side] *= len(x) / (2 * weight[sign == side].sum())
         w = train_svm(x, sign, weight)
