@@ -89,12 +89,16 @@ def _dense(words: list[str], codes: np.ndarray) -> np.ndarray:
 
 def train_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3, steps: int = 30) -> np.ndarray:
     """Linear SVM with squared hinge loss by Newton steps; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
+    w, blocks = np.zeros(x.shape[1] + 1), range(0, len(x), 2048)  # whole copies of x would fill the driver's memory
     for _ in range(steps):
-        active = y * (x @ w) < 1
-        a, c = x[active], weight[active]
-        new = np.linalg.solve((a * c[:, None]).T @ a + penalty * weight.sum() * np.eye(x.shape[1]), a.T @ (c * y[active]))
+        gram, right = penalty * weight.sum() * np.eye(len(w)), np.zeros(len(w))
+        for k in blocks:
+            part = np.hstack([x[k : k + 2048].astype(float), np.ones((len(x[k : k + 2048]), 1))])
+            active = y[k : k + 2048] * (part @ w) < 1
+            part, c = part[active], weight[k : k + 2048][active]
+            gram += (part * c[:, None]).T @ part
+            right += part.T @ (c * y[k : k + 2048][active])
+        new = np.linalg.solve(gram, right)
         if np.allclose(new, w, atol=1e-9):
             break
         w = new
@@ -175,11 +179,10 @@ def fit(texts: list[str], toxic: list[int], codes: np.ndarray = _TABLE) -> dict:
     like = np.exp(SHARPNESS * (chosen @ chosen.T - 1))
     root, root2 = _root(like[:m, :m]), _root(like[m : m + n2, m : m + n2] * like[m + n2 :, m + n2 :]) if n2 else np.zeros((0, 0))
     del chosen
-    rows = lambda some: np.vstack([kernel_rows([words[k] for k in some[j : j + 5000]], model, codes) for j in range(0, len(some), 5000)])
     first, second = np.zeros((size, n2), np.float32), np.zeros((size, n2), np.float32)
-    for j in range(0, size, 5000):
-        r = kernel_rows(words[j : j + 5000], model, codes)
-        first[j : j + 5000], second[j : j + 5000] = r[:, m : m + n2], r[:, m + n2 :]
+    for j in range(0, size, 2000):
+        r = kernel_rows(words[j : j + 2000], model, codes)
+        first[j : j + 2000], second[j : j + 2000] = r[:, m : m + n2], r[:, m + n2 :]
     rest = np.setdiff1d(np.flatnonzero(b > 0), clean_first[: CLEAN_WORDS // 2])
     rest = sorted(rest.tolist(), key=lambda k: (hash_of(words[k]), words[k]))[: CLEAN_WORDS // 2]
     clean_w = np.unique(np.array(clean_first[: CLEAN_WORDS // 2] + rest, np.int64))
@@ -204,8 +207,9 @@ def fit(texts: list[str], toxic: list[int], codes: np.ndarray = _TABLE) -> dict:
             return empty
         wk = np.concatenate([up_w, clean_w])
         pk = np.concatenate([up_p, clean_p]).astype(np.int64)
-        x = np.zeros((len(wk) + len(pk), m + n2 + 1))
-        x[: len(wk), :m] = rows(wk)[:, :m] @ root
+        x = np.zeros((len(wk) + len(pk), m + n2 + 1), np.float32)
+        for j in range(0, len(wk), 2000):
+            x[j : min(j + 2000, len(wk)), :m] = kernel_rows([words[k] for k in wk[j : j + 2000]], model, codes)[:, :m] @ root
         x[len(wk) :, m : m + n2] = (first[left[pk]] * second[right[pk]]) @ root2
         x[len(wk) :, -1] = 1
         sign = np.concatenate([np.ones(len(up_w)), -np.ones(len(clean_w)), np.ones(len(up_p)), -np.ones(len(clean_p))])
@@ -219,7 +223,7 @@ def fit(texts: list[str], toxic: list[int], codes: np.ndarray = _TABLE) -> dict:
         w = train_svm(x, sign, weight)
         model["weights"], model["bias"] = root @ w[:m], float(w[-1])
         model["pairs"], model["pair_bias"] = (root2 @ w[m : m + n2]).astype(np.float32), float(w[-1] + w[-2])
-        value = np.concatenate([word_scores(words[j : j + 5000], model, codes) for j in range(0, size, 5000)])
+        value = np.concatenate([word_scores(words[j : j + 2000], model, codes) for j in range(0, size, 2000)])
         value_p = np.concatenate([(first[left[j : j + 50_000]] * second[right[j : j + 50_000]]) @ model["pairs"] for j in range(0, len(pair), 50_000)] or [np.empty(0)]) + model["pair_bias"]
         # windows of clean texts that come out too high join the clean side
         hard = lambda v, f: np.flatnonzero((v > -0.5) & (f > 0))
