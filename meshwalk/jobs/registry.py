@@ -18,7 +18,7 @@ from meshwalk.operators import candidates as cand
 from meshwalk.operators import chain as ch
 from meshwalk.operators import graph as gr
 from meshwalk.operators import population as pop
-from meshwalk.operators import runs, searches
+from meshwalk.operators import runs, searches, surrogate
 from meshwalk.operators.mesh import Mesh, anneal_mesh, exchange_mesh
 from meshwalk.sources import text
 from meshwalk.streaming.chain_stats import stream_fx_moments
@@ -811,7 +811,25 @@ def g12_score_candidates(spark, d):
     """Every hundredth point is observed, all others are scored."""
     p = v.points(spark, d, AXES)
     seen = p.where("id % 100 = 0").select("id", obj.rosenbrock(F.col("x")).alias("fx"))
-    return rounded(searches.score_candidates(p, seen, "EI"), "mean", "std", "score")
+    return rounded(surrogate.score_candidates(p, seen, "EI"), "mean", "std", "score")
+
+
+@query(None)
+def g12_score_many(spark, d):
+    """Shipped lines are observed: what quantity, discount and tax say of the price of all others, through inducing points."""
+    t = v.table(spark, d, "lineitem").withColumn("id", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"))
+    p = t.select("id", F.array(*[F.col(c).cast("double") for c in ("l_quantity", "l_discount", "l_tax")]).alias("x"))
+    seen = t.where("l_linestatus = 'F'").select("id", (-F.col("l_extendedprice").cast("double")).alias("fx"))
+    return rounded(surrogate.score_candidates(p, seen, "EI"), "mean", "std", "score")
+
+
+@query(None)
+def g12_surrogate_search(spark, d):
+    """Ten rounds over all points, from every hundredth on."""
+    p = v.points(spark, d, AXES)
+    seen = p.where("id % 100 = 0").select("id", obj.rosenbrock(F.col("x")).alias("fx"))
+    s = surrogate.surrogate_search(p, seen, obj.rosenbrock_array, 10, shared_dir(spark), "EI", interval=5)
+    return rounded(s.select("step", "id", "fx", "best_id", "best_fx"), "fx", "best_fx")
 
 
 @query(None)

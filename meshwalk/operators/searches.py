@@ -1,4 +1,4 @@
-"""Searches of many starts or candidates at once: simplex minimisation and surrogate scoring."""
+"""Searches from many starts at once: simplex minimisation."""
 
 from __future__ import annotations
 
@@ -7,15 +7,12 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from meshwalk.operators.chain import best_row
 from meshwalk.operators.runs import evaluate_batch
 
 #: Fixed values of the simplex method: reflection, expansion, contraction, shrinking.
 REFLECT, EXPAND, CONTRACT, SHRINK = 1.0, 2.0, 0.5, 0.5
-#: Probes that the surrogate is fitted to on the driver, at most.
-MOST_PROBES = 1000
 PROBE = "id long, x array<double>, fx double, iterations long, evaluations long, converged boolean"
 
 
@@ -82,94 +79,3 @@ def multistart_simplex(starts: DataFrame, objective: Callable, scales: list[floa
 def best_start(found: DataFrame) -> DataFrame:
     """The search with the smallest value; ties go to the smallest id."""
     return best_row(found, ["id"], ["id", "x", "fx"])
-
-
-class Surrogate:
-    """Gaussian process on standardised points with a Gaussian kernel; lengths are chosen on a small grid by likelihood."""
-
-    def __init__(self, x: np.ndarray, y: np.ndarray, mean: np.ndarray, std: np.ndarray, noise: float = 1e-6):
-        self.mean, self.std = mean, np.where(std > 0, std, 1.0)
-        self.x, self.my, self.sy = (x - self.mean) / self.std, y.mean(), y.std() or 1.0
-        z, d2 = (y - self.my) / self.sy, ((self.x[:, None] - self.x[None]) ** 2).sum(axis=2)
-        best = None
-        for length in np.sqrt(x.shape[1]) * 2.0 ** np.arange(-4, 3.5, 0.5):
-            chol = np.linalg.cholesky(np.exp(-0.5 * d2 / length**2) + noise * np.eye(len(x)))
-            a = np.linalg.solve(chol.T, np.linalg.solve(chol, z))
-            like = -0.5 * z @ a - np.log(np.diag(chol)).sum()
-            if best is None or like > best[0]:
-                best = (like, length, chol, a)
-        _, self.length, self.chol, self.a = best
-
-    def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Mean and standard deviation at the rows of x."""
-        z = (x - self.mean) / self.std
-        d2 = (z * z).sum(axis=1)[:, None] + (self.x * self.x).sum(axis=1)[None] - 2 * z @ self.x.T
-        k = np.exp(-0.5 * np.maximum(d2, 0) / self.length**2)
-        v = np.linalg.solve(self.chol, k.T)
-        return self.my + self.sy * (k @ self.a), self.sy * np.sqrt(np.maximum(1 - (v * v).sum(axis=0), 0))
-
-    def path(self, seed: int, features: int):
-        """A function drawn from the posterior, by random cosine features (Thompson sampling)."""
-        r = np.random.default_rng(seed)
-        w, b = r.normal(size=(self.x.shape[1], features)) / self.length, r.uniform(0, 2 * np.pi, features)
-        phi = lambda z: np.sqrt(2.0 / features) * np.cos(z @ w + b)
-        # the prior draw, moved by what the probes say against it
-        theta = r.normal(size=features)
-        z = self.chol @ (self.chol.T @ self.a)
-        shift = np.linalg.solve(self.chol.T, np.linalg.solve(self.chol, z - phi(self.x) @ theta))
-
-        def f(x):
-            q = (x - self.mean) / self.std
-            d2 = (q * q).sum(axis=1)[:, None] + (self.x * self.x).sum(axis=1)[None] - 2 * q @ self.x.T
-            return self.my + self.sy * (phi(q) @ theta + np.exp(-0.5 * np.maximum(d2, 0) / self.length**2) @ shift)
-
-        return f
-
-
-def _normal_cdf(z: np.ndarray) -> np.ndarray:
-    from math import erf
-
-    return 0.5 * (1 + np.vectorize(erf, otypes=[float])(z / np.sqrt(2.0)))
-
-
-def score_candidates(mesh: DataFrame, observed: DataFrame, score: str = "TS", seed: int = 0, features: int = 2000, most: int = MOST_PROBES) -> DataFrame:
-    """(id, mean, std, score) of every row of ``mesh`` (id, x) that is not in ``observed`` (id, fx): posterior of -fx, as the
-    search looks for its largest value, and the score TS (a draw of the posterior), EI (expected improvement) or PI
-    (probability of it). The next probe is the row of the largest score.
-
-    Points are standardised over the whole mesh. The fit is on the driver and takes at most ``most`` probes, else it raises:
-    it is cubic in their number. All candidates are scored by tasks, in batches.
-    """
-    if score not in ("TS", "EI", "PI"):
-        raise ValueError("score is TS, EI or PI")
-    d = len(mesh.select("x").first()[0])
-    m = mesh.agg(*[f(F.col("x")[k]) for f in (F.avg, F.stddev_pop) for k in range(d)]).first()
-    probes = mesh.select("id", "x").join(observed.select("id", "fx"), "id").orderBy("id").limit(most + 1).collect()
-    if not 0 < len(probes) <= most:
-        raise ValueError(f"the surrogate is fitted to 1 to {most} probes")
-    y = -np.array([p["fx"] for p in probes], float)
-    gp = Surrogate(np.array([p["x"] for p in probes], float), y, np.array(m[:d], float), np.array(m[d:], float))
-    top, draw = y.max(), gp.path(seed, features) if score == "TS" else None
-
-    def run(batches):
-        for b in batches:
-            if len(b):
-                x = np.stack(b["x"].to_numpy()).astype(float)
-                mean, std = gp.predict(x)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    z = np.where(std > 0, (mean - top) / std, np.where(mean > top, np.inf, -np.inf))
-                if score == "TS":
-                    s = draw(x)
-                elif score == "PI":
-                    s = _normal_cdf(z)
-                else:
-                    s = np.where(std > 0, (mean - top) * _normal_cdf(z) + std * np.exp(-0.5 * np.where(np.isfinite(z), z, 0) ** 2) / np.sqrt(2 * np.pi), np.maximum(mean - top, 0))
-                yield pd.DataFrame({"id": b["id"], "mean": mean, "std": std, "score": s})
-
-    left = mesh.select("id", "x").join(observed.select("id"), "id", "left_anti")
-    return left.mapInPandas(run, "id long, mean double, std double, score double")
-
-
-def next_probe(scores: DataFrame) -> DataFrame:
-    """The candidate of the largest score; ties go to the smallest id."""
-    return scores.where(~F.isnan("score")).agg(F.max_by(F.struct("id", "score"), F.struct("score", -F.col("id"))).alias("b")).select("b.*")

@@ -116,31 +116,6 @@ def test_simplex_reaches_the_minimum_from_everywhere(spark):
     assert all(r.iterations == 3 and not r.converged for r in cut.collect())
 
 
-def test_surrogate_scores_against_plain_formulas(spark):
-    grid = [(k, [-2 + 4 * (k % 21) / 20, -2 + 4 * (k // 21) / 20]) for k in range(441)]
-    mesh = spark.createDataFrame(grid, "id long, x array<double>").repartition(3)
-    f = lambda x: (x[0] - 0.6) ** 2 + (x[1] + 0.4) ** 2
-    seen = spark.createDataFrame([(k, f(x)) for k, x in grid if k % 37 == 0], "id long, fx double")
-    x = np.array([g[1] for g in grid])
-    z = (x - x.mean(axis=0)) / x.std(axis=0)
-    at = np.array([k for k, _ in grid if k % 37 == 0])
-    y = -np.array([f(v) for v in x[at]])
-    gp = searches.Surrogate(x[at], y, x.mean(axis=0), x.std(axis=0))
-    k = lambda a, b: np.exp(-0.5 * ((a[:, None] - b[None]) ** 2).sum(axis=2) / gp.length**2)
-    inv = np.linalg.inv(k(z[at], z[at]) + 1e-6 * np.eye(len(at)))
-    mean = y.mean() + y.std() * k(z, z[at]) @ inv @ ((y - y.mean()) / y.std())
-    std = y.std() * np.sqrt(np.maximum(1 - np.einsum("ij,jk,ik->i", k(z, z[at]), inv, k(z, z[at])), 0))
-    for score in ("EI", "PI", "TS"):
-        got = {r.id: r for r in searches.score_candidates(mesh, seen, score).collect()}
-        assert len(got) == 441 - len(at)
-        for i, r in got.items():
-            assert abs(r["mean"] - mean[i]) < 1e-4 and abs(r["std"] - std[i]) < 1e-3
-        best = searches.next_probe(searches.score_candidates(mesh, seen, score)).first()
-        assert best.score == max(r.score for r in got.values()) and np.abs(x[best.id] - [0.6, -0.4]).max() < 0.9
-    with pytest.raises(ValueError):
-        searches.score_candidates(mesh, seen, most=3)
-
-
 def test_growing_logs_are_read_once(spark, tmp_path):
     from meshwalk.streaming.chain_stats import stream_fx_moments
 
