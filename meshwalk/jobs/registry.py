@@ -806,6 +806,13 @@ def g11_multistart_simplex(spark, d):
     return rounded(s.select("id", "fx", "iterations", "evaluations", "converged", *[F.col("x")[k].alias(f"x{k + 1}") for k in range(AXES)]), "fx", *[f"x{k + 1}" for k in range(AXES)])
 
 
+@query(None)
+def g11_simplex_log(spark, d):
+    """The best point after every iteration of every search."""
+    s = searches.simplex_log(_starts(spark, d, "id"), obj.rosenbrock_array, [0.25] * AXES, [-5.0] * AXES, [5.0] * AXES).where("kind = 'iteration'")
+    return rounded(s.select("id", "step", "fx", *[F.col("x")[k].alias(f"x{k + 1}") for k in range(AXES)]), "fx", *[f"x{k + 1}" for k in range(AXES)])
+
+
 @query(None)
 def g12_score_candidates(spark, d):
     """Every hundredth point is observed, all others are scored."""

@@ -116,6 +116,53 @@ def test_simplex_reaches_the_minimum_from_everywhere(spark):
     assert all(r.iterations == 3 and not r.converged for r in cut.collect())
 
 
+def test_simplex_searches_in_parts_and_their_histories(spark):
+    box, few = ([-1.5, -1.5], [5.0, 5.0]), starts(spark, 30, 2, "id").withColumn("x", F.transform("x", lambda v: v / 6))
+    allowed = lambda x: x[:, 0] + x[:, 1] < 4
+    whole = {r.id: r for r in searches.multistart_simplex(few, obj.rosenbrock_array, [0.25, 0.25], *box, allowed=allowed).collect()}
+    part = searches.multistart_simplex(few, obj.rosenbrock_array, [0.25, 0.25], *box, allowed=allowed, maxiter=7)
+    for n in (7, 20, 10_000):
+        part = searches.continue_simplex(part, obj.rosenbrock_array, *box, allowed=allowed, maxiter=n)
+    assert {r.id: r for r in part.collect()} == whole
+    log = searches.simplex_log(few, obj.rosenbrock_array, [0.25, 0.25], *box, allowed=allowed).collect()
+    for i, r in whole.items():
+        best = sorted((q.step, q.x, q.fx) for q in log if q.id == i and q.kind == "iteration")
+        calls = sorted((q.step, q.x, q.fx) for q in log if q.id == i and q.kind == "evaluation")
+        assert [q[0] for q in best] == list(range(r.iterations + 1)) and best[-1][1:] == (r.x, r.fx)
+        assert all(a[2] >= b[2] for a, b in zip(best[1:], best[2:], strict=False))
+        assert [q[0] for q in calls] == list(range(1, len(calls) + 1)) and len(calls) <= r.evaluations and min(q[2] for q in calls) == r.fx
+        assert all(-1.5 < v < 5 for q in calls for v in q[1]) and all(sum(q[1]) < 4 for q in calls)
+        # a plain search, point by point
+        assert plain_simplex(best[0][1], lambda x: obj.rosenbrock_array(np.array([x]))[0] if all(-1.5 < v < 5 for v in x) and sum(x) < 4 else math.inf) == [(q[1], q[2]) for q in best]
+
+
+def plain_simplex(x, f):
+    """Best point after each iteration of one search."""
+    s = [(list(x), f(x))] + [((p := [v + 0.25 * (k == j) for j, v in enumerate(x)]), f(p)) for k in range(len(x))]
+    out = [s[0]]
+    while True:
+        s.sort(key=lambda p: p[1])
+        if out[-1] is None:
+            out[-1] = s[0]
+        if max(abs(a - b) for p, _ in s[1:] for a, b in zip(p, s[0][0], strict=True)) <= 1e-4 and max(abs(q - s[0][1]) for _, q in s[1:]) <= 1e-4:
+            return out
+        out.append(None)
+        mid, (worst, high) = np.mean([p for p, _ in s[:-1]], axis=0), s[-1]
+        go = lambda c: (lambda p: (list(p), f(list(p))))(mid + c * (mid - np.array(worst)))
+        r = go(1.0)
+        if r[1] < s[0][1]:
+            e = go(2.0)
+            s[-1] = e if e[1] < r[1] else r
+        elif r[1] < s[-2][1]:
+            s[-1] = r
+        else:
+            c = go(0.5) if r[1] < high else go(-0.5)
+            if (c[1] <= r[1]) if r[1] < high else (c[1] < high):
+                s[-1] = c
+            else:
+                s[1:] = [((p := list(np.array(s[0][0]) + 0.5 * (np.array(q) - np.array(s[0][0])))), f(p)) for q, _ in s[1:]]
+
+
 def test_growing_logs_are_read_once(spark, tmp_path):
     from meshwalk.streaming.chain_stats import stream_fx_moments
 
