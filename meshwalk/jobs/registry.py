@@ -21,7 +21,7 @@ from meshwalk.operators import population as pop
 from meshwalk.operators import runs, searches, surrogate
 from meshwalk.operators.mesh import Mesh, anneal_mesh, exchange_mesh
 from meshwalk.sources import text
-from meshwalk.streaming.chain_stats import stream_fx_moments
+from meshwalk.streaming.chain_stats import stream_chain_stats, stream_fx_moments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -618,6 +618,20 @@ def g13_chain_stats_stream(spark, d):
     return rounded(stream_fx_moments(spark, s), "mean", "stderr", "best")
 
 
+@query(f"""SELECT t_index, n, mean, stderr, {s6('acceptance')} AS acceptance, best_step, best_walker, {s6('best_fx')} AS best_fx FROM
+(SELECT t_index, count(*) AS n, {s6('avg(fx)')} AS mean, {s6('sqrt(var_pop(fx) / (count(*) - 1))')} AS stderr FROM ({C}) WHERE step >= {START} GROUP BY t_index) JOIN ({MOVES}) USING (t_index) JOIN
+(SELECT t_index, step AS best_step, walker AS best_walker, fx AS best_fx, row_number() OVER (PARTITION BY t_index ORDER BY fx, {ORD}) AS k FROM ({C})) USING (t_index) WHERE k = 1""")
+def g13_chain_stream(spark, d):
+    """The log comes in three files, in the order of its steps, a batch each."""
+    c = v.chain(spark, d).select("t_index", "fx", "x", *v.TIES)
+    a, b = c.agg(F.percentile("step", F.array(F.lit(0.3), F.lit(0.7)))).first()[0]
+    path, state = shared_dir(spark), shared_dir(spark)
+    for part in (F.col("step") <= a, (F.col("step") > a) & (F.col("step") <= b), F.col("step") > b):
+        c.where(part).write.mode("append").parquet(path)
+        s = stream_chain_stats(spark, spark.readStream.schema(c.schema).parquet(path), v.TIES, START, state)
+    return rounded(s.select("t_index", "n", "mean", "stderr", "acceptance", F.col("best.step").alias("best_step"), F.col("best.walker").alias("best_walker"), F.col("best.fx").alias("best_fx")), "mean", "stderr", "acceptance", "best_fx")
+
+
 # --- texts, written to the shared folder and read back
 @query(f"SELECT rank, step, walker, {s6('temp')} AS temp, {s6('fx')} AS fx, {s6('x1')} AS x1, {s6('x2')} AS x2 FROM ({C})")
 def a01_read_chain(spark, d):

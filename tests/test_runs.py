@@ -178,3 +178,31 @@ def test_growing_logs_are_read_once(spark, tmp_path):
     assert offsets == ["0", "1"]
     again = go()
     assert again == got
+
+
+def test_a_log_in_parts_has_the_statistics_of_the_whole(spark, tmp_path):
+    from meshwalk.streaming.chain_stats import stream_chain_stats
+
+    schema, r = "t_index long, step long, walker long, fx double, x array<double>", np.random.default_rng(2)
+    rows = [(int(t), s, w, float(r.normal()), [float(r.integers(3))]) for s in range(60) for w in range(2) for t in [r.integers(3)]]
+    rows[5] = (*rows[5][:3], float("nan"), rows[5][4])
+    rows[6] = (*rows[6][:3], None, None)
+    rows += [(9, 41, 0, -7.0, [1.0])]
+    log, order = str(tmp_path / "log"), ["step", "walker"]
+    put = lambda part: spark.createDataFrame(part, schema).repartition(2).write.mode("append").parquet(log)
+    go = lambda folder, n=None: {q.t_index: q for q in stream_chain_stats(spark, spark.readStream.schema(schema).option("maxFilesPerTrigger", 99).parquet(log), order, 10, str(tmp_path / folder), n).collect()}
+    for lo, hi in ((0, 20), (20, 40), (40, 60)):
+        put([q for q in rows if lo <= q[1] < hi])
+        got = go("parts", 7)
+    whole, chain = go("whole"), spark.createDataFrame(rows, schema)
+    want = {q.t_index: q.acceptance for q in ch.move_ratio(chain, order, 10).collect()}
+    assert set(got) == set(whole) == {0, 1, 2, 9}
+    for t, q in got.items():
+        f = np.array([p[3] for p in rows if p[0] == t and p[1] >= 10 and p[3] is not None and math.isfinite(p[3])])
+        assert q.n == len(f) and abs(q["mean"] - f.mean()) < 1e-12 and (q.stderr is None if len(f) == 1 else abs(q.stderr - f.std(ddof=0) / (len(f) - 1) ** 0.5) < 1e-12)
+        assert q.best == min((p[3], p[1], p[2], p[4]) for p in rows if p[0] == t and p[3] is not None and not math.isnan(p[3]))
+        assert abs(q.acceptance - want[t]) < 1e-12 and whole[t].best == q.best and abs(whole[t].acceptance - q.acceptance) < 1e-12
+    assert len(list((tmp_path / "parts/result").iterdir())) == 2 and go("parts") == got
+    put([(0, 3, 0, 1.0, [1.0])])
+    with pytest.raises(Exception, match="come before"):
+        go("parts")
