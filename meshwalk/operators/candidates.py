@@ -33,24 +33,30 @@ def random_points(spark: SparkSession, mins: list[float], maxs: list[float], n:
 
 def init_walkers(spark: SparkSession, mins: list[float], maxs: list[float], n: int, allowed=None, initial: DataFrame | None = None, seed: int = 0, max_tries: int = 100) -> DataFrame:
     """(walker, x): the rows of ``initial`` (walker, x); if they are fewer than n, all are judged and those missing or not
-    ``allowed`` are drawn anew, round by round, until none is left."""
+    ``allowed`` (a function of a column, of built-in functions) are drawn anew until they are.
+
+    A walker is drawn where its row is, its draws being functions of seed, walker and round, and only as many as it needs: one
+    job, whatever the number of rounds. A walker without an allowed point after ``max_tries`` draws is an error."""
     if initial is not None and initial.count() >= n:
         return initial.where(F.col("walker") < n)
     ok = allowed or (lambda x: F.lit(True))
-    draw = lambda r: F.array(*[F.lit(float(a)) + F.lit(float(b - a)) * uniform(seed, F.col("walker"), r, k) for k, (a, b) in enumerate(zip(mins, maxs, strict=True))])
-    left = spark.range(n).select(F.col("id").alias("walker"))
-    done = None
-    if initial is not None:
-        done = cut(initial.where(ok(F.col("x"))), "walkers")
-        left = left.join(done, "walker", "left_anti")
-    for r in range(max_tries):
-        drawn = cut(left.withColumn("x", draw(r)).withColumn("ok", ok(F.col("x"))), "walkers")
-        good = drawn.where("ok").select("walker", "x")
-        done = good if done is None else done.unionByName(good)
-        left = drawn.where("not ok").select("walker")
-        if left.isEmpty():
-            return done
-    raise RuntimeError(f"some walkers are not allowed after {max_tries} rounds")
+
+    def draw(found: Column, r: Column) -> Column:
+        x = F.array(*[F.lit(float(a)) + F.lit(float(b - a)) * uniform(seed, F.col("walker"), r, k) for k, (a, b) in enumerate(zip(mins, maxs, strict=True))])
+        return F.when(found["ok"], found).otherwise(F.struct(x.alias("x"), F.coalesce(ok(x), F.lit(False)).alias("ok")))
+
+    none = F.struct(F.lit(None).cast("array<double>").alias("x"), F.lit(False).alias("ok"))
+    walkers = spark.range(n).select(F.col("id").alias("walker"))
+    if initial is None:
+        walkers = walkers.withColumn("start", F.lit(None).cast("array<double>"))
+    else:
+        walkers = walkers.join(initial.where(ok(F.col("x"))).select("walker", F.col("x").alias("start")), "walker", "full")
+    found = F.aggregate(F.sequence(F.lit(0), F.lit(max_tries - 1)), none, draw)
+    found = F.when(F.col("start").isNotNull(), F.struct(F.col("start").alias("x"), F.lit(True).alias("ok"))).otherwise(found)
+    done = cut(walkers.withColumn("found", found).select("walker", F.when(F.col("found.ok"), F.col("found.x")).alias("x")), "walkers")
+    if not done.where("x IS NULL").isEmpty():
+        raise RuntimeError(f"some walkers are not allowed after {max_tries} rounds")
+    return done
 
 
 def temperature_schedule(spark: SparkSession, n: int, tmin=None, tmax=None, bmin=None, bmax=None, log: bool = True) -> DataFrame:
