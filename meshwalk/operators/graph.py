@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshwalk.functions.shared import Scratch, cut
+from meshwalk.operators.metric import Cells
 from meshwalk.operators.ordered import Ordered, few
 
 
@@ -49,13 +50,16 @@ def radius_neighbors(points: DataFrame, radius: float, dim: int, unit: list[floa
     """Directed pairs (src, dst) at most ``radius`` apart, coordinates first divided by ``unit``; points are (id, x). A point
     is its own neighbour only with ``self_loop``.
 
-    Points fall into cells a little wider than the radius (on three axes at most). Each pair is made once: one side goes to
-    its own cell and the 13 (in one and two dimensions 1 and 4) after it, the sides meet on the cell, the distance decides,
+    In up to three dimensions points fall into cells a little wider than the radius. Each pair is made once: one side goes
+    to its own cell and the 13 (in one and two dimensions 1 and 4) after it, the sides meet on the cell, the distance decides,
     and the pairs are mirrored. In cells with more than ``cell_points`` points the other side is dealt to several parts, and
-    the first side goes to all of them.
+    the first side goes to all of them. In more dimensions cells lie around pivots instead (:class:`Cells`).
     """
-    axes, width = min(dim, 3), 1.001 * radius
+    axes, width = dim, 1.001 * radius
     x = F.array(*[F.col("x")[k] / F.lit(float(unit[k])) for k in range(dim)]) if unit else F.col("x")
+    if dim > 3:
+        p = points.select("id", (x if unit else F.slice("x", 1, dim)).alias("x"))
+        return _mirrored(Cells(p, radius, cell_points).pairs(), p, self_loop)
     c = [f"c{k}" for k in range(axes)]
     p = points.select("id", x.alias("x")).select("id", "x", *[F.floor(F.col("x")[k] / width).alias(f"c{k}") for k in range(axes)])
     steps = [s for s in itertools.product((-1, 0, 1), repeat=axes) if s >= (0,) * axes]
@@ -66,6 +70,10 @@ def radius_neighbors(points: DataFrame, radius: float, dim: int, unit: list[floa
     b = p.select(F.col("id").alias("dst"), F.col("x").alias("xb"), *c).join(full, c, "left").withColumn("part", F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     d2 = sum(((F.col("xa")[k] - F.col("xb")[k]) * (F.col("xa")[k] - F.col("xb")[k]) for k in range(dim)), F.lit(0.0))
     once = a.join(b, [*c, "part"]).where((~F.col("own") | (F.col("src") < F.col("dst"))) & (F.sqrt(d2) <= radius))
+    return _mirrored(once, p, self_loop)
+
+
+def _mirrored(once: DataFrame, p: DataFrame, self_loop: bool) -> DataFrame:
     both = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
     pairs = once.select(F.inline(both))
     return pairs.unionByName(p.select(F.col("id").alias("src"), F.col("id").alias("dst"))) if self_loop else pairs
