@@ -66,6 +66,17 @@ def a06_extract_tag(spark, d):
     return text.extract_tag(a05_tag_lines(spark, d), "click")
 
 
+@query("SELECT 'run' || (user_id % 5) AS dir, event_type AS tag, event_id || ' ' || user_id AS line FROM events")
+def a06_split_tags(spark, d):
+    """Combined logs of five directories, written, split into one output a directory and tag in one pass, and read back."""
+    logs, out = shared_dir(spark), shared_dir(spark)
+    e = v.table(spark, d, "events")
+    e = e.select(F.concat(F.lit("run"), (F.col("user_id") % 5).cast("string")).alias("folder"), "event_type", "event_id", F.concat_ws(" ", F.col("event_id").cast("string"), F.col("user_id").cast("string")).alias("line"))
+    text.write_by(e, logs, "folder", ["event_id"], F.concat(F.lit("<"), F.col("event_type"), F.lit("> "), F.col("line")))
+    text.write_tags(spark, f"{logs}/*/*.txt", out, file_bytes=1 << 20)
+    return text.read_tags(spark, out).select(F.regexp_replace("dir", "^folder=", "").alias("dir"), "tag", "line")
+
+
 # --- candidates: as many as the tables have rows, so that the work grows with them
 def _n(spark, d, name="orders"):
     return v.table(spark, d, name).count()
