@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folders of the open scopes, the innermost last.
-_scopes: list[str] = []
+class _Scopes(threading.local):
+    """Folders of this thread's open scopes, the innermost last: runs in several threads keep apart."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_scopes = _Scopes()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     Where that is unset, a local folder is used if the master is local (tests); elsewhere executors would not see each
     other's files, so this raises.
     """
-    base = _scopes[-1] if _scopes else spark.conf.get("spark.checkpoint.dir", None)
+    base = _scopes.paths[-1] if _scopes.paths else spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.conf.get("spark.master", "")
         if not (master == "local" or master.startswith("local[")):
@@ -46,11 +53,11 @@ def discard(spark: SparkSession, path: str) -> None:
 def scope(spark: SparkSession) -> Iterator[str]:
     """All that is cut inside goes when the scope ends; what is to stay is cut after it, or written elsewhere before."""
     path = shared_dir(spark)
-    _scopes.append(path)
+    _scopes.paths.append(path)
     try:
         yield path
     finally:
-        _scopes.remove(path)
+        _scopes.paths.remove(path)
         discard(spark, path)
 
 
