@@ -10,14 +10,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-class _Scopes(threading.local):
-    """Folders of this thread's open scopes, the innermost last: runs in several threads keep apart."""
-
-    def __init__(self):
-        self.paths: list[str] = []
-
-
-_scopes = _Scopes()
+#: Folders of each thread's open scopes, the innermost last: runs in several threads keep apart. A plain dict, because it
+#: travels with functions that run in tasks.
+_scopes: dict[int, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,7 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     Where that is unset, a local folder is used if the master is local (tests); elsewhere executors would not see each
     other's files, so this raises.
     """
-    base = _scopes.paths[-1] if _scopes.paths else spark.conf.get("spark.checkpoint.dir", None)
+    own = _scopes.get(threading.get_ident())
+    base = own[-1] if own else spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.conf.get("spark.master", "")
         if not (master == "local" or master.startswith("local[")):
@@ -53,11 +49,12 @@ def discard(spark: SparkSession, path: str) -> None:
 def scope(spark: SparkSession) -> Iterator[str]:
     """All that is cut inside goes when the scope ends; what is to stay is cut after it, or written elsewhere before."""
     path = shared_dir(spark)
-    _scopes.paths.append(path)
+    own = _scopes.setdefault(threading.get_ident(), [])
+    own.append(path)
     try:
         yield path
     finally:
-        _scopes.paths.remove(path)
+        own.remove(path)
         discard(spark, path)
 
 
