@@ -136,3 +136,48 @@ def test_search_ends_with_the_candidates(spark, tmp_path):
     with pytest.raises(ValueError):
         surrogate.score_candidates(mesh, seen.limit(0))
     assert surrogate.score_candidates(mesh, spark.createDataFrame([(k, 1.0) for k in range(4)], "id long, fx double")).count() == 0
+
+
+def test_repeated_points_are_fitted_once_by_few_tasks(spark, monkeypatch):
+    g = np.random.default_rng(5)
+    at = g.normal(size=(200, 2))
+    rows = [(k, [float(c) for c in at[k % 200]], float(v)) for k, v in enumerate(g.normal(size=3000))]
+    p, seen, sums = spark.createDataFrame(rows, "id long, x array<double>, y double").repartition(7), [], surrogate._sums
+
+    def spy(places, *rest):
+        seen.append((places.rdd.getNumPartitions(), places.count()))
+        return sums(places, *rest)
+
+    monkeypatch.setattr(surrogate, "TASK_PROBES", 10)
+    monkeypatch.setattr(surrogate, "FIT_TASKS", 4)
+    monkeypatch.setattr(surrogate, "_sums", spy)
+    got = surrogate.fit_inducing(p, at.mean(0), at.std(0), 50, 20)
+    assert seen == [(4, 200)] * 2
+    x, y = got.scale(np.array([r[1] for r in rows])), np.array([r[2] for r in rows])
+    v = got.w @ surrogate.kernel(got.x, x, got.length)
+    assert np.allclose(got.b, v @ ((y - y.mean()) / y.std()), atol=1e-6)
+    assert np.allclose(np.linalg.inv(got.s.T @ got.s), v @ v.T + got.noise * np.eye(50), rtol=1e-4, atol=1e-4)
+
+
+def test_rows_are_scored_in_slabs(spark):
+    p = spark.range(9000).selectExpr("id", "array(double(id)) AS x").coalesce(1)
+    most = surrogate.SLAB
+
+    def run(x):
+        assert len(x) <= most
+        return x[:, 0], x[:, 0], x[:, 0]
+
+    got = surrogate._scored(p, run, surrogate.SCORED, frozenset([7]))
+    assert got.count() == 8999 and got.where("score != id").isEmpty()
+
+
+def test_rows_that_share_places_are_scored_once(spark, monkeypatch):
+    rows = [(k, [float(k % 30), float(k % 7)]) for k in range(2100)]
+    p, scored, seen = spark.createDataFrame(rows, "id long, x array<double>"), surrogate._scored, []
+    o = spark.createDataFrame([(k, float(k % 30)) for k in range(0, 2100, 100)], "id long, fx double")
+    monkeypatch.setattr(surrogate, "_scored", lambda left, *rest: (seen.append(left.count()), scored(left, *rest))[1])
+    got = {r.id: r for r in surrogate.score_candidates(p, o, "EI").collect()}
+    assert seen == [210] and len(got) == 2100 - 21
+    monkeypatch.setattr(surrogate, "FEW_PLACES", 0)
+    for r in surrogate.score_candidates(p, o, "EI").collect():
+        assert abs(r["mean"] - got[r.id]["mean"]) < 1e-9 and abs(r.score - got[r.id].score) < 1e-9
