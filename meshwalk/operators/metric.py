@@ -17,6 +17,8 @@ from meshwalk.operators.ordered import few
 
 #: Own points of a cell up to which it is left whole, and rows of one side that meet in one task.
 CELL_POINTS = 2_000
+#: Bytes of coordinates of one side that meet in one task, at most, where a cell has more rows than ``PARTS`` parts of it.
+SIDE_BYTES, PARTS = 24 << 20, 8
 #: Points of a full cell, about, that choose its pivots, and most pivots of one split. Every point is then dealt by them.
 SAMPLE, PIVOTS = 1_000, 32
 #: Rows of a cell, about, that one task deals to its new cells.
@@ -124,11 +126,19 @@ class Cells:
         own = F.col("own")
         return self.sizes.where("own > 0").select("cell", "own", "guests", (own * (own - 1) / 2 + own * F.col("guests")).cast("long").alias("pairs"))
 
+    def parts(self) -> DataFrame:
+        """(c, pa, pb): into how many parts each cell's own rows, and all of its rows, are dealt: by ``cell_points``, at most
+        ``PARTS`` unless they have more than ``SIDE_BYTES`` then."""
+        dim = self.rows.agg(F.max(F.size("x"))).first()[0] or 1
+        most = max(self.cell_points, SIDE_BYTES // (8 * dim))
+        parts = lambda rows: F.greatest(F.least(F.ceil(rows / self.cell_points), F.lit(PARTS)), F.ceil(rows / most)).cast("int")
+        return self.sizes.where("own > 0").select(F.col("cell").alias("c"), parts(F.col("own")).alias("pa"), parts(F.col("own") + F.col("guests")).alias("pb"))
+
     def pairs(self) -> DataFrame:
         """(src, dst) of different points within the radius, each pair once, in either order. A cell's sides are dealt to
-        parts of about ``cell_points`` rows, and every two parts meet in a task of their own."""
-        n, radius = self.cell_points, self.radius
-        size = few(self.sizes.where("own > 0").select(F.col("cell").alias("c"), F.ceil(F.col("own") / n).cast("int").alias("pa"), F.ceil((F.col("own") + F.col("guests")) / n).cast("int").alias("pb")))
+        :meth:`parts`, and every two parts meet in a task of their own: a row travels once for each part of the other side."""
+        radius = self.radius
+        size = few(self.parts())
         r = self.rows.join(size, self.rows["cell"] == size["c"]).drop("c")
         part = lambda c, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(c)).cast("int")
         every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))

@@ -54,3 +54,14 @@ def test_odd_rows(spark):
     odd = spark.createDataFrame([(0, [0.0] * 4), (1, [0.0] * 4), (2, None), (3, [0.0, None, 0.0, 0.0]), (4, [float("nan"), 0.0, 0.0, 0.0]), (None, [0.0] * 4), (5, [1.0, 0.0, 0.0, 0.0])], "id long, x array<double>")
     assert sorted(map(tuple, gr.radius_neighbors(odd, 1.0, 4).collect())) == [(0, 1), (0, 5), (1, 0), (1, 5), (5, 0), (5, 1)]
     assert gr.radius_neighbors(odd.limit(0), 1.0, 4).isEmpty()
+
+
+def test_a_large_cell_is_dealt_to_few_parts(spark, monkeypatch):
+    x = np.random.default_rng(2).normal(size=(400, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    c = Cells(frame(spark, x), 1.2, 20)
+    assert [(r.pa, r.pb) for r in c.parts().collect()] == [(8, 8)]
+    got = [tuple(sorted(r)) for r in c.pairs().collect()]
+    assert len(got) == len(set(got)) and set(got) == all_pairs(x, 1.2)
+    monkeypatch.setattr("meshwalk.operators.metric.SIDE_BYTES", 64 * 8 * 25)
+    assert [(r.pa, r.pb) for r in c.parts().collect()] == [(16, 16)]
