@@ -7,8 +7,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwalk.functions.shared import Scratch, scope
-from meshwalk.llm.common import keep_or_drop, maybe_broadcast, table
+from meshwalk.functions.shared import Scratch, release, scope
+from meshwalk.llm import common
+from meshwalk.llm.common import keep_or_drop, table
 from meshwalk.llm.hashing import ODD, gram_hashes, mix64, powers, text_slices, word_hashes
 from meshwalk.operators.graph import connected_components
 
@@ -22,11 +23,17 @@ STEP = 32
 #: for the next one; what stars leave is compared in any case.
 STARS, STAR_SHARE = 4, 0.05
 #: Shingles of all sets to be compared up to which they are broadcast (8 bytes each); beyond it they are joined by shuffle.
-BROADCAST_SHINGLES = 2_000_000
+BROADCAST_SHINGLES = 500_000
+#: Rows up to which a side is broadcast here: the driver holds several such sides at a time.
+BROADCAST_ROWS = 300_000
 #: Pairs that one task verifies.
 TASK_PAIRS = 20_000
 
 
+def maybe_broadcast(df: DataFrame) -> DataFrame:
+    return common.maybe_broadcast(df, limit=BROADCAST_ROWS)
+
+
 def least_overlap(n, percent):
     """Shingles that a set of n shares at least with any set as similar as ``percent``."""
     return (n * percent + 99) // 100
@@ -128,6 +135,7 @@ class _Join:
         self.links = found if self.links is None else self.links.unionAll(found)
         self.settled = False
         self.tables.drop("pairs", "paired", "sets")
+        release(self.docs.sparkSession)
         return found.count()
 
     def components(self) -> DataFrame:
@@ -143,6 +151,7 @@ class _Join:
             self.tables.drop("components", *[f"links{k}" for k in range(1, self.turn + 1)])
             self.tables.paths["components"] = path
             self.comp, self.settled = comp, True
+            release(self.docs.sparkSession)
             # what is known so far is a star for each component
             self.links = comp.where("cls != comp").select(F.col("cls").alias("a"), F.col("comp").alias("b"))
         return self.comp
