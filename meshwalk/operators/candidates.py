@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -97,14 +98,21 @@ def satisfies(x: Column, a: list[list[float]], b: list[float]) -> Column:
     """Every row of a x + b is strictly above 0."""
     out = F.lit(True)
     for row, c in zip(a, b, strict=True):
-        out = out & (sum((F.lit(float(v)) * x[k] for k, v in enumerate(row)), F.lit(float(c))) > 0)
+        out = out & (_linear(x, row, c) > 0)
     return out
 
 
+def _linear(x: Column, row: list[float], c: float) -> Column:
+    """row . x + c, added in this order; coordinates with coefficient 0 are left out, so an infinite one does no harm."""
+    terms = [x[k] if v == 1 else F.lit(float(v)) * x[k] for k, v in enumerate(row) if v]
+    out = functools.reduce(lambda p, q: p + q, terms) if terms else F.lit(0.0)
+    return out + F.lit(float(c)) if c or not terms else out
+
+
 def affine(x: Column, a: list[list[float]] | None, b: list[float] | None, dim: int | None = None) -> Column:
     """a x + b; without a the identity on ``dim`` coordinates, without b no shift."""
     rows = a or [[float(i == k) for k in range(dim or len(b))] for i in range(dim or len(b))]
-    return F.array(*[sum((F.lit(float(v)) * x[k] for k, v in enumerate(row)), F.lit(float(b[i]) if b else 0.0)) for i, row in enumerate(rows)])
+    return F.array(*[_linear(x, row, b[i] if b else 0.0) for i, row in enumerate(rows)])
 
 
 def in_box(x: Column, mins: list[float], maxs: list[float], strict: bool = False) -> Column:
