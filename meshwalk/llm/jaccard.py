@@ -11,7 +11,7 @@ from meshwalk.functions.shared import Scratch, release, scope
 from meshwalk.llm import common
 from meshwalk.llm.common import keep_or_drop, table
 from meshwalk.llm.hashing import ODD, gram_hashes, mix64, powers, text_slices, word_hashes
-from meshwalk.operators.graph import connected_components
+from meshwalk.operators.graph import component_stars
 
 SHINGLE = 5
 PERCENT = 75
@@ -122,13 +122,13 @@ class _Join:
         if not count:
             return 0
         # once, for the counting and the joining of it
-        classes = self.tables.cut(pairs.select(F.col("a").alias("cls")).distinct().unionAll(pairs.select("b").distinct()).distinct(), "paired")
+        classes = self.tables.cut(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "paired")
         sets = self.tables.cut(self.sets(classes), "sets")
         small = (sets.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_SHINGLES
         one = lambda c: (lambda x: F.broadcast(x) if small else x)(sets.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("toks").alias(f"t{c}")))
         both = F.size(F.array_intersect("ta", "tb"))
         # pairs are few bytes and much work: dealt by number, not by size
-        near = pairs.repartition(count // TASK_PAIRS + 1, "a", "b")
+        near = pairs.repartition(count // TASK_PAIRS + 1)
         found = near.join(one("a"), "a").join(one("b"), "b").where((100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")) & (100 * both >= self.percent * (F.col("na") + F.col("nb") - both)))
         self.turn += 1
         found = self.tables.cut(found.select("a", "b"), f"links{self.turn}")
@@ -139,12 +139,12 @@ class _Join:
         return found.count()
 
     def components(self) -> DataFrame:
-        """cls, comp for the classes that have links."""
+        """cls, comp for the classes that have links, but the one that names its component."""
         if self.links is None:
             return self.reps.limit(0).select("cls", F.col("cls").alias("comp"))
         if not self.settled:
             with scope(self.docs.sparkSession) as folder:
-                comp = connected_components(self.links.select("a").limit(0), self.links).toDF("cls", "comp")
+                comp = component_stars(self.links).toDF("cls", "comp")
                 path = f"{folder.rpartition('/')[0]}/components-{folder.rpartition('/')[2]}"
                 comp.write.parquet(path)
             comp = self.docs.sparkSession.read.schema(comp.schema).parquet(path)
@@ -153,7 +153,7 @@ class _Join:
             self.comp, self.settled = comp, True
             release(self.docs.sparkSession)
             # what is known so far is a star for each component
-            self.links = comp.where("cls != comp").select(F.col("cls").alias("a"), F.col("comp").alias("b"))
+            self.links = comp.select(F.col("cls").alias("a"), F.col("comp").alias("b"))
         return self.comp
 
     def with_components(self, rows: DataFrame) -> DataFrame:
