@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 import zlib
 
@@ -26,12 +27,18 @@ MEAN_BITS, LEAST, MOST = 9, 128, 2048  # chunks of 512 ids on average
 DIGEST = 16
 LEAF, NODE = b"\x00", b"\x01"
 SPACE = "\u0120"  # a space in the byte-level alphabet
-CACHE = 300_000  # entries a task keeps of each kind and generation
+CACHE = 20_000  # entries a task keeps of each kind and generation: most segments beyond the common ones never come again
+SEEN = 300_000  # digests of chunks that a task remembers
 FAN = 512  # nodes below one of a manifest's tree
 TOP = 100  # chunks of most copies that are looked for
 HOT = 100_000  # places at which one chunk stands, of which one task rebuilds documents
 STRETCH = 1 << 15  # segments whose ids are gathered at a time, so that the places fit into a core's cache
-GROUP = 1000  # new segments encoded in one call
+GROUP = 300  # new segments split in one call
+#: Letters of old alphabets, which every version of Unicode has as such: the pattern on texts of these, ASCII and line feeds is PLAIN.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u01bf\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u048a-\u0513\u05d0-\u05ea\u0621-\u063a\u0641-\u064a\u0905-\u0939\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+PLAIN = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^ \\n0-9{LETTERS}]+|\\n+(?!\\S)|\\n+")
+KNOWN = f"^[\\n\\x21-\\x7e{LETTERS}]*$"
+PART = "\udcff"  # stands for a byte that UTF-8 does not have
 
 
 class Encoder:
@@ -48,6 +55,10 @@ class Encoder:
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.pattern = regex.compile(PATTERN)
+        # the same model without splitting
+        self.whole, apart = Tokenizer.from_file(path), self.letters[0xFF]
+        self.whole.pre_tokenizer = None
+        self.part = self.tok.token_to_id(apart) if [t for t in self.tok.get_vocab() if apart in t] == [apart] else None
         # tokens that begin with a space: in joined segments each begins one
         self.spaced = np.zeros(max(self.tok.get_vocab().values()) + 1, bool)
         self.spaced[[i for t, i in self.tok.get_vocab().items() if t.startswith(SPACE)]] = True
@@ -70,11 +81,22 @@ class Encoder:
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
         return b"".join([self.pieces.get(p) or self._piece(p) for p in self.pattern.findall(text)])
 
-    def _group(self, group: list[str]) -> list[bytes]:
-        """Ids of each segment with a space before it, from one call for all: they are parted where a token begins with one."""
+    def _plain(self, text: str) -> np.ndarray:
+        """Ids of a text of KNOWN characters and spaces: its pieces, written as bytes, go to the library in one word. They are
+        held apart by a byte that stands in no other token, so that no merge crosses it."""
+        pieces = PLAIN.findall(text)
+        if text.isascii():
+            raw = self.letters[0xFF].join(pieces).replace(" ", SPACE).replace("\n", self.letters[10])
+        else:
+            raw = PART.join(pieces).encode("utf-8", "surrogateescape").decode("latin-1").translate(self.letters)
+        ids = np.array(self.whole.encode_batch_fast([raw], add_special_tokens=False)[0].ids, self.kind)
+        return ids[ids != self.part]
+
+    def _group(self, group: list[str], known: bool) -> list[bytes]:
+        """Ids of each segment with a space before it, split together: they are parted where a token begins with one."""
         text = " " + " ".join(group)
         if not any(s in text for s in self.special):
-            ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+            ids = self._plain(text) if known else np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
             cuts = np.flatnonzero(self.spaced[ids])
             if len(cuts) == len(group):
                 raw, cuts = ids.tobytes(), (cuts * self.kind.itemsize).tolist()
@@ -84,12 +106,18 @@ class Encoder:
     def _encode(self, segments: list[str]) -> list[bytes]:
         # segments with white space at an end stand only in texts that are encoded whole, or at an end of one
         col = pa.array(segments, pa.large_string())
-        plain = pc.and_(pc.equal(pc.utf8_trim_whitespace(col), col), pc.greater(pc.binary_length(col), 0)).to_numpy(zero_copy_only=False)
-        joined = segments if plain.all() else [segments[k] for k in np.flatnonzero(plain).tolist()]
-        made = [x for a in range(0, len(joined), GROUP) for x in self._group(joined[a : a + GROUP])]
-        if len(made) < len(segments):
-            made, at = iter(made), plain.tolist()
-            made = [next(made) if p else self._text(" " + s) for s, p in zip(segments, at, strict=True)]
+        single = pc.or_(pc.not_equal(pc.utf8_trim_whitespace(col), col), pc.equal(pc.binary_length(col), 0)).to_numpy(zero_copy_only=False)
+        known = pc.match_substring_regex(col, KNOWN).to_numpy(zero_copy_only=False) & (self.part is not None)
+        made: list = [None] * len(segments)
+        for k in np.flatnonzero(single).tolist():
+            made[k] = self._text(" " + segments[k])
+        kind = np.where(single, -1, known.astype(np.int8) + (known & pc.string_is_ascii(col).to_numpy(zero_copy_only=False)))
+        for k in (0, 1, 2):  # other, known and ASCII ones, each in groups of their own
+            at, mine = np.flatnonzero(kind == k).tolist(), k > 0
+            for a in range(0, len(at), GROUP):
+                group = at[a : a + GROUP]
+                for i, x in zip(group, self._group([segments[i] for i in group], mine), strict=True):
+                    made[i] = x
         return made
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +243,7 @@ def _stage(path: str):
                     d = address(b[at * width : e * width])
                     digests.append(d)
                     if d not in seen:
-                        if len(seen) > CACHE:
+                        if len(seen) > SEEN:
                             seen.clear()
                         seen.add(d)
                         chunks.append((d, e - at, planes(b[at * width : e * width], width), row))
