@@ -22,16 +22,26 @@ STEP = 32
 #: Rounds of stars among sets that are expensive nearly throughout, at most, and the share of them that a round must link
 #: for the next one; what stars leave is compared in any case.
 STARS, STAR_SHARE = 4, 0.05
-#: Shingles of all sets to be compared up to which they are broadcast (8 bytes each); beyond it they are joined by shuffle.
+#: Shingles of all sets to be compared up to which they are broadcast (8 bytes each, a set counts as 8 more); beyond it they
+#: are joined by shuffle.
 BROADCAST_SHINGLES = 500_000
-#: Rows up to which a side is broadcast here: the driver holds several such sides at a time.
-BROADCAST_ROWS = 300_000
+#: Rows up to which a side is broadcast here, at most some 60 bytes each: the driver holds several such sides at a time.
+BROADCAST_ROWS = 100_000
 #: Pairs that one task verifies.
 TASK_PAIRS = 20_000
 
 
-def maybe_broadcast(df: DataFrame) -> DataFrame:
-    return common.maybe_broadcast(df, limit=BROADCAST_ROWS)
+def maybe_broadcast(df: DataFrame, hashed: bool = False) -> DataFrame:
+    """With ``hashed``, a side that is not broadcast is hashed in tasks, so that the other one, of long rows, is not sorted."""
+    rows = df.count()
+    return df.hint("shuffle_hash") if hashed and rows > BROADCAST_ROWS else common.maybe_broadcast(df, rows, BROADCAST_ROWS)
+
+
+def by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """left_semi or left_anti of ``docs`` by doc_id; ``ids`` (one column, distinct, no nulls) are broadcast only when few. A null
+    doc_id is none of them. The keys are plain longs: null-safe ones take the driver three to four times the memory."""
+    ids = maybe_broadcast(ids.select(F.col(ids.columns[0]).alias("__id")), hashed=True)
+    return docs.join(ids, docs["doc_id"] == ids["__id"], how)
 
 
 def least_overlap(n, percent):
@@ -106,12 +116,12 @@ class _Join:
     def prefixes(self) -> DataFrame:
         """cls, n and toks (the first prefix), one row a class; rows that share an id and a text may stand twice."""
         reps = self.reps.select(F.col("cls").alias("c"), "rep")
-        return self.first.join(maybe_broadcast(reps), (F.col("cls") == F.col("c")) & (F.col("doc_id") == F.col("rep")), "left_semi").select("cls", "n", "toks")
+        return self.first.join(maybe_broadcast(reps, hashed=True), (F.col("cls") == F.col("c")) & (F.col("doc_id") == F.col("rep")), "left_semi").select("cls", "n", "toks")
 
     def sets(self, classes: DataFrame) -> DataFrame:
         """cls, n, toks (the whole set) of one document of each of ``classes``."""
         reps = self.reps.join(maybe_broadcast(classes), "cls", "left_semi")
-        d = keep_or_drop(self.docs.where("doc_id is not null"), reps.select("rep"), "left_semi")
+        d = by_id(self.docs, self.tables.cut(reps.select("rep"), "wanted"), "left_semi")
         # rows that share the id may stand twice
         return d.mapInArrow(_sets(self.shingle, self.percent, "full"), "cls long, n long, toks array<long>").where("cls is not null").dropDuplicates(["cls"])
 
@@ -124,7 +134,7 @@ class _Join:
         # once, for the counting and the joining of it
         classes = self.tables.cut(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "paired")
         sets = self.tables.cut(self.sets(classes), "sets")
-        small = (sets.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_SHINGLES
+        small = (sets.agg(F.sum(F.col("n") + 8)).first()[0] or 0) <= BROADCAST_SHINGLES
         one = lambda c: (lambda x: F.broadcast(x) if small else x)(sets.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("toks").alias(f"t{c}")))
         both = F.size(F.array_intersect("ta", "tb"))
         # pairs are few bytes and much work: dealt by number, not by size
@@ -134,7 +144,7 @@ class _Join:
         found = self.tables.cut(found.select("a", "b"), f"links{self.turn}")
         self.links = found if self.links is None else self.links.unionAll(found)
         self.settled = False
-        self.tables.drop("pairs", "paired", "sets")
+        self.tables.drop("pairs", "paired", "wanted", "sets")
         release(self.docs.sparkSession)
         return found.count()
 
@@ -209,7 +219,8 @@ class _Join:
         x, y = (d.select("token", "sized", *[F.col(c).alias(f"{c}{i}") for c in ("cls", "comp", "n", "rank")]) for d, i in ((x, "a"), (y, "b")))
         o = self.overlap(F.col("na"), F.col("nb"))
         sized = (100 * F.col("na") >= self.percent * F.col("nb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("clsa") < F.col("clsb"))))
-        p = x.join(y, ["token", "sized"]).where(sized & (F.col("compa") != F.col("compb")) & (F.col("ranka") <= F.col("na") - o) & (F.col("rankb") <= F.col("nb") - o))
+        # rows of a small file become many here, which Spark does not see when it judges whether a side can be broadcast
+        p = x.join(y.hint("merge"), ["token", "sized"]).where(sized & (F.col("compa") != F.col("compb")) & (F.col("ranka") <= F.col("na") - o) & (F.col("rankb") <= F.col("nb") - o))
         return p.select(F.least("clsa", "clsb").alias("a"), F.greatest("clsa", "clsb").alias("b")).distinct()
 
     def run(self) -> None:
@@ -219,6 +230,7 @@ class _Join:
         live = every.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count(F.lit(1)).alias("c")).where("low < high").select("token", "c")
         live = tables.cut(every.join(live, "token").distinct(), "live")
         tables.drop("first")
+        release(self.docs.sparkSession)
         # stars join most groups of near copies before any pairs are made: hubs are first the classes with the most common
         # tokens (a text is more central than its copies), then others at random
         fame = tables.cut(live.groupBy("cls").agg(F.avg(F.log("c")).alias("fame")), "fame")

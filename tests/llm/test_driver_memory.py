@@ -42,3 +42,38 @@ def test_components_release_after_every_step_and_join_by_shuffle(spark, monkeypa
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(jaccard, "BROADCAST_SHINGLES", 0)
     assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()} == want
+
+
+def plans_since(spark, since):
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs = store.executionsList()
+    return [runs.apply(k).physicalPlanDescription() for k in range(since, runs.size())]
+
+
+def test_sides_over_the_limit_are_not_broadcast(spark, monkeypatch):
+    # sides of documents' ids had a limit of their own, of a million rows, and keys that a null equals: 105 bytes a row
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(jaccard, "BROADCAST_SHINGLES", -1)
+    texts = [f"{k} " + " ".join(f"w{g}x{j}" for j in range(40)) for g in range(30) for k in ("a", "b", "c")] + ["", None]
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0]), (None, None)], "doc_id long, text string")
+    docs.write.mode("overwrite").parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/driver-memory")
+    docs, auto = spark.read.parquet(path), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    since = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    try:
+        got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect() if r.doc_id is not None}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+    assert got == {i: i // 3 * 3 if i < 90 else i for i in range(92)}
+    plans = plans_since(spark, since)
+    assert plans and not any("BroadcastExchange" in p for p in plans)
+
+
+def test_rows_exploded_from_a_small_file_are_not_broadcast(spark, tmp_path):
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(30))) for i in range(2)], "doc_id long, text string")
+    spark.range(20).selectExpr("id % 5 token", "id cls", "id comp", "100 + id % 7 n", "id % 3 rank").write.parquet(path := f"{tmp_path}/rows")
+    join = jaccard._Join(docs, jaccard.PERCENT, jaccard.SHINGLE, jaccard.TOKEN_PAIRS)
+    p = join.propose_sized(spark.read.parquet(path))
+    p.collect()
+    assert "Broadcast" not in p._jdf.queryExecution().executedPlan().toString()
+    assert p.count() == len({(min(a, b), max(a, b)) for a in range(20) for b in range(20) if a != b and a % 5 == b % 5})
