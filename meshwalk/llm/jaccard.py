@@ -7,9 +7,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwalk.functions.shared import Scratch, release, scope
+from meshwalk.functions.shared import Scratch, cut, release, scope
 from meshwalk.llm import common
-from meshwalk.llm.common import keep_or_drop, table
+from meshwalk.llm.common import table
 from meshwalk.llm.hashing import ODD, gram_hashes, mix64, powers, text_slices, word_hashes
 from meshwalk.operators.graph import component_stars
 
@@ -302,8 +302,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` (all columns) with one document of every component, the one with the smallest doc_id; of rows that share it, all."""
-    gone = near_duplicates(docs, percent).where("doc_id > component_id").select("doc_id").distinct()
-    return keep_or_drop(docs, gone, "left_anti")
+    gone = cut(near_duplicates(docs, percent).where("doc_id > component_id").select("doc_id").distinct(), "gone")
+    release(docs.sparkSession)
+    return by_id(docs, gone, "left_anti")
 
 
 def op2_jaccard_components(spark, sf_dir: str) -> DataFrame:

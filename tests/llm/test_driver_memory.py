@@ -62,9 +62,11 @@ def test_sides_over_the_limit_are_not_broadcast(spark, monkeypatch):
     since = spark._jsparkSession.sharedState().statusStore().executionsList().size()
     try:
         got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect() if r.doc_id is not None}
+        kept = jaccard.keep_one(docs).collect()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
     assert got == {i: i // 3 * 3 if i < 90 else i for i in range(92)}
+    assert sorted((r.doc_id for r in kept), key=str) == sorted([*range(0, 90, 3), 90, 91, None, None], key=str)
     plans = plans_since(spark, since)
     assert plans and not any("BroadcastExchange" in p for p in plans)
 
